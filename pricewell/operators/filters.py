@@ -29,7 +29,7 @@ def rows_of_station(rows: DataFrame, node_id, key: str = "node_id") -> DataFrame
 
 def id_status(requests: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
     """Adds `status`: `malformed` if no id at all, else `valid` or `absent`."""
-    known = stations.select(F.col(key).alias("_known")).distinct()
+    known = stations.select(F.col(key).alias("_known"))
     joined = requests.join(known, F.upper(requests[key]) == known["_known"], "left")
     status = (
         F.when(~text.is_station_id(requests[key]), "malformed")

@@ -19,7 +19,7 @@ from pricewell.sources.keyed_table import Change, KeyedTable, cursor_table, pric
 from pricewell.session import work_dir
 
 log = logging.getLogger(__name__)
-CURSOR_ID = "stations-and-prices"
+CURSOR_ID = "STATIONS-AND-PRICES"
 
 
 class FeedError(RuntimeError):
@@ -110,11 +110,10 @@ def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[DataFram
     return before, rejected, FeedError(f"page {number}: {why}")
 
 
-def load_stations(store: Store, path: str, now: datetime) -> Loaded:
-    """Upsert the stations of a page folder. All pages up to the first gap count."""
+def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
+    """Upsert the stations of a feed. All pages up to the first gap count."""
     spark = store.stations.spark
-    usable = pg.usable_pages(pg.read_pages(spark, path), pg.page_listing(spark, path))
-    staged, rejected, failure = _stage(spark, pg.decode_stations(pg.page_items(usable)), "stations")
+    staged, rejected, failure = _stage(spark, pg.decode_stations(feed.items()), "stations")
     change = store.stations.upsert(latest_stations(pg.good_items(staged)), now)
     if rejected:
         log.error("%d station items rejected", rejected)
@@ -124,12 +123,11 @@ def load_stations(store: Store, path: str, now: datetime) -> Loaded:
 
 
 def load_prices(
-    store: Store, path: str, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
+    store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
 ) -> Loaded:
-    """Upsert the prices of a page folder, those of unknown stations left out."""
+    """Upsert the prices of a feed, those of unknown stations left out."""
     spark = store.prices.spark
-    usable = pg.usable_pages(pg.read_pages(spark, path), pg.page_listing(spark, path))
-    decoded = pg.decode_prices(pg.page_items(usable), on_unknown=on_unknown)
+    decoded = pg.decode_prices(feed.items(), on_unknown=on_unknown)
     staged, rejected, failure = _stage(spark, decoded, "prices")
     good = pg.good_items(staged)
     stations = store.stations.read()
@@ -147,37 +145,39 @@ def load_prices(
     return Loaded(change, rejected, n_absent, pg.rejects(staged), absent)
 
 
-def full_load(store: Store, stations_path: str, prices_path: str, now: datetime) -> tuple[Loaded, Loaded]:
+def full_load(store: Store, stations: pg.Feed, prices: pg.Feed, now: datetime) -> tuple[Loaded, Loaded]:
     """Stations, then prices, whatever their age. The cursor is left alone."""
-    return load_stations(store, stations_path, now), load_prices(store, prices_path, now)
+    return load_stations(store, stations, now), load_prices(store, prices, now)
 
 
 def read_cursor(store: Store) -> datetime | None:
     # through epoch microseconds: a collected timestamp would shift by the driver's zone
-    micros = station_by_id(store.cursors.read(), CURSOR_ID.upper(), "id").select(F.unix_micros("last_update")).first()
+    micros = station_by_id(store.cursors.read(), CURSOR_ID, "id").select(F.unix_micros("last_update")).first()
     return None if micros is None else datetime.fromtimestamp(micros[0] / 1_000_000, timezone.utc).replace(tzinfo=None)
 
 
 def write_cursor(store: Store, moment: datetime, now: datetime) -> None:
     spark = store.cursors.spark
-    row = spark.range(1).select(F.lit(CURSOR_ID.upper()).alias("id"), utc_literal(moment).alias("last_update"))
+    row = spark.range(1).select(F.lit(CURSOR_ID).alias("id"), utc_literal(moment).alias("last_update"))
     store.cursors.upsert(row, now)
 
 
 def partial_update(
-    store: Store, stations_path: str, prices_path: str, run_start: datetime
+    store: Store, stations: pg.Feed, prices: pg.Feed, run_start: datetime
 ) -> tuple[Loaded, Loaded] | None:
     """Stations, then prices, changed since the cursor; the cursor moves last.
 
     Without a cursor nothing is done. A failure leaves the cursor, so the next run reads
     the same stretch again, and the upserts make the repeat harmless. Station items have
-    no change time: their folder holds what the feed returned for this cursor.
+    no change time: their pages hold what the feed returned for this cursor.
     """
     cursor = read_cursor(store)
     if cursor is None:
         log.error("no cursor %s: run a full load and write one first", CURSOR_ID)
         return None
-    stations = load_stations(store, stations_path, run_start)
-    prices = load_prices(store, prices_path, run_start, since=read_from(cursor))
+    done = (
+        load_stations(store, stations, run_start),
+        load_prices(store, prices, run_start, since=read_from(cursor)),
+    )
     write_cursor(store, next_cursor(run_start), run_start)
-    return stations, prices
+    return done

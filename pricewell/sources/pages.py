@@ -1,4 +1,4 @@
-"""Landed feed pages: one JSON array per file, numbered from 1 in the file name.
+"""Landed feed pages: one JSON array per file, numbered from 1 in the file or folder name.
 
 Decoding keeps every item. Each carries the names of its bad fields (`errors`), so one
 pass over the text serves the good rows, the rejects and the page-level failures.
@@ -6,6 +6,8 @@ pass over the text serves the good rows, the rejects and the page-level failures
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,32 @@ from pricewell import schemas
 from pricewell.functions import text as tx
 from pricewell.functions import variants as v
 
-PAGE_NUMBER = r"(\d+)\.json$"
+PAGE_NUMBER = r"(\d+)(?:\.json)?(?:/part-[^/]*)?$"
 EMPTY_PAGE = r"^\s*\[\s*\]\s*$"
 SMALL_PAGE = 4096
 NOT_AN_ARRAY = "page is not a JSON array"
 
 
+@dataclass(frozen=True)
+class Feed:
+    """Page texts (`batch_number`, `value`) and what is known of each page beforehand."""
+
+    pages: DataFrame
+    listing: DataFrame
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> "Feed":
+        return cls(read_pages(spark, path), page_listing(spark, path))
+
+    @classmethod
+    def of(cls, pages: DataFrame) -> "Feed":
+        return cls(pages, list_pages(pages))
+
+    def items(self) -> DataFrame:
+        """Items of the pages before the first gap."""
+        return page_items(usable_pages(self.pages, self.listing))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """`batch_number`, `value`; a page is a bounded unit, so one row may hold it whole."""
     return with_page_number(spark.read.text(path, wholetext=True))
@@ -34,7 +56,7 @@ def stream_pages(spark: SparkSession, path: str, pages_per_trigger: int = 1000)
 
 
 def with_page_number(files: DataFrame) -> DataFrame:
-    number = F.regexp_extract(F.col("_metadata.file_name"), PAGE_NUMBER, 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), PAGE_NUMBER, 1)
     return files.select(number.try_cast("bigint").alias("batch_number"), "value")
 
 
@@ -70,10 +92,13 @@ def first_gap(listing: DataFrame) -> DataFrame:
     return candidates.join(filled, "batch_number", "left_anti").agg(F.min("batch_number").alias("first_gap"))
 
 
-def usable_pages(pages: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Pages before the first gap, the only ones a page-by-page reader would have asked for."""
-    gap = first_gap(list_pages(pages) if listing is None else listing)
-    return pages.where((F.col("batch_number") >= 1) & (F.col("batch_number") < gap.scalar()))
+def is_used(listing: DataFrame) -> Column:
+    """Whether a page-by-page reader would have asked for this page and got items."""
+    return (F.col("batch_number") >= 1) & (F.col("batch_number") < first_gap(listing).scalar())
+
+
+def usable_pages(pages: DataFrame, listing: DataFrame) -> DataFrame:
+    return pages.where(is_used(listing))
 
 
 def page_items(pages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from pricewell.operators import joins
 from pricewell.plans import load
@@ -22,42 +22,44 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def _writer(pages: DataFrame, apply, checkpoint: str, every: str | None) -> DataStreamWriter:
-    writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+def _start(pages: DataFrame, apply, checkpoint: str, name: str, every: str | None) -> StreamingQuery:
+    writer = pages.writeStream.queryName(name).foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def station_stream(
-    store: load.Store, path: str, checkpoint: str, every: str | None = None,
-    clock: Callable[[], datetime] = utc_now, pages_per_trigger: int = 1000, name: str = "stations",
+    store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
+    clock: Callable[[], datetime] = utc_now, name: str = "stations",
 ) -> StreamingQuery:
+    """Upsert station pages; `every` is a processing-time interval, else what is there now."""
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         decoded = pg.fail_on_page_error(pg.decode_stations(pg.page_items(batch)))
         rows = load.latest_stations(pg.good_items(decoded))
         store.stations.upsert(rows, clock(), batch_id=batch_id, stream=name)
 
-    pages = pg.stream_pages(store.stations.spark, path, pages_per_trigger)
-    return _writer(pages, apply, checkpoint, every).queryName(name).start()
+    return _start(pages, apply, checkpoint, name, every)
 
 
 def price_stream(
-    store: load.Store, path: str, checkpoint: str, every: str | None = None,
-    clock: Callable[[], datetime] = utc_now, pages_per_trigger: int = 1000, name: str = "prices",
-    on_unknown: str = "fail",
+    store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
+    clock: Callable[[], datetime] = utc_now, name: str = "prices", on_unknown: str = "fail",
 ) -> StreamingQuery:
+    """Upsert price pages, those of stations not stored when the batch runs left out."""
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         decoded = pg.fail_on_page_error(pg.decode_prices(pg.page_items(batch), on_unknown=on_unknown))
         rows = load.clean_prices(pg.price_rows(pg.good_items(decoded)), store.fuel_types)
         known = joins.present_rows(rows, store.stations.read())
         store.prices.upsert(known, clock(), update=["price"], batch_id=batch_id, stream=name)
 
-    pages = pg.stream_pages(store.prices.spark, path, pages_per_trigger)
-    return _writer(pages, apply, checkpoint, every).queryName(name).start()
+    return _start(pages, apply, checkpoint, name, every)
 
 
 def ingest_available(
-    store: load.Store, stations_path: str, prices_path: str, checkpoint: str, **options
+    store: load.Store, stations: DataFrame, prices: DataFrame, checkpoint: str,
+    clock: Callable[[], datetime] = utc_now,
 ) -> None:
-    """Take everything that has landed: the stations first, so that their prices find them."""
-    station_stream(store, stations_path, f"{checkpoint}/stations", **options).awaitTermination()
-    price_stream(store, prices_path, f"{checkpoint}/prices", **options).awaitTermination()
+    """Take every page that has landed: the stations first, so that their prices find them."""
+    station_stream(store, stations, f"{checkpoint}/stations", clock=clock).awaitTermination()
+    price_stream(store, prices, f"{checkpoint}/prices", clock=clock).awaitTermination()

@@ -6,8 +6,7 @@ from pricewell.sources import pages as pg
 
 
 def decode(spark, folder, decoder, **kw):
-    pages = pg.usable_pages(pg.read_pages(spark, str(folder)), pg.page_listing(spark, str(folder)))
-    return decoder(pg.page_items(pages), **kw)
+    return decoder(pg.Feed.at(spark, str(folder)).items(), **kw)
 
 
 def test_stations_decode(spark, tmp_path):
