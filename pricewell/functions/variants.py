@@ -1,4 +1,7 @@
-"""Strict reads of JSON held as VARIANT: a wrong JSON type is an error, never a cast."""
+"""Strict reads of JSON leaves held as VARIANT: a wrong JSON type is an error, never a cast.
+
+A leaf is NULL when its path is missing or its parent is no object.
+"""
 
 from __future__ import annotations
 
@@ -10,47 +13,32 @@ from pricewell.functions.times import parse_instant
 VOID = "VOID"
 
 
-def json_type(item: Column, path: str) -> Column:
-    """Type name of the value at `path`; NULL if the path is missing."""
-    return F.schema_of_variant(F.variant_get(item, path, "variant"))
-
-
-def is_string(item: Column, path: str) -> Column:
-    return F.coalesce(json_type(item, path) == "STRING", F.lit(False))
-
-
-def is_number(item: Column, path: str) -> Column:
-    kind = json_type(item, path)
-    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
-
-
-def is_optional(item: Column, path: str, kind: str) -> Column:
-    return F.coalesce(json_type(item, path), F.lit(VOID)).isin(VOID, kind)
+def has_type(leaf: Column, *kinds: str) -> Column:
+    return F.coalesce(F.schema_of_variant(leaf).isin(*kinds), F.lit(False))
 
 
-def string(item: Column, path: str) -> Column:
-    return F.try_variant_get(item, path, "string")
+def is_string(leaf: Column) -> Column:
+    return has_type(leaf, "STRING")
 
 
-def number(item: Column, path: str) -> Column:
-    return F.try_variant_get(item, path, "double")
+def is_number(leaf: Column) -> Column:
+    kind = F.schema_of_variant(leaf)
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.lit(False))
 
 
-def boolean(item: Column, path: str) -> Column:
-    return F.try_variant_get(item, path, "boolean")
+def is_optional(leaf: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(leaf), F.lit(VOID)).isin(VOID, kind)
 
 
-def elements(item: Column, path: str) -> Column:
-    """Array at `path` as array<variant>; NULL if it is no array."""
-    return F.try_variant_get(item, path, "array<variant>")
+def all_strings(leaves: Column) -> Column:
+    return F.coalesce(F.forall(leaves, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
 
 
-def all_strings(item: Column, path: str) -> Column:
-    found = elements(item, path)
-    return F.coalesce(F.forall(found, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
+def value(leaf: Column, kind: str) -> Column:
+    return F.try_variant_get(leaf, "$", kind)
 
 
-def instant(item: Column, path: str) -> Column:
+def instant(leaf: Column) -> Column:
     """ISO text, or a number of epoch milliseconds; NULL otherwise."""
-    millis = F.timestamp_millis(number(item, path).cast("bigint"))
-    return F.when(is_string(item, path), parse_instant(string(item, path))).when(is_number(item, path), millis)
+    millis = F.timestamp_millis(value(leaf, "double").cast("bigint"))
+    return F.when(is_string(leaf), parse_instant(value(leaf, "string"))).when(is_number(leaf), millis)

@@ -84,7 +84,7 @@ def clean_prices(rows: DataFrame, fuel_types: DataFrame) -> DataFrame:
 
 def item_counts() -> list[Column]:
     return [
-        F.count(F.when(F.size("errors") > 0, True)).alias("rejected"),
+        F.count(F.when(F.col("errors") != "", True)).alias("rejected"),
         F.min(F.when(F.col("page_error").isNotNull(), F.struct("batch_number", "page_error"))).alias("bad_page"),
     ]
 
@@ -113,7 +113,7 @@ def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[DataFram
 def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
     """Upsert the stations of a feed. All pages up to the first gap count."""
     spark = store.stations.spark
-    staged, rejected, failure = _stage(spark, pg.decode_stations(feed.items()), "stations")
+    staged, rejected, failure = _stage(spark, pg.decode_stations(feed.usable()), "stations")
     change = store.stations.upsert(latest_stations(pg.good_items(staged)), now)
     if rejected:
         log.error("%d station items rejected", rejected)
@@ -127,7 +127,7 @@ def load_prices(
 ) -> Loaded:
     """Upsert the prices of a feed, those of unknown stations left out."""
     spark = store.prices.spark
-    decoded = pg.decode_prices(feed.items(), on_unknown=on_unknown)
+    decoded = pg.decode_prices(feed.usable(), on_unknown=on_unknown)
     staged, rejected, failure = _stage(spark, decoded, "prices")
     good = pg.good_items(staged)
     stations = store.stations.read()

@@ -18,6 +18,19 @@ from pricewell.functions import variants as v
 PAGE_NUMBER = r"(\d+)(?:\.json)?(?:/part-[^/]*)?$"
 EMPTY_PAGE = r"^\s*\[\s*\]\s*$"
 SMALL_PAGE = 4096
+
+# What is read of an item; other fields are ignored. Leaves stay VARIANT to show their type.
+_FLAG_LEAVES = ", ".join(f"{flag}: variant" for flag in schemas.STATION_FLAGS)
+_PLACE_LEAVES = ", ".join(f"{name}: variant" for name in schemas.LOCATION_FIELDS)
+STATION_SHAPE = (
+    f"struct<node_id: variant, trading_name: variant, brand_name: variant, {_FLAG_LEAVES}, "
+    f"location: struct<{_PLACE_LEAVES}>, fuel_types: array<variant>>"
+)
+PRICE_SHAPE = (
+    "struct<node_id: variant, trading_name: variant, public_phone_number: variant, "
+    "fuel_prices: array<struct<fuel_type: variant, price: variant, price_last_updated: variant, "
+    "price_change_effective_timestamp: variant>>>"
+)
 NOT_AN_ARRAY = "page is not a JSON array"
 
 
@@ -36,9 +49,9 @@ class Feed:
     def of(cls, pages: DataFrame) -> "Feed":
         return cls(pages, list_pages(pages))
 
-    def items(self) -> DataFrame:
-        """Items of the pages before the first gap."""
-        return page_items(usable_pages(self.pages, self.listing))
+    def usable(self) -> DataFrame:
+        """The pages before the first gap."""
+        return usable_pages(self.pages, self.listing)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -101,57 +114,69 @@ def usable_pages(pages: DataFrame, listing: DataFrame) -> DataFrame:
     return pages.where(is_used(listing))
 
 
-def page_items(pages: DataFrame) -> DataFrame:
-    """`batch_number`, `idx`, `item`, `page_error`; a malformed page gives one error row."""
-    parsed = pages.select("batch_number", F.from_json("value", "array<variant>").alias("_items"))
-    return parsed.select(
-        "batch_number",
-        F.col("_items").isNull().alias("_malformed"),
-        F.posexplode_outer("_items").alias("idx", "item"),
-    ).where("_malformed or item is not null").select(
-        "batch_number",
-        F.coalesce("idx", F.lit(-1)).alias("idx"),
-        "item",
-        F.when(F.col("_malformed"), NOT_AN_ARRAY).alias("page_error"),
+def page_items(pages: DataFrame, shape: str, typed=lambda leaf: leaf) -> DataFrame:
+    """`batch_number`, `idx`, `item`, `leaf`, `page_error`; a malformed page gives one error row.
+
+    `leaf` holds the fields of `shape` as VARIANT, in one pass over the item, given to
+    `typed` to finish. It is made before the explode, so that a filter on the fields
+    cannot make Spark take an item apart twice.
+    """
+    whole_page = F.from_json("value", "array<variant>")
+    taken = F.transform(whole_page, lambda x: F.struct(x.alias("item"), F.try_variant_get(x, "$", shape).alias("leaf")))
+    items = F.transform(taken, lambda i: F.struct(i["item"].alias("item"), typed(i["leaf"]).alias("leaf")))
+    # A malformed page stands as one item of nothing; a JSON null is a VARIANT, so not NULL.
+    # Asking the array itself after the explode would carry it along with every item.
+    nothing = F.array(F.lit(None).cast("struct<item: variant>")["item"])
+    nothing = F.transform(nothing, lambda x: F.struct(x.alias("item"), typed(F.try_variant_get(x, "$", shape)).alias("leaf")))
+    return (
+        pages.select("batch_number", F.posexplode(F.coalesce(items, nothing)).alias("_pos", "_i"))
+        .select("batch_number", "_pos", "_i.item", "_i.leaf", F.col("_i.item").isNull().alias("_malformed"))
+        .select(
+            "batch_number", F.when(F.col("_malformed"), -1).otherwise(F.col("_pos")).alias("idx"), "item", "leaf",
+            F.when(F.col("_malformed"), NOT_AN_ARRAY).alias("page_error"),
+        )
     )
 
 
 def _errors(checks: dict[str, Column]) -> Column:
+    """Names of the failed checks, "" if there are none, NULL for a malformed page."""
     named = [F.when(~ok, F.lit(name)) for name, ok in checks.items()]
-    return F.array_compact(F.array(*named))
+    return F.when(F.col("page_error").isNull(), F.concat_ws(", ", *named))
 
 
-def decode_stations(items: DataFrame) -> DataFrame:
+def _with_raw(decoded: DataFrame) -> DataFrame:
+    """Only a rejected item is worth keeping as text."""
+    return decoded.withColumn("raw", F.when(F.col("errors") != "", F.to_json("item"))).drop("item")
+
+
+def decode_stations(pages: DataFrame) -> DataFrame:
     """Typed station columns beside `errors`; values of a bad item are not to be used."""
-    i = F.col("item")
-    checks = {name: v.is_string(i, f"$.{name}") for name in ("node_id", "trading_name", "brand_name")}
-    checks |= {name: v.is_optional(i, f"$.{name}", "BOOLEAN") for name in schemas.STATION_FLAGS}
+    leaf = F.col("leaf")
+    place = leaf["location"]
+    checks = {name: v.is_string(leaf[name]) for name in ("node_id", "trading_name", "brand_name")}
+    checks |= {name: v.is_optional(leaf[name], "BOOLEAN") for name in schemas.STATION_FLAGS}
     for name in ("address_line_1", "address_line_2", "country", "county"):
-        checks[f"location.{name}"] = v.is_optional(i, f"$.location.{name}", "STRING")
+        checks[f"location.{name}"] = v.is_optional(place[name], "STRING")
     for name in ("city", "postcode"):
-        checks[f"location.{name}"] = v.is_string(i, f"$.location.{name}")
+        checks[f"location.{name}"] = v.is_string(place[name])
     for name in ("latitude", "longitude"):
-        checks[f"location.{name}"] = v.is_number(i, f"$.location.{name}")
-    checks["fuel_types"] = v.all_strings(i, "$.fuel_types")
-
-    location = F.struct(
-        *[v.string(i, f"$.location.{n}").alias(n) for n in schemas.LOCATION_FIELDS[:6]],
-        *[v.number(i, f"$.location.{n}").alias(n) for n in schemas.LOCATION_FIELDS[6:]],
-    )
-    return items.select(
-        "batch_number", "idx", "page_error",
-        F.when(F.col("page_error").isNull(), _errors(checks)).alias("errors"),
-        tx.normalise_id(v.string(i, "$.node_id")).alias("node_id"),
-        v.string(i, "$.trading_name").alias("trading_name"),
-        v.string(i, "$.brand_name").alias("brand_name"),
-        *[v.boolean(i, f"$.{n}").alias(n) for n in schemas.STATION_FLAGS],
-        F.try_variant_get(i, "$.fuel_types", "array<string>").alias("fuel_types"),
+        checks[f"location.{name}"] = v.is_number(place[name])
+    checks["fuel_types"] = v.all_strings(leaf["fuel_types"])
+
+    kinds = {"latitude": "double", "longitude": "double"}
+    location = F.struct(*[v.value(place[n], kinds.get(n, "string")).alias(n) for n in schemas.LOCATION_FIELDS])
+    return _with_raw(page_items(pages, STATION_SHAPE).select(
+        "batch_number", "idx", "item", "page_error",
+        _errors(checks).alias("errors"),
+        tx.normalise_id(v.value(leaf["node_id"], "string")).alias("node_id"),
+        *[v.value(leaf[n], "string").alias(n) for n in ("trading_name", "brand_name")],
+        *[v.value(leaf[n], "boolean").alias(n) for n in schemas.STATION_FLAGS],
+        F.transform(leaf["fuel_types"], lambda x: v.value(x, "string")).alias("fuel_types"),
         location.alias("location"),
-        F.to_json(i).alias("raw"),
-    )
+    ))
 
 
-def decode_prices(items: DataFrame, known_types=None, on_unknown: str = "fail") -> DataFrame:
+def decode_prices(pages: DataFrame, known_types=None, on_unknown: str = "fail") -> DataFrame:
     """One row per station item, its prices nested in `fuel_prices`, beside `errors`.
 
     A bad price makes the whole item bad. An unknown product code is graver: it fails
@@ -160,44 +185,46 @@ def decode_prices(items: DataFrame, known_types=None, on_unknown: str = "fail")
     if on_unknown not in ("fail", "quarantine"):
         raise ValueError(f"on_unknown must be 'fail' or 'quarantine', not {on_unknown!r}")
     known = list(known_types or [name for _, name, _ in schemas.FUEL_TYPES])
-    i = F.col("item")
-
-    def price(x: Column) -> Column:
-        updated = v.instant(x, "$.price_last_updated")
-        effective = v.instant(x, "$.price_change_effective_timestamp")
-        code = v.string(x, "$.fuel_type")
-        sound = (
-            v.is_number(x, "$.price") & v.is_string(x, "$.fuel_type")
-            & updated.isNotNull() & effective.isNotNull()
+    leaf = F.col("leaf")
+
+    def price(p: Column) -> Column:
+        return F.struct(
+            F.when(v.is_string(p["fuel_type"]), v.value(p["fuel_type"], "string")).alias("fuel_type"),
+            F.when(v.is_number(p["price"]), v.value(p["price"], "double")).alias("price"),
+            *[v.instant(p[n]).alias(n) for n in ("price_last_updated", "price_change_effective_timestamp")],
         )
+
+    def sound(p: Column) -> Column:
+        return (
+            p["fuel_type"].isNotNull() & p["price"].isNotNull()
+            & p["price_last_updated"].isNotNull() & p["price_change_effective_timestamp"].isNotNull()
+        )
+
+    def typed(item: Column) -> Column:
         return F.struct(
-            code.alias("fuel_type"),
-            v.number(x, "$.price").alias("price"),
-            updated.alias("price_last_updated"),
-            effective.alias("price_change_effective_timestamp"),
-            sound.alias("sound"),
-            (v.is_string(x, "$.fuel_type") & ~code.isin(known)).alias("unknown"),
+            item["node_id"].alias("node_id"), item["trading_name"].alias("trading_name"),
+            item["public_phone_number"].alias("public_phone_number"),
+            F.transform(item["fuel_prices"], price).alias("fuel_prices"),
         )
 
-    decoded = items.withColumn("fuel_prices", F.transform(v.elements(i, "$.fuel_prices"), price))
-    unknown = F.coalesce(F.exists("fuel_prices", lambda p: p["unknown"]), F.lit(False))
-    checks = {name: v.is_string(i, f"$.{name}") for name in ("node_id", "trading_name")}
-    checks["public_phone_number"] = v.is_optional(i, "$.public_phone_number", "STRING")
-    checks["fuel_prices"] = F.coalesce(F.forall("fuel_prices", lambda p: p["sound"]), F.lit(False))
+    items = page_items(pages, PRICE_SHAPE, typed)
+    prices = leaf["fuel_prices"]
+    unknown = F.coalesce(F.exists(prices, lambda p: ~p["fuel_type"].isin(known)), F.lit(False))
+    checks = {name: v.is_string(leaf[name]) for name in ("node_id", "trading_name")}
+    checks["public_phone_number"] = v.is_optional(leaf["public_phone_number"], "STRING")
+    checks["fuel_prices"] = F.coalesce(F.forall(prices, sound), F.lit(False))
     page_error = F.col("page_error")
     if on_unknown == "quarantine":
         checks["fuel_type"] = ~unknown
     else:
         page_error = F.coalesce(page_error, F.when(unknown, "unknown fuel type"))
-    return decoded.select(
-        "batch_number", "idx", page_error.alias("page_error"),
-        F.when(F.col("page_error").isNull(), _errors(checks)).alias("errors"),
-        tx.normalise_id(v.string(i, "$.node_id")).alias("node_id"),
-        v.string(i, "$.trading_name").alias("trading_name"),
-        v.string(i, "$.public_phone_number").alias("public_phone_number"),
-        "fuel_prices",
-        F.to_json(i).alias("raw"),
-    )
+    return _with_raw(items.select(
+        "batch_number", "idx", "item", page_error.alias("page_error"),
+        _errors(checks).alias("errors"),
+        tx.normalise_id(v.value(leaf["node_id"], "string")).alias("node_id"),
+        *[v.value(leaf[n], "string").alias(n) for n in ("trading_name", "public_phone_number")],
+        prices.alias("fuel_prices"),
+    ))
 
 
 def fail_on_page_error(decoded: DataFrame) -> DataFrame:
@@ -211,13 +238,13 @@ def fail_on_page_error(decoded: DataFrame) -> DataFrame:
 
 
 def good_items(decoded: DataFrame) -> DataFrame:
-    return decoded.where("page_error is null and size(errors) = 0").drop("page_error", "errors", "raw")
+    return decoded.where("page_error is null and errors = ''").drop("page_error", "errors", "raw")
 
 
 def rejects(decoded: DataFrame) -> DataFrame:
     """`batch_number`, `idx`, `reason`, `raw` of the items that failed a check."""
-    return decoded.where("page_error is null and size(errors) > 0").select(
-        "batch_number", "idx", F.array_join("errors", ", ").alias("reason"), "raw"
+    return decoded.where("page_error is null and errors != ''").select(
+        "batch_number", "idx", F.col("errors").alias("reason"), "raw"
     )
 
 

@@ -34,7 +34,7 @@ def station_stream(
     """Upsert station pages; `every` is a processing-time interval, else what is there now."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        decoded = pg.fail_on_page_error(pg.decode_stations(pg.page_items(batch)))
+        decoded = pg.fail_on_page_error(pg.decode_stations(batch))
         rows = load.latest_stations(pg.good_items(decoded))
         store.stations.upsert(rows, clock(), batch_id=batch_id, stream=name)
 
@@ -48,7 +48,7 @@ def price_stream(
     """Upsert price pages, those of stations not stored when the batch runs left out."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        decoded = pg.fail_on_page_error(pg.decode_prices(pg.page_items(batch), on_unknown=on_unknown))
+        decoded = pg.fail_on_page_error(pg.decode_prices(batch, on_unknown=on_unknown))
         rows = load.clean_prices(pg.price_rows(pg.good_items(decoded)), store.fuel_types)
         known = joins.present_rows(rows, store.stations.read())
         store.prices.upsert(known, clock(), update=["price"], batch_id=batch_id, stream=name)

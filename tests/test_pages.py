@@ -6,7 +6,7 @@ from pricewell.sources import pages as pg
 
 
 def decode(spark, folder, decoder, **kw):
-    return decoder(pg.Feed.at(spark, str(folder)).items(), **kw)
+    return decoder(pg.Feed.at(spark, str(folder)).usable(), **kw)
 
 
 def test_stations_decode(spark, tmp_path):
