@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import text
 from pricewell.functions.times import OVERLAP_SECONDS, utc_literal
+from pricewell.operators.joins import station_side
 
 
 def stations_by_prefix(stations: DataFrame, prefix: str, column: str = "postcode") -> DataFrame:
@@ -29,8 +30,8 @@ def rows_of_station(rows: DataFrame, node_id, key: str = "node_id") -> DataFrame
 
 def id_status(requests: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
     """Adds `status`: `malformed` if no id at all, else `valid` or `absent`."""
-    known = stations.select(F.col(key).alias("_known"))
-    joined = requests.join(known, F.upper(requests[key]) == known["_known"], "left")
+    known = station_side(stations.withColumnRenamed(key, "_known"), "_known")
+    joined = requests.join(known, F.upper(requests[key]) == F.col("_known"), "left")
     status = (
         F.when(~text.is_station_id(requests[key]), "malformed")
         .when(F.col("_known").isNull(), "absent")

@@ -1,8 +1,7 @@
 """Joins between prices, stations and the fuel-type dimension.
 
-No join here forces a broadcast on faith. Catalyst broadcasts a side whose file size
-is under its threshold, and :func:`small_enough` counts (up to its own bound) a
-filtered side whose file size says too little.
+A side is broadcast only when it was counted, up to a bound, just before. A side beyond
+the bound is joined by whatever Catalyst and AQE pick from its size.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Keys of 64 characters: about 100 MB on an executor at the bound.
 BROADCAST_ROWS = 1_000_000
+DIMENSION_ROWS = 100_000
 
 
 def small_enough(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -19,21 +19,42 @@ def small_enough(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return keys.limit(max_rows + 1).count() <= max_rows
 
 
+def dimension_side(dimension: DataFrame) -> DataFrame:
+    """The dimension, broadcast if it is as small as one should be.
+
+    Facts have few distinct dimension keys, so shuffling them by such a key would put
+    a third of them in one task. That must not depend on an estimate.
+    """
+    return F.broadcast(dimension) if small_enough(dimension, DIMENSION_ROWS) else dimension
+
+
+def station_side(stations: DataFrame, *columns: str) -> DataFrame:
+    """Station columns to join to prices: broadcast if few, else left to AQE.
+
+    Beyond the bound the join shuffles by station. AQE then splits the tasks of a
+    station with very many prices, which it can do as long as the prices are the left
+    side of an inner, semi, anti or left outer join.
+    """
+    side = stations.select(*columns)
+    return F.broadcast(side) if small_enough(side) else side
+
+
 def with_dimension(
     facts: DataFrame, dimension: DataFrame, fact_key: str, dim_key: str = "id"
 ) -> DataFrame:
     """Left outer: facts without a match keep NULL dimension columns."""
-    return facts.join(dimension, facts[fact_key] == dimension[dim_key], "left").drop(dimension[dim_key])
+    lookup = dimension.withColumnRenamed(dim_key, "_dim_key")
+    return facts.join(dimension_side(lookup), facts[fact_key] == F.col("_dim_key"), "left").drop("_dim_key")
 
 
 def absent_rows(page: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
     """Rows of the page whose station is unknown, duplicates kept."""
-    return page.join(stations.select(key), key, "left_anti")
+    return page.join(station_side(stations, key), key, "left_anti")
 
 
 def present_rows(page: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
     """Rows of the page whose station is known, duplicates kept."""
-    return page.join(stations.select(key), key, "left_semi")
+    return page.join(station_side(stations, key), key, "left_semi")
 
 
 def resolve_dimension(
@@ -47,7 +68,7 @@ def resolve_dimension(
         F.raise_error(F.concat(F.lit("unknown name: "), F.coalesce(F.col(name), F.lit("NULL")))),
     ).otherwise(F.col("_id"))
     return (
-        facts.join(lookup, facts[name] == lookup["_name"], "left")
+        facts.join(dimension_side(lookup), facts[name] == F.col("_name"), "left")
         .withColumn(out, strict)
         .drop("_name", "_id", *([name] if name != out else []))
     )

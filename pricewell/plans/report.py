@@ -57,8 +57,8 @@ def stations_by_price(
     Only prices of the ranking product are read on.
     """
     chosen = filters.stations_by_prefix(stations, prefix).select(key, "trading_name")
-    wanted = fuel_types.where(F.col("name") == ranking).select(F.col("id").alias("fuel_type_id"))
-    facts = prices.join(wanted, "fuel_type_id", "left_semi")
+    wanted = fuel_types.where(F.col("name") == ranking).select("id")
+    facts = prices.where(F.col("fuel_type_id") == wanted.scalar())
     if prefix:
         facts = joins.restrict_to(facts, chosen, key)
     latest = groups.latest_per_type(facts, key).select(key, F.col("price").alias("rank_price"))
@@ -81,10 +81,14 @@ def stations_with_prices(
     lists = groups.bounded_arrays(
         named, [key], F.date_trunc(bucket, "price_last_updated"), element, "fuel_prices", size
     )
-    return chosen.join(lists, key, "left").select(
-        key, "trading_name", F.lit(None).cast("string").alias("public_phone_number"),
-        "bucket", F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("fuel_prices", F.array().cast(lists.schema["fuel_prices"].dataType)).alias("fuel_prices"),
+    # two joins, not one outer join: AQE can split the lists of a busy station in an inner join
+    listed = lists.join(joins.station_side(chosen, key, "trading_name"), key)
+    unlisted = chosen.join(facts.select(key).distinct(), key, "left_anti").withColumns({
+        "bucket": F.lit(None).cast("timestamp"), "part": F.lit(0).cast("bigint"),
+        "fuel_prices": F.array().cast(lists.schema["fuel_prices"].dataType),
+    })
+    return listed.unionByName(unlisted).select(
+        key, "trading_name", F.lit(None).cast("string").alias("public_phone_number"), "bucket", "part", "fuel_prices"
     )
 
 

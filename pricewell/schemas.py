@@ -65,4 +65,7 @@ RANKING_FUEL = "E10"
 
 
 def fuel_types(spark: SparkSession, rows=FUEL_TYPES) -> DataFrame:
-    return spark.createDataFrame(list(rows), FUEL_TYPE)
+    """The dimension as literal rows, whose exact size Catalyst knows."""
+    marks = ", ".join(f"(CAST(:id{n} AS SMALLINT), :name{n}, :text{n})" for n in range(len(rows)))
+    args = {f"{field}{n}": v for n, row in enumerate(rows) for field, v in zip(("id", "name", "text"), row)}
+    return spark.sql(f"SELECT * FROM VALUES {marks} AS t(id, name, display_text)", args)

@@ -11,6 +11,7 @@ is invisible, and repeating it under the same batch id after it succeeded does n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -28,7 +29,7 @@ from pricewell.operators.upsert import ACTION, STAMP, action_counts, upsert_rows
 MANIFEST = schemas.struct(
     part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), stream=T.StringType(), commit=T.LongType()
 )
-STATION_BUCKETS = 64
+STATION_BUCKETS = 32
 
 
 @dataclass(frozen=True)
@@ -67,14 +68,12 @@ class KeyedTable:
         return newest[0]["commit"], parts, batches
 
     def _write_manifest(self, commit: int, parts: dict[str, int], batches: dict[str, int]) -> None:
-        rows = [(p, c, None, None) for p, c in parts.items()]
-        rows += [(None, None, b, s) for s, b in batches.items()]
-        rows = rows or [(None, None, None, "")]
+        rows = [{"part": p, "c": c} for p, c in parts.items()]
+        rows += [{"stream": s, "batch_id": b} for s, b in batches.items()]
+        text = "\n".join(json.dumps(row) for row in rows or [{}])
         # one file, so that it appears whole or not at all
-        (
-            self.spark.createDataFrame(rows, "part STRING, c BIGINT, batch_id BIGINT, stream STRING")
-            .coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/commit={commit}")
-        )
+        line = self.spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
+        line.write.mode("overwrite").text(f"{self.path}/commits/commit={commit}")
 
     # -- reads ----------------------------------------------------------------
 
