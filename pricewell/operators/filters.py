@@ -32,12 +32,11 @@ def id_status(requests: DataFrame, stations: DataFrame, key: str = "node_id") ->
     """Adds `status`: `malformed` if no id at all, else `valid` or `absent`."""
     known = station_side(stations.withColumnRenamed(key, "_known"), "_known")
     joined = requests.join(known, F.upper(requests[key]) == F.col("_known"), "left")
+    well_formed = F.coalesce(text.is_station_id(requests[key]), F.lit(False))
     status = (
-        F.when(~text.is_station_id(requests[key]), "malformed")
-        .when(F.col("_known").isNull(), "absent")
-        .otherwise("valid")
+        F.when(~well_formed, "malformed").when(F.col("_known").isNull(), "absent").otherwise("valid")
     )
-    return joined.withColumn("status", F.coalesce(status, F.lit("malformed"))).drop("_known")
+    return joined.withColumn("status", status).drop("_known")
 
 
 def changed_since(
