@@ -27,8 +27,9 @@ from pricewell.operators.joins import absent_rows
 from pricewell.operators.upsert import ACTION, STAMP, action_counts, upsert_rows
 
 MANIFEST = schemas.struct(
-    part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), stream=T.StringType(), commit=T.LongType()
+    part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), stream=T.StringType()
 )
+COMMIT_NUMBER = r"commit=(\d+)/[^/]*$"
 STATION_BUCKETS = 32
 
 
@@ -61,11 +62,13 @@ class KeyedTable:
 
         One row per partition or stream comes back: days or buckets, never data rows.
         """
-        commits = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits")
-        newest = commits.where(F.col("commit") == commits.agg(F.max("commit")).scalar()).collect()
+        files = self.spark.read.format("binaryFile").load(f"{self.path}/commits")
+        # a listing only: the content column is not asked for
+        last = files.agg(F.max(F.regexp_extract("path", COMMIT_NUMBER, 1).cast("bigint"))).first()[0]
+        newest = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits/commit={last}").collect()
         parts = {r["part"]: r["c"] for r in newest if r["part"] is not None}
         batches = {r["stream"]: r["batch_id"] for r in newest if r["stream"] is not None and r["batch_id"] is not None}
-        return newest[0]["commit"], parts, batches
+        return last, parts, batches
 
     def _write_manifest(self, commit: int, parts: dict[str, int], batches: dict[str, int]) -> None:
         rows = [{"part": p, "c": c} for p, c in parts.items()]
@@ -98,6 +101,19 @@ class KeyedTable:
         }
         return self._scan(chosen).drop("part")
 
+    def superseded(self) -> DataFrame:
+        """`folder` of each partition version no longer current, for whoever frees the space.
+
+        Only once no reader is left that started before the newest commit.
+        """
+        last, parts, _ = self._manifest()
+        versions = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits").where("part is not null")
+        folder = F.concat(F.lit(f"{self.path}/data/c="), F.col("c").cast("string"), F.lit("/part="), "part")
+        current = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits/commit={last}")
+        return versions.select(folder.alias("folder")).distinct().join(
+            current.where("part is not null").select(folder.alias("folder")), "folder", "left_anti"
+        )
+
     # -- changes --------------------------------------------------------------
 
     def _commit(self, rows: DataFrame, commit: int) -> None:

@@ -266,6 +266,12 @@ FROM ({STATION}) WHERE {BAD_STATION} GROUP BY 1
 UNION ALL
 SELECT 'prices: ' || CASE event_type WHEN 'error' THEN 'node_id' WHEN 'signup' THEN 'trading_name' ELSE 'fuel_prices' END,
        count(*) FROM events WHERE {BAD_EVENT} GROUP BY 1""",
+    "unknown_types": f"""
+WITH i AS (SELECT *, ({PAGE})::BIGINT AS batch_number,
+                  row_number() OVER (PARTITION BY {PAGE} ORDER BY event_id) - 1 AS idx FROM events)
+SELECT batch_number, idx, CASE event_type WHEN 'error' THEN 'node_id' WHEN 'signup' THEN 'trading_name'
+         WHEN 'click' THEN 'fuel_prices' ELSE 'fuel_type' END AS reason
+FROM i WHERE {BAD_EVENT} OR event_type = 'purchase'""",
     "page_sequence": """
 WITH p AS (SELECT (floor(event_id / 20) + 1)::BIGINT AS batch_number, count(*) FILTER (WHERE value > 100) AS n_items
            FROM events GROUP BY 1)
@@ -279,6 +285,11 @@ FROM p""",
 UNION ALL
 SELECT 'STATIONS-AND-PRICES', NULL, NULL, epoch_us({ts(q.BATCH_TS)} - INTERVAL 60 SECOND), NULL""",
     "stream_ingest": stored(GOOD_PRICES),
+    "table_retention": f"""
+SELECT 'CARS' AS name, count(*) AS n_rows FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
+UNION ALL
+SELECT fuel_type_id::VARCHAR, count(DISTINCT (node_id, date_trunc('second', updated), effective)) FROM ({PRICE})
+WHERE node_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE') GROUP BY 1""",
     "activity_sessions": f"""
 SELECT user_id, epoch_us(s) AS session_start, epoch_us(e) AS session_end, n_touches FROM ({SESSIONS})""",
     "active_users": f"""

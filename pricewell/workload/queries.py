@@ -17,6 +17,7 @@ from pricewell.operators.upsert import ACTION, action_counts, upsert_rows
 from pricewell.plans import history, load, report
 from pricewell.session import work_dir
 from pricewell.sources import pages as pg
+from pricewell.sources.keyed_table import prune_stations
 from pricewell.streaming import ingest
 from pricewell.streaming.activity import session_stream
 from pricewell.workload import tables as wt
@@ -350,6 +351,13 @@ def reject_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def unknown_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejects when the feed knows no HVO and unknown codes are set aside."""
+    known = [code for code in wt.FEED_CODES.values() if code != "HVO"]
+    decoded = pg.decode_prices(wt.price_pages(spark, sf), known, on_unknown="quarantine")
+    return pg.rejects(decoded).select("batch_number", F.col("idx").cast("bigint").alias("idx"), "reason")
+
+
 def page_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of 20 events listing those above 100; a page of none ends the sequence."""
     e = wt.table(spark, sf, "events")
@@ -409,6 +417,30 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(store)
 
 
+def table_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables loaded, one brand's stations changed later, all older ones pruned with their prices."""
+    root = work_dir(spark, "retention")
+    store = load.Store.at(spark, root).create()
+    blank = {c: F.lit(None).cast("boolean") for c in schemas.STATION_FLAGS}
+    blank |= {c: F.lit(None).cast("string") for c in ("country", "county")}
+    rows = wt.stations(spark, sf).withColumns(
+        {**blank, "node_id": wt.hex_id(F.col("node_id")), "fuel_types": F.array(F.lit("E10"))}
+    )
+    store.stations.upsert(rows, SINCE)
+    prices = wt.prices(spark, sf).withColumns({
+        "node_id": wt.hex_id(F.col("node_id")), "price_last_updated": tm.to_second(F.col("price_last_updated")),
+    })
+    store.prices.upsert(groups.last_writer(prices, list(schemas.PRICE_KEY), ["price"]), SINCE)
+    changed = F.when(F.col("brand_name") == "AUTOMOBILE", "CARS").otherwise(F.col("brand_name"))
+    store.stations.upsert(rows.withColumn("brand_name", changed), BATCH_TS)
+    prune_stations(store.stations, store.prices, BATCH_TS)
+    kept = store.stations.read().groupBy("brand_name").agg(F.count("*").alias("n_rows"))
+    priced = store.prices.read().groupBy("fuel_type_id").agg(F.count("*").alias("n_rows"))
+    return kept.select(F.col("brand_name").alias("name"), "n_rows").unionByName(
+        priced.select(F.col("fuel_type_id").cast("string").alias("name"), "n_rows")
+    )
+
+
 # -- activity ------------------------------------------------------------------------
 
 
@@ -461,7 +493,8 @@ QUERIES = {
         present_rows, station_prices_nested, latest_per_type, latest_per_type_events, latest_report,
         postcode_report, supplier_report, cheapest_order, history_points, history_series_json, supplier_history,
         last_writer, upsert_all_columns, upsert_one_column, upsert_counts, prune_prices, prune_stations_cascade,
-        station_items, price_items, reject_summary, page_sequence, full_load, partial_load, stream_ingest,
+        station_items, price_items, reject_summary, unknown_types, page_sequence,
+        full_load, partial_load, stream_ingest, table_retention,
         activity_sessions, active_users, unexpired_state, state_latest, stream_sessions,
     )
 }

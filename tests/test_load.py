@@ -84,6 +84,15 @@ def test_price_conflict_changes_price_only(store, feed):
     assert rows == [(5, 139.0, 13), (6, 150.0, 12)]
 
 
+def test_superseded_folders_are_those_no_reader_needs(store, feed):
+    load.load_stations(store, feed("s", [station(1)]), T0)
+    assert store.stations.superseded().count() == 0
+    load.load_stations(store, feed("s2", [station(1, brand_name="X")]), T1)
+    old = [r["folder"] for r in store.stations.superseded().collect()]
+    assert len(old) == 1 and "/c=1/" in old[0]
+    assert store.stations.read().first()["brand_name"] == "X"
+
+
 def test_pages_before_a_bad_one_stay_stored(store, feed):
     with pytest.raises(load.FeedError, match="page 3"):
         load.load_stations(store, feed("s", [station(1)], [station(2)], "{}", [station(4)]), T0)
