@@ -30,6 +30,7 @@ STATION_SINCE = datetime(2001, 5, 1)
 AS_OF = datetime(2024, 1, 30, 23, 59, 30)
 BATCH_TS = datetime(2024, 2, 1)
 SERIES_SIZE = 4
+PAGE_ROWS = "batch_number bigint, value string"
 
 
 def micros(name: str, alias: str | None = None):
@@ -377,22 +378,32 @@ def _stored(store: load.Store) -> DataFrame:
     )
 
 
+def _land(spark: SparkSession, sf: str, root: str) -> None:
+    """Both feeds as page rows in files, the way pages wait to be read."""
+    for name, pages in (("stations", wt.station_pages(spark, sf)), ("prices", wt.price_pages(spark, sf))):
+        pages.write.parquet(f"{root}/landed/{name}")
+
+
+def _feeds(spark: SparkSession, root: str) -> list[pg.Feed]:
+    return [pg.Feed.of(spark.read.schema(PAGE_ROWS).parquet(f"{root}/landed/{name}")) for name in ("stations", "prices")]
+
+
 def full_load(spark: SparkSession, sf: str) -> DataFrame:
     """Both feeds into empty tables; the stored prices."""
-    store = load.Store.at(spark, work_dir(spark, "full-load")).create()
-    load.full_load(
-        store, pg.Feed.of(wt.station_pages(spark, sf)), pg.Feed.of(wt.price_pages(spark, sf)), BATCH_TS
-    )
+    root = work_dir(spark, "full-load")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    load.full_load(store, *_feeds(spark, root), BATCH_TS)
     return _stored(store)
 
 
 def partial_load(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a cursor: prices changed before it are left out."""
-    store = load.Store.at(spark, work_dir(spark, "partial-load")).create()
+    root = work_dir(spark, "partial-load")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
     load.write_cursor(store, CURSOR, CURSOR)
-    load.partial_update(
-        store, pg.Feed.of(wt.station_pages(spark, sf)), pg.Feed.of(wt.price_pages(spark, sf)), BATCH_TS
-    )
+    load.partial_update(store, *_feeds(spark, root), BATCH_TS)
     stored = _stored(store)
     cursor = store.cursors.read().select(
         F.col("id").alias("node_id"), F.lit(None).cast("bigint").alias("fuel_type_id"),
@@ -405,11 +416,10 @@ def partial_load(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The same feeds as page streams, in several micro-batches; the stored prices."""
     root = work_dir(spark, "stream-ingest")
-    for name, pages in (("stations", wt.station_pages(spark, sf)), ("prices", wt.price_pages(spark, sf))):
-        pages.write.parquet(f"{root}/landed/{name}")
+    _land(spark, sf, root)
 
     def landed(name: str) -> DataFrame:
-        reader = spark.readStream.schema("batch_number bigint, value string").option("maxFilesPerTrigger", 4)
+        reader = spark.readStream.schema(PAGE_ROWS).option("maxFilesPerTrigger", 4)
         return reader.parquet(f"{root}/landed/{name}")
 
     store = load.Store.at(spark, f"{root}/store").create()
