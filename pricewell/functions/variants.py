@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricewell.functions.times import parse_instant
 
 VOID = "VOID"
+LAST_MILLIS = 253_402_300_799_999  # the end of year 9999
 
 
 def has_type(leaf: Column, *kinds: str) -> Column:
@@ -40,5 +41,6 @@ def value(leaf: Column, kind: str) -> Column:
 
 def instant(leaf: Column) -> Column:
     """ISO text, or a number of epoch milliseconds; NULL otherwise."""
-    millis = F.timestamp_millis(value(leaf, "double").cast("bigint"))
-    return F.when(is_string(leaf), parse_instant(value(leaf, "string"))).when(is_number(leaf), millis)
+    millis = value(leaf, "double").try_cast("bigint")
+    moment = F.when(millis.between(-LAST_MILLIS, LAST_MILLIS), F.timestamp_millis(millis))
+    return F.when(is_string(leaf), parse_instant(value(leaf, "string"))).when(is_number(leaf), moment)

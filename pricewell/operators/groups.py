@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POINTS_PER_CHUNK = 10_000
+SPLIT_ROWS = 4_000_000
 
 
 def top_row(df: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
@@ -36,23 +39,43 @@ def last_writer(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def bounded_arrays(
-    rows: DataFrame, keys: Sequence[str], bucket: Column, element: Column, out: str,
-    size: int = POINTS_PER_CHUNK,
+    rows: DataFrame, keys: Sequence[str], position: Column, bucket: Column, element: Column, out: str,
+    size: int = POINTS_PER_CHUNK, split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Group `element` structs into sorted arrays of at most `size` items.
 
-    Columns: `keys`, `bucket`, `part`, `out`. A group is split by `bucket` before it is
-    ordered, so no task sorts a whole hot group, and again by position, so no array
-    outgrows `size`. Read in (`bucket`, `part`) order the arrays give the whole group
-    when `bucket` rises with the first field of `element`.
+    Columns: `keys`, `bucket`, `part`, `out`. `position` is a BIGINT that rises with the
+    first field of `element`, and `bucket` rises with it; read in (`bucket`, `part`)
+    order the arrays of a group give all of it in order.
+
+    A bucket of more than `split_rows` rows is cut into even stretches of `position`
+    before it is ordered, so no task sorts a hot group whole. The list of such buckets is
+    broadcast: each stands for more than `split_rows` rows, so there are at most
+    rows / `split_rows` of them. Counting them reads the key columns once more and is
+    combined before its shuffle. The stretch is the upper half of `part`.
     """
-    staged = rows.select(*keys, bucket.alias("bucket"), element.alias("_element"))
-    w = Window.partitionBy(*keys, "bucket").orderBy("_element")
-    part = F.floor((F.row_number().over(w) - 1) / size).cast("bigint")
+    group = [*keys, "bucket"]
+    staged = rows.select(*keys, bucket.alias("bucket"), position.alias("_at"), element.alias("_element"))
+    # null-safe on every key, as grouping is
+    busy = (
+        staged.groupBy(*group)
+        .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+        .where(F.col("_n") > split_rows)
+        .select(*[F.col(c).alias(f"_busy_{c}") for c in group], "_n", "_lo", "_hi")
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_busy_{c}")) for c in group])
+    n_slots = F.ceil(F.col("_n") / split_rows)
+    slot = F.floor((F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n_slots)
+    slotted = staged.join(F.broadcast(busy), same, "left").select(
+        *group, "_element", F.coalesce(F.least(slot, n_slots - 1), F.lit(0)).cast("bigint").alias("_slot")
+    )
+    w = Window.partitionBy(*group, "_slot").orderBy("_element")
+    part = F.shiftleft("_slot", 32) + F.floor((F.row_number().over(w) - 1) / size).cast("bigint")
     return (
-        staged.withColumn("part", part)
-        .groupBy(*keys, "bucket", "part")
+        slotted.withColumn("part", part)
+        .groupBy(*group, "_slot", "part")
         .agg(F.array_sort(F.collect_list("_element")).alias(out))
+        .select(*group, "part", out)
     )
 
 

@@ -1,6 +1,6 @@
 """Joins between prices, stations and the fuel-type dimension.
 
-A side is broadcast only when it was counted, up to a bound, just before. A side beyond
+A side is broadcast only when it was counted just before and is within a bound. A side beyond
 the bound is joined by whatever Catalyst and AQE pick from its size.
 """
 
@@ -15,8 +15,12 @@ DIMENSION_ROWS = 100_000
 
 
 def small_enough(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `keys` has at most `max_rows` rows; reads no further than that."""
-    return keys.limit(max_rows + 1).count() <= max_rows
+    """Whether `keys` has at most `max_rows` rows.
+
+    A plain count: it adds up in the map tasks. A limit first would move that many rows
+    of every task to a single one.
+    """
+    return keys.count() <= max_rows
 
 
 def dimension_side(dimension: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def history_series(
     """
     points = history_points(prices, fuel_types, node_id, key)
     when = F.date_trunc(bucket, F.timestamp_millis("x"))
-    return groups.bounded_arrays(points, [key, "name"], when, F.struct("x", "y"), "data", size)
+    return groups.bounded_arrays(points, [key, "name"], F.col("x"), when, F.struct("x", "y"), "data", size)
 
 
 def series_json(series: DataFrame, key: str = "node_id") -> DataFrame:

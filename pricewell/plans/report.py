@@ -79,7 +79,8 @@ def stations_with_prices(
     named = joins.with_dimension(facts, fuel_types.select("id", F.col("name").alias("fuel_type")), "fuel_type_id")
     element = F.struct("price_last_updated", "price_change_effective_timestamp", "fuel_type", "price")
     lists = groups.bounded_arrays(
-        named, [key], F.date_trunc(bucket, "price_last_updated"), element, "fuel_prices", size
+        named, [key], F.unix_micros("price_last_updated"), F.date_trunc(bucket, "price_last_updated"), element,
+        "fuel_prices", size,
     )
     # two joins, not one outer join: AQE can split the lists of a busy station in an inner join
     listed = lists.join(joins.station_side(chosen, key, "trading_name"), key)

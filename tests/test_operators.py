@@ -107,19 +107,24 @@ def test_latest_per_type_matches_brute_force_with_a_hot_station(spark):
     assert {(r[0], r[1]): tuple(r[2:]) for r in got} == best and len(got) == len(best)
 
 
-def test_bounded_arrays_hold_the_whole_group_in_order(spark):
+@pytest.mark.parametrize("split_rows", [10, 100, 10**9])
+def test_bounded_arrays_hold_the_whole_group_in_order(spark, split_rows):
     rnd = random.Random(2)
-    rows = [("hot" if rnd.random() < 0.5 else f"n{rnd.randrange(9)}", rnd.randrange(10_000)) for _ in range(5000)]
+    rows = [("hot" if rnd.random() < 0.5 else rnd.choice([None, *"abcdefg"]), rnd.randrange(10_000)) for _ in range(5000)]
     df = spark.createDataFrame(rows, "k string, x int")
-    arrays = groups.bounded_arrays(df, ["k"], F.floor(F.col("x") / 1000), F.struct("x"), "xs", size=50)
+    arrays = groups.bounded_arrays(
+        df, ["k"], F.col("x").cast("bigint"), F.floor(F.col("x") / 1000), F.struct("x"), "xs", size=50, split_rows=split_rows
+    )
     got = defaultdict(list)
     for r in arrays.orderBy("k", "bucket", "part").collect():
         assert 0 < len(r["xs"]) <= 50
         got[r["k"]] += [p["x"] for p in r["xs"]]
     want = defaultdict(list)
-    for k, x in sorted(rows):
+    for k, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
         want[k].append(x)
     assert got == want
+    slots = arrays.where("k = 'hot'").selectExpr("max(part >> 32)").first()[0]
+    assert (slots > 0) == (split_rows < 10**9)
 
 
 def test_last_writer_is_sequential_application(spark):

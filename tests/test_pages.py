@@ -69,7 +69,7 @@ def test_instant_forms(spark, tmp_path):
     land(tmp_path, 1, [prices(1, *[price(updated=f) for f in forms])])
     rows = pg.price_rows(pg.good_items(decode(spark, tmp_path, pg.decode_prices)))
     assert {r[0] for r in rows.selectExpr("unix_millis(price_last_updated)").collect()} == {1772359200000}
-    bad = ["2026-03-01", "2026-13-01T10:00:00Z", "yesterday", None, True]
+    bad = ["2026-03-01", "2026-13-01T10:00:00Z", "yesterday", None, True, 1e30]
     land(tmp_path / "bad", 1, [prices(i, price(updated=f)) for i, f in enumerate(bad)])
     decoded = decode(spark, tmp_path / "bad", pg.decode_prices)
     assert pg.rejects(decoded).count() == len(bad) and pg.good_items(decoded).count() == 0
