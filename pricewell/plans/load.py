@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,7 +153,7 @@ def full_load(store: Store, stations: pg.Feed, prices: pg.Feed, now: datetime) -
 def read_cursor(store: Store) -> datetime | None:
     # through epoch microseconds: a collected timestamp would shift by the driver's zone
     micros = station_by_id(store.cursors.read(), CURSOR_ID, "id").select(F.unix_micros("last_update")).first()
-    return None if micros is None else datetime.fromtimestamp(micros[0] / 1_000_000, timezone.utc).replace(tzinfo=None)
+    return None if micros is None else datetime(1970, 1, 1) + timedelta(microseconds=micros[0])
 
 
 def write_cursor(store: Store, moment: datetime, now: datetime) -> None:

@@ -94,12 +94,12 @@ def unit_repair_large(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Both dates of a price as shown; July dates come from the ship dates."""
+    """Event times, and half an hour to midnight of each order date, as shown to a reader."""
     ts = F.col("ts").cast("timestamp")
     e = wt.table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.lit("event").alias("kind"), tm.date_label(ts).alias("label"),
     )
-    # one microsecond to midnight: the label zone is a day ahead of UTC in summer
+    # in summer the label zone is a day ahead of UTC by then
     late = F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL '23:30' HOUR TO MINUTE")
     o = wt.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"), tm.date_label(late).alias("label"),
