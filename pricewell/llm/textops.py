@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 BREAKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 PIECE_DOCS = 256
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 U = np.uint64
 
