@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import host_rules, line_dedup, substring_dedup, token_files, topk_search
+from pricewell.llm import host_rules, line_dedup, ngram_join, substring_dedup, token_files, topk_search
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
 
@@ -39,6 +39,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group_ngrams(table(spark, sf_dir, "documents"), words=4, part=85, whole=100)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -51,7 +55,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: globals()[name]
-    for name in ("op1_topk_search", "op2_token_files", "op4_substring_dedup", "op6_line_dedup", "op7_host_rules")
+    for name in ("op1_topk_search", "op2_token_files", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules")
 }
 
 ORACLES: dict[str, str] = {}
