@@ -117,8 +117,8 @@ def _edge_batches(batches, words: int, hot: np.ndarray, buckets: int):
         yield _pack_edges(*map(np.concatenate, zip(*held)), hot, buckets)
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Ranges of edges that a smaller document holds too, packed per document."""
+def _settle(table: pa.Table, buckets: int) -> pa.Table:
+    """Ranges of edges that a smaller document holds too, packed by bucket of the document."""
     key, doc, first, count, mark = P.split(table.column("packed"), *KINDS)
     known = count < 0
     ranges = [(doc[known], first[known], -count[known])]
@@ -147,6 +147,13 @@ def _settle(table: pa.Table) -> pa.Table:
             gone = e_doc > least
             ranges.append((e_doc[gone], e_first[gone], np.ones(int(gone.sum()), np.int64)))
     doc, first, count = (np.concatenate([r[i] for r in ranges]).astype(np.int64) for i in range(3))
+    parts = [(b, P.join(doc[i], first[i], count[i])) for b, i in P.by_bucket(doc, buckets)]
+    return pa.Table.from_batches([P.rows(parts)])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All ranges of each document of a bucket."""
+    doc, first, count = P.split(table.column("packed"), "<i8", "<i8", "<i8")
     order = np.argsort(doc, kind="stable")
     doc, both = doc[order], np.stack([first[order], count[order]], axis=1).astype("<i4")
     start, length = P.groups(doc)
@@ -157,12 +164,12 @@ def _settle(table: pa.Table) -> pa.Table:
 def _remove_batches(batches, words: int):
     for batch in batches:
         texts, totals, removed = [], [], []
-        for text, ranges in zip(batch.column("text"), batch.column("all_ranges").to_pylist()):
+        for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
             found = (text.as_py() or "").encode().split()  # bytes split at the same breaks
             gone = 0
             totals.append(len(found))
             if ranges:
-                span = np.frombuffer(b"".join(ranges), "<i4").reshape(-1, 2)
+                span = np.frombuffer(ranges, "<i4").reshape(-1, 2)
                 span = span[span[:, 0] + span[:, 1] + words - 1 <= len(found)]
                 edge = np.zeros(len(found) + 1, np.int64)
                 np.add.at(edge, span[:, 0], 1)
@@ -172,7 +179,7 @@ def _remove_batches(batches, words: int):
                 found = [found[i] for i in np.flatnonzero(keep).tolist()]
             texts.append(b" ".join(found).decode())
             removed.append(gone)
-        names = [n for n in batch.schema.names if n != "all_ranges"]
+        names = [n for n in batch.schema.names if n != "ranges"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
             names=[*names, "kept_text", "n_words", "n_removed"],
@@ -188,13 +195,13 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS) -> DataFrame:
     count as one document that never removes from itself, and share their ranges, so ids should be unique. A null
     doc_id takes no part and keeps its words. An empty table gives no rows.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed", "of_doc", "all_ranges")
+    docs = docs.drop("kept_text", "n_words", "n_removed", "of_doc", "ranges")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = P.bucket_count(known)
     hot = hot_keys(known, words)
     edges = known.mapInArrow(lambda b: _edge_batches(b, words, hot, buckets), P.SCHEMA)
-    ranges = edges.groupBy("bucket").applyInArrow(_settle, "of_doc long, ranges binary")
-    ranges = ranges.groupBy("of_doc").agg(F.collect_list("ranges").alias("all_ranges"))
+    settled = edges.groupBy("bucket").applyInArrow(lambda t: _settle(t, buckets), P.SCHEMA)
+    ranges = settled.groupBy("bucket").applyInArrow(_gather, "of_doc long, ranges binary")
     marked = docs.join(ranges, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return marked.mapInArrow(lambda b: _remove_batches(b, words), f"{schema}, kept_text string, n_words long, n_removed long")
