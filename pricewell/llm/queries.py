@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import host_rules, line_dedup, ngram_join, substring_dedup, token_files, topk_search
+from pricewell.llm import host_rules, html_text, line_dedup, ngram_join, source_mix, substring_dedup, token_files, topk_search
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
 
@@ -53,9 +53,17 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: globals()[name]
-    for name in ("op1_topk_search", "op2_token_files", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules")
+    for name in ("op1_topk_search", "op2_token_files", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op9_source_mix", "op10_html_text")
 }
 
 ORACLES: dict[str, str] = {}
