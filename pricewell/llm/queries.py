@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import host_rules, html_text, line_dedup, ngram_join, source_mix, substring_dedup, token_files, topk_search
+from pricewell.llm import host_rules, html_text, line_dedup, ngram_join, pieces, quality, source_mix, substring_dedup, token_files, topk_search
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
 
@@ -34,6 +34,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_start(rows, files.select("shard", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def learned_from(doc_id: str = "doc_id"):
+    """Rows that labels may be learned from; the others are held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), learned_from())
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (~learned_from()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -53,6 +65,14 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every text as digests, and whether decoding them gives the text back."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), token_files.ids_crc32(F.col("piece_ids")).alias("ids_crc32"), same.alias("lossless"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,7 +83,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: globals()[name]
-    for name in ("op1_topk_search", "op2_token_files", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op9_source_mix", "op10_html_text")
+    for name in ("op1_topk_search", "op2_token_files", "op3_quality", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op8_pieces", "op9_source_mix", "op10_html_text")
 }
 
 ORACLES: dict[str, str] = {}
