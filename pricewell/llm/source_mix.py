@@ -24,6 +24,8 @@ SHARD_SLOTS = 1024
 ROUNDS = 12
 GRID = 4096
 SPAN = 4096
+BUCKET_DOCS = 512
+TASK_SLOTS = 1 << 16
 SEED = 20
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, folder: str | None = None, seed: int = SEED, weights=WE
     n_slots, n_docs = counts["slots"] or 0, counts["docs"] or 0
 
     taken_of = _block_takes(_slots(sources, n_slots, seed), sources, seed, block)
-    laid = _laid_out(rows, sources, max(1, n_docs // SPAN), seed, block)
+    laid = _laid_out(rows, sources, max(1, n_docs // BUCKET_DOCS), seed, block)
     overlap = F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, t: sum_ + F.greatest(F.least(F.col("to"), t) - F.col("from"), F.lit(0)))
     per_row = laid.join(taken_of, ["number", "block"]).groupBy("mix_row").agg(F.sum(overlap).alias("taken"))
     named = sources.select(F.col("source").alias("mix_source"), "source_size", "target")
@@ -137,6 +139,7 @@ def _slots(sources: DataFrame, n_slots: int, seed: int) -> DataFrame:
     late = late.select("number", (F.col("part") + shards).alias("shard"), (F.col("got") + F.col("part") * SHARD_SLOTS).alias("first"), F.lit(SHARD_SLOTS).cast("long").alias("count"))
     every = first.select("number", "shard", "first", "count").unionByName(late).join(sources.select("number", "slots"), "number")
     every = every.withColumn("last", F.least(F.col("first") + F.col("count"), F.col("slots")) - 1).where("last >= first")
+    every = every.repartition(max(1, -(-n_slots // TASK_SLOTS)), "number", "shard")
     return every.select("number", "shard", F.explode(F.sequence("first", "last")).alias("slot"))
 
 
