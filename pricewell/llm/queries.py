@@ -67,10 +67,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled piece ids of every text as digests, and whether decoding them gives the text back."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), token_files.ids_crc32(F.col("piece_ids")).alias("ids_crc32"), same.alias("lossless"))
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
