@@ -32,6 +32,7 @@ BLOCK_TAGS = frozenset("""
 address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul
 """.split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUT_TAGS = frozenset("aside button dialog footer form head iframe menu nav noscript object select svg template textarea title canvas audio video".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -157,8 +158,8 @@ def first_pass(block: Block) -> bool | None:
     return None
 
 
-def second_pass(labels: list[bool | None], has_article: bool) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided block; at equal distance both must be in.
+def second_pass(labels: list[bool | None], headings: list[bool], has_article: bool) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block; at equal distance a heading that of the block after, others that before.
 
     On a page with an article element, what lies outside of it and is undecided is out."""
     known = [i for i, label in enumerate(labels) if label is not None]
@@ -180,10 +181,7 @@ def second_pass(labels: list[bool | None], has_article: bool) -> list[bool]:
             left, right = before[i], after[i]
             d_left = i - left if left is not None else len(labels)
             d_right = right - i if right is not None else len(labels)
-            if d_left == d_right:
-                out.append(labels[left] and labels[right])
-            else:
-                out.append(labels[left] if d_left < d_right else labels[right])
+            out.append(labels[right] if d_right < d_left or d_right == d_left and headings[i] else labels[left])
     return out
 
 
@@ -193,7 +191,7 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     labels = [first_pass(b) for b in found]
-    kept = second_pass(labels, any(b.article for b in found))
+    kept = second_pass(labels, [b.tag in HEADINGS for b in found], any(b.article for b in found))
     return " ".join(b.text for b, keep in zip(found, kept) if keep)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.llm import host_rules, html_text, line_dedup, ngram_join, pieces, quality, source_mix, substring_dedup, token_files, topk_search
+from pricewell.llm.oracles import ORACLES  # noqa: F401 - offered beside the queries
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
 
@@ -82,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: globals()[name]
     for name in ("op1_topk_search", "op2_token_files", "op3_quality", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op8_pieces", "op9_source_mix", "op10_html_text")
 }
-
-ORACLES: dict[str, str] = {}
