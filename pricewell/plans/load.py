@@ -31,6 +31,7 @@ class Loaded:
     change: Change
     rejected: int
     absent: int = 0
+    older: int = 0
     rejects: DataFrame | None = field(default=None, repr=False)
     absent_items: DataFrame | None = field(default=None, repr=False)
 
@@ -125,14 +126,21 @@ def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
 def load_prices(
     store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
 ) -> Loaded:
-    """Upsert the prices of a feed, those of unknown stations left out."""
+    """Upsert the prices of a feed, those of unknown stations left out.
+
+    `since` is for a feed that is a snapshot: prices changed before it are left out and counted in `older`.
+    """
     spark = store.prices.spark
     decoded = pg.decode_prices(feed.usable(), on_unknown=on_unknown)
     staged, rejected, failure = _stage(spark, decoded, "prices")
     good = pg.good_items(staged)
     stations = store.stations.read()
     absent = joins.absent_rows(good.select("batch_number", "idx", "node_id"), stations)
-    rows = changed_since(pg.price_rows(good), since, overlap_seconds=0)
+    rows = pg.price_rows(good)
+    n_older = 0
+    if since is not None:
+        n_older = rows.where(F.col("price_last_updated") < utc_literal(since)).count()
+        rows = changed_since(rows, since, overlap_seconds=0)
     known = joins.present_rows(clean_prices(rows, store.fuel_types), stations)
     change = store.prices.upsert(known, now, update=["price"])
     n_absent = absent.count()
@@ -142,7 +150,9 @@ def load_prices(
         log.error("%d price items rejected", rejected)
     if failure:
         raise failure
-    return Loaded(change, rejected, n_absent, pg.rejects(staged), absent)
+    if n_older:
+        log.warning("%d prices older than the cursor left out of a snapshot", n_older)
+    return Loaded(change, rejected, n_absent, n_older, pg.rejects(staged), absent)
 
 
 def full_load(store: Store, stations: pg.Feed, prices: pg.Feed, now: datetime) -> tuple[Loaded, Loaded]:
@@ -163,13 +173,14 @@ def write_cursor(store: Store, moment: datetime, now: datetime) -> None:
 
 
 def partial_update(
-    store: Store, stations: pg.Feed, prices: pg.Feed, run_start: datetime
+    store: Store, stations: pg.Feed, prices: pg.Feed, run_start: datetime, snapshot: bool = False
 ) -> tuple[Loaded, Loaded] | None:
     """Stations, then prices, changed since the cursor; the cursor moves last.
 
     Without a cursor nothing is done. A failure leaves the cursor, so the next run reads
-    the same stretch again, and the upserts make the repeat harmless. Station items have
-    no change time: their pages hold what the feed returned for this cursor.
+    the same stretch again, and the upserts make the repeat harmless. The pages are what
+    the feed returned for this cursor, and all of them is stored. Only where they hold the
+    whole feed instead (`snapshot`) are prices from before the cursor left out.
     """
     cursor = read_cursor(store)
     if cursor is None:
@@ -177,7 +188,7 @@ def partial_update(
         return None
     done = (
         load_stations(store, stations, run_start),
-        load_prices(store, prices, run_start, since=read_from(cursor)),
+        load_prices(store, prices, run_start, since=read_from(cursor) if snapshot else None),
     )
     write_cursor(store, next_cursor(run_start), run_start)
     return done

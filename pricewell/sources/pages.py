@@ -17,7 +17,6 @@ from pricewell.functions import variants as v
 
 PAGE_NUMBER = r"(\d+)(?:\.json)?(?:/part-[^/]*)?$"
 EMPTY_PAGE = r"^\s*\[\s*\]\s*$"
-SMALL_PAGE = 4096
 
 # What is read of an item; other fields are ignored. Leaves stay VARIANT to show their type.
 _FLAG_LEAVES = ", ".join(f"{flag}: variant" for flag in schemas.STATION_FLAGS)
@@ -43,7 +42,7 @@ class Feed:
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> "Feed":
-        return cls(read_pages(spark, path), page_listing(spark, path))
+        return cls.of(read_pages(spark, path))
 
     @classmethod
     def of(cls, pages: DataFrame) -> "Feed":
@@ -73,22 +72,11 @@ def with_page_number(files: DataFrame) -> DataFrame:
     return files.select(number.try_cast("bigint").alias("batch_number"), "value")
 
 
-def page_listing(spark: SparkSession, path: str) -> DataFrame:
-    """`batch_number`, `filled` for each landed file.
+def list_pages(pages: DataFrame) -> DataFrame:
+    """`batch_number`, `filled` of each page: whether its array has items, whatever its length in bytes.
 
-    The content column is asked for on small files only, so for the others this is a
-    directory listing: no serializer writes an array of nothing in `SMALL_PAGE` bytes.
+    A page that is filled is told at its first bytes; only blanks are read further.
     """
-    files = spark.read.format("binaryFile").load(path)
-    number = F.regexp_extract("path", PAGE_NUMBER, 1).try_cast("bigint").alias("batch_number")
-    large = files.where(F.col("length") >= SMALL_PAGE).select(number, F.lit(True).alias("filled"))
-    content = F.decode("content", "UTF-8")
-    small = files.where(F.col("length") < SMALL_PAGE).select(number, (~content.rlike(EMPTY_PAGE)).alias("filled"))
-    return large.unionByName(small)
-
-
-def list_pages(pages: DataFrame) -> DataFrame:
-    """The same from page texts already at hand."""
     return pages.select("batch_number", (~F.col("value").rlike(EMPTY_PAGE)).alias("filled"))
 
 

@@ -22,6 +22,12 @@ def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def replay_mark(batch: DataFrame, name: str) -> str:
+    """Names the stream that a batch number belongs to: a new checkpoint is a new query, and counts from 0 again."""
+    query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{name}@{query_id}" if query_id else name
+
+
 def _start(pages: DataFrame, apply, checkpoint: str, name: str, every: str | None) -> StreamingQuery:
     writer = pages.writeStream.queryName(name).foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -36,7 +42,7 @@ def station_stream(
     def apply(batch: DataFrame, batch_id: int) -> None:
         decoded = pg.fail_on_page_error(pg.decode_stations(batch))
         rows = load.latest_stations(pg.good_items(decoded))
-        store.stations.upsert(rows, clock(), batch_id=batch_id, stream=name)
+        store.stations.upsert(rows, clock(), batch_id=batch_id, stream=replay_mark(batch, name))
 
     return _start(pages, apply, checkpoint, name, every)
 
@@ -51,7 +57,7 @@ def price_stream(
         decoded = pg.fail_on_page_error(pg.decode_prices(batch, on_unknown=on_unknown))
         rows = load.clean_prices(pg.price_rows(pg.good_items(decoded)), store.fuel_types)
         known = joins.present_rows(rows, store.stations.read())
-        store.prices.upsert(known, clock(), update=["price"], batch_id=batch_id, stream=name)
+        store.prices.upsert(known, clock(), update=["price"], batch_id=batch_id, stream=replay_mark(batch, name))
 
     return _start(pages, apply, checkpoint, name, every)
 

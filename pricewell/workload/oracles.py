@@ -285,6 +285,8 @@ FROM p""",
 UNION ALL
 SELECT 'STATIONS-AND-PRICES', NULL, NULL, epoch_us({ts(q.BATCH_TS)} - INTERVAL 60 SECOND), NULL""",
     "stream_ingest": stored(GOOD_PRICES),
+    "stream_restart": stored(GOOD_PRICES),
+    "page_files": "SELECT event_id // 500 + 1 AS batch_number, count(*) AS n_items FROM events WHERE event_id // 500 + 1 < 5 GROUP BY 1",
     "table_retention": f"""
 SELECT 'CARS' AS name, count(*) AS n_rows FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
 UNION ALL

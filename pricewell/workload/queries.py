@@ -371,6 +371,20 @@ def page_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("batch_number", n_items.alias("n_items"), pg.is_used(pg.list_pages(pages)).alias("used"))
 
 
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of 500 events landed as files, each padded with blanks; every seventh from the fifth on has no item."""
+    e = wt.table(spark, sf, "events")
+    page = (F.floor(F.col("event_id") / 500) + 1).cast("bigint")
+    listed = F.when(page % 7 != 5, F.col("event_id").cast("string"))
+    pages = e.groupBy(page.alias("batch_number")).agg(
+        F.concat(F.lit("[" + " " * 5000), F.array_join(F.array_sort(F.collect_list(listed)), ","), F.lit("]")).alias("value")
+    )
+    root = work_dir(spark, "page-files")
+    pages.repartition("batch_number").write.partitionBy("batch_number").text(root)
+    n_items = F.size(F.from_json("value", "array<bigint>")).cast("bigint")
+    return pg.Feed.at(spark, root).usable().select("batch_number", n_items.alias("n_items"))
+
+
 def _stored(store: load.Store) -> DataFrame:
     return store.prices.read().select(
         "node_id", F.col("fuel_type_id").cast("bigint").alias("fuel_type_id"), "price",
@@ -403,7 +417,7 @@ def partial_load(spark: SparkSession, sf: str) -> DataFrame:
     _land(spark, sf, root)
     store = load.Store.at(spark, f"{root}/store").create()
     load.write_cursor(store, CURSOR, CURSOR)
-    load.partial_update(store, *_feeds(spark, root), BATCH_TS)
+    load.partial_update(store, *_feeds(spark, root), BATCH_TS, snapshot=True)
     stored = _stored(store)
     cursor = store.cursors.read().select(
         F.col("id").alias("node_id"), F.lit(None).cast("bigint").alias("fuel_type_id"),
@@ -427,6 +441,24 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(store)
 
 
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """The price feed in two halves, the second under a new checkpoint, and the first started once more."""
+    root = work_dir(spark, "stream-restart")
+    _land(spark, sf, root)
+    pages = spark.read.schema(PAGE_ROWS).parquet(f"{root}/landed/prices")
+    for half in (0, 1):
+        pages.where(F.col("batch_number") % 2 == half).write.parquet(f"{root}/half/{half}")
+    store = load.Store.at(spark, f"{root}/store").create()
+
+    def landed(path: str) -> DataFrame:
+        return spark.readStream.schema(PAGE_ROWS).option("maxFilesPerTrigger", 4).parquet(f"{root}/{path}")
+
+    ingest.station_stream(store, landed("landed/stations"), f"{root}/checkpoint/stations", clock=lambda: BATCH_TS).awaitTermination()
+    for half in (0, 1, 0):
+        ingest.price_stream(store, landed(f"half/{half}"), f"{root}/checkpoint/{half}", clock=lambda: BATCH_TS).awaitTermination()
+    return _stored(store)
+
+
 def table_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Tables loaded, one brand's stations changed later, all older ones pruned with their prices."""
     root = work_dir(spark, "retention")
@@ -503,8 +535,8 @@ QUERIES = {
         present_rows, station_prices_nested, latest_per_type, latest_per_type_events, latest_report,
         postcode_report, supplier_report, cheapest_order, history_points, history_series_json, supplier_history,
         last_writer, upsert_all_columns, upsert_one_column, upsert_counts, prune_prices, prune_stations_cascade,
-        station_items, price_items, reject_summary, unknown_types, page_sequence,
-        full_load, partial_load, stream_ingest, table_retention,
+        station_items, price_items, reject_summary, unknown_types, page_sequence, page_files,
+        full_load, partial_load, stream_ingest, stream_restart, table_retention,
         activity_sessions, active_users, unexpired_state, state_latest, stream_sessions,
     )
 }

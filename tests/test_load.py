@@ -111,7 +111,8 @@ def test_partial_update_needs_a_cursor_and_moves_it_last(spark, store, feed):
     )])
     assert load.partial_update(store, s, p, T1) is None and store.stations.read().count() == 0
     load.write_cursor(store, T0, T0)
-    load.partial_update(store, s, p, T1)
+    _, priced = load.partial_update(store, s, p, T1, snapshot=True)
+    assert priced.older == 1
     assert stored(store.prices, F.date_format("price_last_updated", "HH:mm")) == [("11:59",), ("12:30",)]
     assert load.read_cursor(store) == T1 - timedelta(seconds=60)
     with pytest.raises(load.FeedError):
@@ -170,3 +171,11 @@ def test_stream_fails_on_malformed_page(spark, store, tmp_path):
     with pytest.raises(PySparkException):
         ingest.station_stream(store, pg.stream_pages(spark, str(tmp_path / "s")), str(tmp_path / "ck")).awaitTermination()
     assert store.stations.read().count() == 0
+
+
+def test_increment_keeps_all_that_the_feed_returned(spark, store, feed):
+    s, p = feed("s", [station(1)]), feed("p", [prices(1, price(updated="2026-03-01T11:58:59Z"), price(updated="2026-03-01T12:30:00Z"))])
+    load.write_cursor(store, T0, T0)
+    _, priced = load.partial_update(store, s, p, T1)
+    assert priced.older == 0
+    assert stored(store.prices, F.date_format("price_last_updated", "HH:mm")) == [("11:58",), ("12:30",)]

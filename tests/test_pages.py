@@ -127,9 +127,10 @@ def test_listing_from_texts_equals_listing_from_files(spark, tmp_path):
     land(tmp_path, 1, [station(i) for i in range(20)])
     land(tmp_path, 2, " [\n ] ")
     land(tmp_path, 3, "{}")
-    from_files = {tuple(r) for r in pg.page_listing(spark, str(tmp_path)).collect()}
+    land(tmp_path, 4, "[" + " " * 5000 + "]")
+    from_files = {tuple(r) for r in pg.Feed.at(spark, str(tmp_path)).listing.collect()}
     from_texts = {tuple(r) for r in pg.list_pages(pg.read_pages(spark, str(tmp_path))).collect()}
-    assert from_files == from_texts == {(1, True), (2, False), (3, True)}
+    assert from_files == from_texts == {(1, True), (2, False), (3, True), (4, False)}
 
 
 def test_repeated_json_keys_take_the_last(spark, tmp_path):
