@@ -9,8 +9,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricewell.session import work_dir
+
 POINTS_PER_CHUNK = 10_000
-SPLIT_ROWS = 4_000_000
 
 
 def top_row(df: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
@@ -39,44 +40,43 @@ def last_writer(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def bounded_arrays(
-    rows: DataFrame, keys: Sequence[str], position: Column, bucket: Column, element: Column, out: str,
-    size: int = POINTS_PER_CHUNK, split_rows: int = SPLIT_ROWS,
+    rows: DataFrame, keys: Sequence[str], bucket: Column, element: Column, out: str, size: int = POINTS_PER_CHUNK
 ) -> DataFrame:
-    """Group `element` structs into sorted arrays of at most `size` items.
+    """Group `element` structs into sorted arrays of `size` items, the last one of a bucket shorter.
 
-    Columns: `keys`, `bucket`, `part`, `out`. `position` is a BIGINT that rises with the
-    first field of `element`, and `bucket` rises with it; read in (`bucket`, `part`)
-    order the arrays of a group give all of it in order.
+    Columns: `keys`, `bucket`, `part`, `out`. `bucket` rises with the first field of
+    `element`; read in (`bucket`, `part`) order the arrays of a group give all of it in
+    order. Item n of a bucket, from 0, is in part n div `size`, however many rows there are.
 
-    A bucket of more than `split_rows` rows is cut into even stretches of `position`
-    before it is ordered, so no task sorts a hot group whole. The list of such buckets is
-    broadcast: each stands for more than `split_rows` rows, so there are at most
-    rows / `split_rows` of them. Counting them reads the key columns once more and is
-    combined before its shuffle. The stretch is the upper half of `part`.
+    Equal items are counted first, combined before the shuffle. What is left is cut into
+    slices by range over (keys, bucket, element) and staged, so a group of any size is spread over
+    tasks, one whose items share an instant included. Items are numbered inside their
+    slice, plus what earlier slices hold of the bucket. That list is broadcast: a slice has at most
+    one bucket that an earlier one began, so it is no longer than the number of slices.
     """
     group = [*keys, "bucket"]
-    staged = rows.select(*keys, bucket.alias("bucket"), position.alias("_at"), element.alias("_element"))
+    counted = rows.select(*keys, bucket.alias("bucket"), element.alias("_element")).groupBy(*group, "_element").agg(F.count("*").alias("_copies"))
+    sliced = counted.repartitionByRange(*group, "_element").withColumn("_slice", F.spark_partition_id())
+    folder = work_dir(rows.sparkSession, "arrays")
+    sliced.write.parquet(folder)
+    staged = rows.sparkSession.read.schema(sliced.schema).parquet(folder)
+
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = staged.groupBy(*group, "_slice").agg(F.sum("_copies").alias("_held"))
+    begun = held.withColumn("_before", F.sum("_held").over(earlier)).where("_before > 0")
+    begun = begun.select(*[F.col(c).alias(f"_begun_{c}") for c in group], F.col("_slice").alias("_begun_slice"), "_before")
     # null-safe on every key, as grouping is
-    busy = (
-        staged.groupBy(*group)
-        .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        .where(F.col("_n") > split_rows)
-        .select(*[F.col(c).alias(f"_busy_{c}") for c in group], "_n", "_lo", "_hi")
-    )
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_busy_{c}")) for c in group])
-    n_slots = F.ceil(F.col("_n") / split_rows)
-    slot = F.floor((F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * n_slots)
-    slotted = staged.join(F.broadcast(busy), same, "left").select(
-        *group, "_element", F.coalesce(F.least(slot, n_slots - 1), F.lit(0)).cast("bigint").alias("_slot")
-    )
-    w = Window.partitionBy(*group, "_slot").orderBy("_element")
-    part = F.shiftleft("_slot", 32) + F.floor((F.row_number().over(w) - 1) / size).cast("bigint")
-    return (
-        slotted.withColumn("part", part)
-        .groupBy(*group, "_slot", "part")
-        .agg(F.array_sort(F.collect_list("_element")).alias(out))
-        .select(*group, "part", out)
-    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_begun_{c}")) for c in group], F.col("_slice") == F.col("_begun_slice"))
+    inside = Window.partitionBy(*group, "_slice").orderBy("_element").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = staged.withColumn("_end", F.sum("_copies").over(inside)).join(F.broadcast(begun), same, "left")
+    numbered = numbered.withColumn("_end", F.col("_end") + F.coalesce("_before", F.lit(0))).withColumn("_start", F.col("_end") - F.col("_copies"))
+    # copies of one item may go on over several parts
+    parts = F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size))
+    dealt = numbered.select(*group, "_element", "_start", "_end", F.explode(parts).alias("part"))
+    times = F.least("_end", (F.col("part") + 1) * size) - F.greatest("_start", F.col("part") * size)
+    items = F.array_sort(F.collect_list(F.struct("_element", times.cast("int").alias("times"))))
+    repeated = F.flatten(F.transform(items, lambda i: F.array_repeat(i["_element"], i["times"])))
+    return dealt.groupBy(*group, "part").agg(repeated.alias(out))
 
 
 def first_row_label(label: Column, group: Sequence[str], order: Sequence[str]) -> Column:

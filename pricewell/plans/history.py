@@ -38,7 +38,7 @@ def history_series(
     points = _points(prices, node_id, key)
     when = F.date_trunc(bucket, F.timestamp_millis("x"))
     # by product id, which is short to sort and shuffle; the name comes after
-    series = groups.bounded_arrays(points, [key, "fuel_type_id"], F.col("x"), when, F.struct("x", "y"), "data", size)
+    series = groups.bounded_arrays(points, [key, "fuel_type_id"], when, F.struct("x", "y"), "data", size)
     return _named(series, fuel_types).select(key, "name", "bucket", "part", "data")
 
 

@@ -204,7 +204,8 @@ WITH p AS (SELECT *, year(effective) AS year,
              (row_number() OVER (PARTITION BY node_id, display, year(effective) ORDER BY effective, price) - 1) // 10000 AS part
            FROM ({LINE_PRICE}))
 SELECT node_id, display AS name, year::BIGINT AS year, part, count(*) AS n_points,
-       min(epoch_us(effective)) // 1000 AS first_x, max(epoch_us(effective)) // 1000 AS last_x, max(price) AS dearest
+       min(epoch_us(effective)) // 1000 AS first_x, max(epoch_us(effective)) // 1000 AS last_x, max(price) AS dearest,
+       string_agg((epoch_us(effective) // 1000)::VARCHAR || ':' || price::VARCHAR, ',' ORDER BY effective, price) AS points
 FROM p GROUP BY node_id, display, year, part""",
     "last_writer": """
 SELECT l_suppkey, l_returnflag, shipped, l_orderkey, l_linenumber, l_extendedprice, batch_number FROM (

@@ -246,6 +246,7 @@ def supplier_history(spark: SparkSession, sf: str) -> DataFrame:
         F.size("data").cast("bigint").alias("n_points"),
         F.col("data")[0]["x"].alias("first_x"), F.element_at("data", -1)["x"].alias("last_x"),
         F.array_max(F.transform("data", lambda p: p["y"])).alias("dearest"),
+        F.array_join(F.transform("data", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("points"),
     )
 
 

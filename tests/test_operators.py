@@ -107,24 +107,35 @@ def test_latest_per_type_matches_brute_force_with_a_hot_station(spark):
     assert {(r[0], r[1]): tuple(r[2:]) for r in got} == best and len(got) == len(best)
 
 
-@pytest.mark.parametrize("split_rows", [10, 100, 10**9])
-def test_bounded_arrays_hold_the_whole_group_in_order(spark, split_rows):
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_bounded_arrays_hold_the_whole_group_in_order(uncoalesced):
     rnd = random.Random(2)
     rows = [("hot" if rnd.random() < 0.5 else rnd.choice([None, *"abcdefg"]), rnd.randrange(10_000)) for _ in range(5000)]
-    df = spark.createDataFrame(rows, "k string, x int")
-    arrays = groups.bounded_arrays(
-        df, ["k"], F.col("x").cast("bigint"), F.floor(F.col("x") / 1000), F.struct("x"), "xs", size=50, split_rows=split_rows
-    )
-    got = defaultdict(list)
-    for r in arrays.orderBy("k", "bucket", "part").collect():
-        assert 0 < len(r["xs"]) <= 50
-        got[r["k"]] += [p["x"] for p in r["xs"]]
-    want = defaultdict(list)
-    for k, x in sorted(rows, key=lambda r: (r[0] or "", r[1])):
-        want[k].append(x)
+    rows += [("hot", 1234)] * 333 + [("one", 7)] * 120
+    df = uncoalesced.createDataFrame(rows, "k string, x int")
+    arrays = groups.bounded_arrays(df, ["k"], F.floor(F.col("x") / 1000), F.struct("x"), "xs", size=50)
+    got = {(r["k"], r["bucket"], r["part"]): [p["x"] for p in r["xs"]] for r in arrays.collect()}
+    held = defaultdict(list)
+    for k, x in rows:
+        held[k, x // 1000].append(x)
+    want = {(*g, i // 50): sorted(xs)[i:i + 50] for g, xs in held.items() for i in range(0, len(xs), 50)}
     assert got == want
-    slots = arrays.where("k = 'hot'").selectExpr("max(part >> 32)").first()[0]
-    assert (slots > 0) == (split_rows < 10**9)
+
+
+def test_bounded_arrays_split_one_instant(uncoalesced):
+    df = uncoalesced.range(4000).selectExpr("'k' k", "5 x", "id y")
+    sliced = df.repartitionByRange("k", F.struct("x", "y")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sliced) > 2 and max(r["count"] for r in sliced) < 2000
+    arrays = groups.bounded_arrays(df, ["k"], F.lit(0), F.struct("x", "y"), "xs", size=300)
+    got = sorted((r["part"], [p["y"] for p in r["xs"]]) for r in arrays.collect())
+    assert got == [(n, list(range(n * 300, min(4000, n * 300 + 300)))) for n in range(14)]
+    assert groups.bounded_arrays(df.limit(0), ["k"], F.lit(0), F.struct("x"), "xs").count() == 0
 
 
 def test_last_writer_is_sequential_application(spark):
