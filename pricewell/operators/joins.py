@@ -1,26 +1,35 @@
 """Joins between prices, stations and the fuel-type dimension.
 
-A side is broadcast only when it was counted just before and is within a bound. A side beyond
+A side is broadcast only when its bytes were measured just before and are within a bound. A side beyond
 the bound is joined by whatever Catalyst and AQE pick from its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys of 64 characters: about 100 MB on an executor at the bound.
-BROADCAST_ROWS = 1_000_000
-DIMENSION_ROWS = 100_000
+# Of a side as measured in rows of an executor's memory, and of a dimension.
+BROADCAST_BYTES = 128 << 20
+DIMENSION_BYTES = 16 << 20
+ROW_BYTES = 16
 
 
-def small_enough(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `keys` has at most `max_rows` rows.
+def side_bytes(side: DataFrame) -> Column:
+    """Aggregate: bytes of the rows of `side`, texts by their length and every other column as eight."""
+    width = F.lit(ROW_BYTES)
+    for name, kind in side.dtypes:
+        width = width + (F.coalesce(F.octet_length(F.col(name)), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    return F.coalesce(F.sum(width.cast("bigint")), F.lit(0))
 
-    A plain count: it adds up in the map tasks. A limit first would move that many rows
+
+def small_enough(side: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the rows of `side` take at most `max_bytes`, as measured over all of them.
+
+    A plain sum: it adds up in the map tasks. A limit first would move that many rows
     of every task to a single one.
     """
-    return keys.count() <= max_rows
+    return side.agg(side_bytes(side)).first()[0] <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def dimension_side(dimension: DataFrame) -> DataFrame:
@@ -29,15 +38,16 @@ def dimension_side(dimension: DataFrame) -> DataFrame:
     Facts have few distinct dimension keys, so shuffling them by such a key would put
     a third of them in one task. That must not depend on an estimate.
     """
-    return F.broadcast(dimension) if small_enough(dimension, DIMENSION_ROWS) else dimension
+    return F.broadcast(dimension) if small_enough(dimension, DIMENSION_BYTES) else dimension
 
 
 def station_side(stations: DataFrame, *columns: str) -> DataFrame:
-    """Station columns to join to prices: broadcast if few, else left to AQE.
+    """Station columns to join to prices: broadcast if small, else left to AQE.
 
     Beyond the bound the join shuffles by station. AQE then splits the tasks of a
     station with very many prices, which it can do as long as the prices are the left
-    side of an inner, semi, anti or left outer join.
+    side of an inner, semi, anti or left outer join. Each call measures; a job with several
+    joins to one side asks once and hands the side on as `sized`.
     """
     side = stations.select(*columns)
     return F.broadcast(side) if small_enough(side) else side
@@ -51,14 +61,14 @@ def with_dimension(
     return facts.join(dimension_side(lookup), facts[fact_key] == F.col("_dim_key"), "left").drop("_dim_key")
 
 
-def absent_rows(page: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
+def absent_rows(page: DataFrame, stations: DataFrame, key: str = "node_id", sized: bool = False) -> DataFrame:
     """Rows of the page whose station is unknown, duplicates kept."""
-    return page.join(station_side(stations, key), key, "left_anti")
+    return page.join(stations if sized else station_side(stations, key), key, "left_anti")
 
 
-def present_rows(page: DataFrame, stations: DataFrame, key: str = "node_id") -> DataFrame:
+def present_rows(page: DataFrame, stations: DataFrame, key: str = "node_id", sized: bool = False) -> DataFrame:
     """Rows of the page whose station is known, duplicates kept."""
-    return page.join(station_side(stations, key), key, "left_semi")
+    return page.join(stations if sized else station_side(stations, key), key, "left_semi")
 
 
 def resolve_dimension(

@@ -14,9 +14,10 @@ from pricewell.functions.prices import repair_unit
 from pricewell.functions.times import next_cursor, read_from, to_second, utc_literal
 from pricewell.operators import groups, joins
 from pricewell.operators.filters import changed_since, station_by_id
+from pricewell.operators.upsert import STAMP
 from pricewell.sources import pages as pg
-from pricewell.sources.keyed_table import Change, KeyedTable, cursor_table, price_table, station_table
-from pricewell.session import work_dir
+from pricewell.sources.keyed_table import STATION_BUCKETS, Change, KeyedTable, cursor_table, price_table, station_table
+from pricewell.session import drop_dir, work_dir
 
 log = logging.getLogger(__name__)
 CURSOR_ID = "STATIONS-AND-PRICES"
@@ -28,32 +29,68 @@ class FeedError(RuntimeError):
 
 @dataclass
 class Loaded:
+    """What became of a load. `rejects` and `absent_items` read the staged items until `release`."""
+
     change: Change
     rejected: int
     absent: int = 0
     older: int = 0
     rejects: DataFrame | None = field(default=None, repr=False)
     absent_items: DataFrame | None = field(default=None, repr=False)
+    failure: FeedError | None = None
+    staged: str = ""
+
+    def report(self, what: str) -> "Loaded":
+        """Log what was left out; a page that failed as a whole ends the load here."""
+        if self.absent:
+            log.error("%d %s items of absent stations", self.absent, what)
+        if self.rejected:
+            log.error("%d %s items rejected", self.rejected, what)
+        if self.older:
+            log.warning("%d %ss older than the cursor left out of a snapshot", self.older, what)
+        if self.failure:
+            raise self.failure
+        return self
+
+    def release(self, spark: SparkSession) -> None:
+        drop_dir(spark, self.staged)
 
 
 @dataclass
 class Store:
-    """The stored tables of one installation, by folder."""
+    """The stored tables of one installation, by folder. `parked` holds prices whose station is not stored yet."""
 
+    path: str
     stations: KeyedTable
     prices: KeyedTable
     cursors: KeyedTable
-    fuel_types: DataFrame
+    parked: KeyedTable
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> "Store":
         return cls(
-            station_table(spark, f"{path}/stations"), price_table(spark, f"{path}/prices"),
-            cursor_table(spark, f"{path}/cursors"), schemas.fuel_types(spark),
+            path.rstrip("/"), station_table(spark, f"{path}/stations"), price_table(spark, f"{path}/prices"),
+            cursor_table(spark, f"{path}/cursors"), price_table(spark, f"{path}/parked"),
         )
 
-    def create(self) -> "Store":
-        for table in (self.stations, self.prices, self.cursors):
+    @property
+    def spark(self) -> SparkSession:
+        return self.stations.spark
+
+    @property
+    def fuel_types(self) -> DataFrame:
+        """The stored product dimension."""
+        return self.spark.read.schema(schemas.FUEL_TYPE).parquet(f"{self.path}/fuel_types")
+
+    def known_types(self) -> list[str]:
+        """Product codes, a handful, that decoding accepts: those of the stored dimension."""
+        return [r["name"] for r in self.fuel_types.select("name").collect()]
+
+    def create(self, fuel_types: DataFrame | None = None, station_buckets: int = STATION_BUCKETS) -> "Store":
+        types = schemas.fuel_types(self.spark) if fuel_types is None else fuel_types
+        types.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fuel_types")
+        self.stations.create(station_buckets)
+        for table in (self.prices, self.cursors, self.parked):
             table.create()
         return self
 
@@ -90,10 +127,10 @@ def item_counts() -> list[Column]:
     ]
 
 
-# -- batch form --------------------------------------------------------------------
+# -- what batch and stream do with decoded items -------------------------------------
 
 
-def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[DataFrame, int, FeedError | None]:
+def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[str, DataFrame, int, FeedError | None]:
     """Write the decoded items once, and find the first page that fails as a whole.
 
     Everything after reads the staged Parquet, so page text is parsed once and a lost
@@ -104,55 +141,81 @@ def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[DataFram
     staged = spark.read.schema(decoded.schema).parquet(path)
     facts = staged.agg(*item_counts()).first()
     if facts["bad_page"] is None:
-        return staged, facts["rejected"], None
+        return path, staged, facts["rejected"], None
     number, why = facts["bad_page"]
     before = staged.where(F.col("batch_number") < number)
     rejected = before.agg(item_counts()[0]).first()["rejected"]
-    return before, rejected, FeedError(f"page {number}: {why}")
+    return path, before, rejected, FeedError(f"page {number}: {why}")
 
 
-def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
-    """Upsert the stations of a feed. All pages up to the first gap count."""
-    spark = store.stations.spark
-    staged, rejected, failure = _stage(spark, pg.decode_stations(feed.usable()), "stations")
-    change = store.stations.upsert(latest_stations(pg.good_items(staged)), now)
-    if rejected:
-        log.error("%d station items rejected", rejected)
-    if failure:
-        raise failure
-    return Loaded(change, rejected, rejects=pg.rejects(staged))
+def apply_stations(store: Store, pages: DataFrame, now: datetime, replay: dict | None = None) -> Loaded:
+    """Upsert the stations of the pages before the first that fails as a whole.
 
+    `replay` names the stream and batch of a micro-batch. A failing one is not marked as done, so it comes again.
+    """
+    path, staged, rejected, failure = _stage(store.spark, pg.decode_stations(pages), "stations")
+    mark = {} if failure else replay or {}
+    change = store.stations.upsert(latest_stations(pg.good_items(staged)), now, **mark)
+    return Loaded(change, rejected, rejects=pg.rejects(staged), failure=failure, staged=path)
 
-def load_prices(
-    store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
+
+def apply_prices(
+    store: Store, pages: DataFrame, now: datetime, since: datetime | None = None, on_unknown: str = "fail",
+    replay: dict | None = None, park: bool = False, stations: DataFrame | None = None,
 ) -> Loaded:
-    """Upsert the prices of a feed, those of unknown stations left out.
+    """Upsert the prices of the pages before the first that fails as a whole, those of unknown stations left out.
 
-    `since` is for a feed that is a snapshot: prices changed before it are left out and counted in `older`.
+    With `park` the latter wait in `store.parked`. `stations` is the side of known ids, if the caller has sized it.
     """
-    spark = store.prices.spark
-    decoded = pg.decode_prices(feed.usable(), on_unknown=on_unknown)
-    staged, rejected, failure = _stage(spark, decoded, "prices")
+    decoded = pg.decode_prices(pages, store.known_types(), on_unknown=on_unknown)
+    path, staged, rejected, failure = _stage(store.spark, decoded, "prices")
+    mark = {} if failure else replay or {}
     good = pg.good_items(staged)
-    stations = store.stations.read()
-    absent = joins.absent_rows(good.select("batch_number", "idx", "node_id"), stations)
+    known = joins.station_side(store.stations.read(), "node_id") if stations is None else stations
+    absent = joins.absent_rows(good.select("batch_number", "idx", "node_id"), known, sized=True)
+    n_absent = absent.count()
     rows = pg.price_rows(good)
     n_older = 0
     if since is not None:
         n_older = rows.where(F.col("price_last_updated") < utc_literal(since)).count()
         rows = changed_since(rows, since, overlap_seconds=0)
-    known = joins.present_rows(clean_prices(rows, store.fuel_types), stations)
-    change = store.prices.upsert(known, now, update=["price"])
-    n_absent = absent.count()
-    if n_absent:
-        log.error("%d price items of absent stations", n_absent)
-    if rejected:
-        log.error("%d price items rejected", rejected)
-    if failure:
-        raise failure
-    if n_older:
-        log.warning("%d prices older than the cursor left out of a snapshot", n_older)
-    return Loaded(change, rejected, n_absent, n_older, pg.rejects(staged), absent)
+    clean = clean_prices(rows, store.fuel_types)
+    if park and n_absent:
+        # before the stored ones: if the batch comes again, nothing of it is in neither table
+        store.parked.upsert(joins.absent_rows(clean, known, sized=True), now, update=["price"])
+    change = store.prices.upsert(joins.present_rows(clean, known, sized=True), now, update=["price"], **mark)
+    return Loaded(change, rejected, n_absent, n_older, pg.rejects(staged), absent, failure, path)
+
+
+def retry_parked(store: Store, now: datetime, stations: DataFrame | None = None) -> Change:
+    """Move the parked prices of stations stored by now to the prices.
+
+    Comes before newer prices are stored, so that the last writer of a key stays the last.
+    """
+    known = joins.station_side(store.stations.read(), "node_id") if stations is None else stations
+    ready = joins.present_rows(store.parked.read(), known, sized=True).drop(STAMP)
+    change = store.prices.upsert(ready, now, update=["price"])
+    if change != Change():
+        store.parked.delete_matching(known, "node_id", sized=True)
+    return change
+
+
+# -- batch form --------------------------------------------------------------------
+
+
+def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
+    """Upsert the stations of a feed. All pages up to the first gap count."""
+    return apply_stations(store, feed.usable(), now).report("station")
+
+
+def load_prices(
+    store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
+) -> Loaded:
+    """Upsert the prices of a feed, those of unknown stations left out.
+
+    `since` is for a feed that is a snapshot: prices changed before it are left out and counted in `older`.
+    """
+    return apply_prices(store, feed.usable(), now, since, on_unknown).report("price")
 
 
 def full_load(store: Store, stations: pg.Feed, prices: pg.Feed, now: datetime) -> tuple[Loaded, Loaded]:

@@ -6,28 +6,30 @@ follow the newest manifest, so they never see half a change; a change that died
 is invisible, and repeating it under the same batch id after it succeeded does nothing.
 
     <path>/data/c=<commit>/part=<value>/*.parquet
-    <path>/commits/commit=<commit>/*.json          rows (part, c, batch_id)
+    <path>/commits/commit=<commit>/*.json          rows (part, c), (stream, batch_id), (buckets)
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewell import schemas
 from pricewell.functions.times import utc_literal
 from pricewell.operators.filters import kept_since
-from pricewell.operators.joins import absent_rows
+from pricewell.operators.joins import absent_rows, present_rows, station_side
 from pricewell.operators.upsert import ACTION, STAMP, action_counts, upsert_rows
+from pricewell.session import drop_dir, work_dir
 
 MANIFEST = schemas.struct(
-    part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), stream=T.StringType()
+    part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), stream=T.StringType(), buckets=T.IntegerType()
 )
 COMMIT_NUMBER = r"commit=(\d+)/[^/]*$"
 STATION_BUCKETS = 32
@@ -44,39 +46,51 @@ class Change:
     skipped: bool = False
 
 
+@dataclass(frozen=True)
+class State:
+    """What the newest manifest says: partitions and their folders, the last batch of each stream, the bucket count."""
+
+    commit: int
+    buckets: int
+    parts: dict[str, int] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)
+
+
 class KeyedTable:
+    """`part` gives the partition column for a bucket count, which is fixed when the table is created."""
+
     def __init__(
-        self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], part: Column,
+        self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], part: Callable[[int], Column],
     ):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.keys, self.part = list(keys), part
 
     # -- manifest -------------------------------------------------------------
 
-    def create(self) -> "KeyedTable":
-        self._write_manifest(0, {}, {})
+    def create(self, buckets: int = 1) -> "KeyedTable":
+        self._write_manifest(State(0, buckets))
         return self
 
-    def _manifest(self) -> tuple[int, dict[str, int], dict[str, int]]:
-        """Newest commit, its partition map and the last batch id of each stream.
-
-        One row per partition or stream comes back: days or buckets, never data rows.
-        """
+    def _manifest(self) -> State:
+        """One row per partition or stream comes back: days or buckets, never data rows."""
         files = self.spark.read.format("binaryFile").load(f"{self.path}/commits")
         # a listing only: the content column is not asked for
         last = files.agg(F.max(F.regexp_extract("path", COMMIT_NUMBER, 1).cast("bigint"))).first()[0]
         newest = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits/commit={last}").collect()
-        parts = {r["part"]: r["c"] for r in newest if r["part"] is not None}
-        batches = {r["stream"]: r["batch_id"] for r in newest if r["stream"] is not None and r["batch_id"] is not None}
-        return last, parts, batches
-
-    def _write_manifest(self, commit: int, parts: dict[str, int], batches: dict[str, int]) -> None:
-        rows = [{"part": p, "c": c} for p, c in parts.items()]
-        rows += [{"stream": s, "batch_id": b} for s, b in batches.items()]
-        text = "\n".join(json.dumps(row) for row in rows or [{}])
+        return State(
+            last, next(r["buckets"] for r in newest if r["buckets"] is not None),
+            {r["part"]: r["c"] for r in newest if r["part"] is not None},
+            {r["stream"]: r["batch_id"] for r in newest if r["stream"] is not None and r["batch_id"] is not None},
+        )
+
+    def _write_manifest(self, state: State) -> None:
+        rows = [{"buckets": state.buckets}]
+        rows += [{"part": p, "c": c} for p, c in state.parts.items()]
+        rows += [{"stream": s, "batch_id": b} for s, b in state.batches.items()]
+        text = "\n".join(json.dumps(row) for row in rows)
         # one file, so that it appears whole or not at all
         line = self.spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
-        line.write.mode("overwrite").text(f"{self.path}/commits/commit={commit}")
+        line.write.mode("overwrite").text(f"{self.path}/commits/commit={state.commit}")
 
     # -- reads ----------------------------------------------------------------
 
@@ -95,9 +109,8 @@ class KeyedTable:
 
     def read(self, low: str | None = None, high: str | None = None) -> DataFrame:
         """The current rows; `low` and `high` (inclusive) pick partitions by name."""
-        _, parts, _ = self._manifest()
         chosen = {
-            p: c for p, c in parts.items() if (low is None or p >= low) and (high is None or p <= high)
+            p: c for p, c in self._manifest().parts.items() if (low is None or p >= low) and (high is None or p <= high)
         }
         return self._scan(chosen).drop("part")
 
@@ -106,7 +119,7 @@ class KeyedTable:
 
         Only once no reader is left that started before the newest commit.
         """
-        last, parts, _ = self._manifest()
+        last = self._manifest().commit
         versions = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits").where("part is not null")
         folder = F.concat(F.lit(f"{self.path}/data/c="), F.col("c").cast("string"), F.lit("/part="), "part")
         current = self.spark.read.schema(MANIFEST).json(f"{self.path}/commits/commit={last}")
@@ -117,9 +130,10 @@ class KeyedTable:
     # -- changes --------------------------------------------------------------
 
     def _commit(self, rows: DataFrame, commit: int) -> None:
-        # rebalance splits a partition that is large and joins small ones up
+        # Ranges over the whole key: a partition that is large is split, and within it a file
+        # holds few of the first key's values, so that a read for one value skips the others.
         (
-            rows.hint("rebalance", "part").sortWithinPartitions("part", *self.keys)
+            rows.repartitionByRange("part", *self.keys).sortWithinPartitions("part", *self.keys)
             .write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/c={commit}")
         )
 
@@ -127,64 +141,83 @@ class KeyedTable:
         self, source: DataFrame, batch_ts: datetime, update: Sequence[str] | None = None,
         batch_id: int | None = None, stream: str = "batch", touch_unchanged: bool = False,
     ) -> Change:
-        """Merge rows, one per key. An empty source is a no-op. `batch_id` makes it replayable."""
-        commit, parts, batches = self._manifest()
-        if batch_id is not None and batch_id <= batches.get(stream, -1):
+        """Merge rows, one per key. An empty source is a no-op. `batch_id` makes it replayable.
+
+        Only partitions in which a row is new or differs are written; if there is none, at
+        most the replay mark moves. The source is staged in the shared folder, as it is read more than once.
+        """
+        state = self._manifest()
+        if batch_id is not None and batch_id <= state.batches.get(stream, -1):
             return Change(skipped=True)
-        staged = source.select(*[c for c in self.schema.fieldNames() if c != STAMP]).withColumn("part", self.part)
-        staged = staged.persist()
+        folder = work_dir(self.spark, "upsert")
+        rows = source.select(*[c for c in self.schema.fieldNames() if c != STAMP]).withColumn("part", self.part(state.buckets))
+        rows.write.parquet(folder)
         try:
-            touched = [r["part"] for r in staged.select("part").distinct().collect()]
-            done = batches if batch_id is None else {**batches, stream: batch_id}
-            if not touched:
-                if done != batches:
-                    self._write_manifest(commit + 1, parts, done)
-                return Change()
-            target = self._scan({p: parts[p] for p in touched if p in parts}).drop("part")
-            counts = Observation()
-            merged = upsert_rows(target, staged, self.keys, batch_ts, update, touch_unchanged)
-            merged = merged.observe(counts, *action_counts()).drop(ACTION).withColumn("part", self.part)
-            self._commit(merged, commit + 1)
-            self._write_manifest(commit + 1, {**parts, **{p: commit + 1 for p in touched}}, done)
-            return Change(**counts.get)
+            staged = self.spark.read.schema(rows.schema).parquet(folder)
+            return self._merge(state, staged, batch_ts, update, touch_unchanged, {} if batch_id is None else {stream: batch_id})
         finally:
-            staged.unpersist()
-
-    def _rewrite(self, doomed: DataFrame, keep) -> int:
+            drop_dir(self.spark, folder)
+
+    def _merge(self, state: State, staged: DataFrame, batch_ts, update, touch_unchanged: bool, mark: dict[str, int]) -> Change:
+        sizes = {r["part"]: r["n"] for r in staged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+        fresh, met = [p for p in sizes if p not in state.parts], [p for p in sizes if p in state.parts]
+
+        def merged(parts: list[str]) -> DataFrame:
+            target = self._scan({p: state.parts[p] for p in parts}).drop("part")
+            of_parts = staged.where(F.col("part").isin(parts))
+            return upsert_rows(target, of_parts, self.keys, batch_ts, update, touch_unchanged).withColumn("part", self.part(state.buckets))
+
+        counts = merged(met).groupBy("part").agg(*action_counts()).collect() if met else []
+        moved = [r["part"] for r in counts if r["inserted"] or r["updated"] or (touch_unchanged and r["unchanged"])]
+        written = []
+        if fresh:
+            new = staged.where(F.col("part").isin(fresh)).withColumn(STAMP, utc_literal(batch_ts))
+            written.append(new.select(*self.schema.fieldNames(), "part"))
+        if moved:
+            written.append(merged(moved).drop(ACTION))
+        after = replace(state, commit=state.commit + 1, batches={**state.batches, **mark})
+        if written:
+            self._commit(reduce(DataFrame.unionByName, written), after.commit)
+            after = replace(after, parts={**state.parts, **{p: after.commit for p in [*fresh, *moved]}})
+        if written or mark:
+            self._write_manifest(after)
+        total = {name: sum(r[name] for r in counts) for name in ("inserted", "updated", "unchanged")}
+        total["inserted"] += sum(sizes[p] for p in fresh)
+        return Change(**total)
+
+    def _rewrite(self, state: State, doomed: DataFrame, keep) -> int:
         """Drop the `doomed` rows of the table: `keep` filters them out of a partition scan."""
-        commit, parts, batches = self._manifest()
         lost = {r["part"]: r["n"] for r in doomed.groupBy("part").agg(F.count("*").alias("n")).collect()}
         if not lost:
             return 0
-        hit = self._scan({p: parts[p] for p in lost})
+        hit = self._scan({p: state.parts[p] for p in lost})
         sizes = {r["part"]: r["n"] for r in hit.groupBy("part").agg(F.count("*").alias("n")).collect()}
-        partial = {p: parts[p] for p in lost if lost[p] < sizes[p]}
+        partial = {p: state.parts[p] for p in lost if lost[p] < sizes[p]}
+        commit = state.commit + 1
         if partial:
-            self._commit(keep(self._scan(partial)), commit + 1)
-        left = {p: (commit + 1 if p in partial else c) for p, c in parts.items() if p in partial or p not in lost}
-        self._write_manifest(commit + 1, left, batches)
+            self._commit(keep(self._scan(partial)), commit)
+        left = {p: (commit if p in partial else c) for p, c in state.parts.items() if p in partial or p not in lost}
+        self._write_manifest(replace(state, commit=commit, parts=left))
         return sum(lost.values())
 
     def prune(self, since: datetime) -> Change:
         """Delete rows whose change stamp is older than `since`; wholly old partitions are just unlinked."""
-        _, parts, _ = self._manifest()
-        keep = kept_since(STAMP, since)
-        n = self._rewrite(self._scan(parts).where(F.col(STAMP) < utc_literal(since)), lambda rows: rows.where(keep))
-        return Change(deleted=n)
-
-    def delete_matching(self, keys: DataFrame, key: str) -> Change:
-        """Delete every row whose `key` is among `keys`."""
-        _, parts, _ = self._manifest()
-        gone = keys.select(key)
-        n = self._rewrite(
-            self._scan(parts).join(gone, key, "left_semi"), lambda rows: absent_rows(rows, gone, key)
-        )
-        return Change(deleted=n)
+        state, keep = self._manifest(), kept_since(STAMP, since)
+        doomed = self._scan(state.parts).where(F.col(STAMP) < utc_literal(since))
+        return Change(deleted=self._rewrite(state, doomed, lambda rows: rows.where(keep)))
+
+    def delete_matching(self, keys: DataFrame, key: str, sized: bool = False) -> Change:
+        """Delete every row whose `key` is among `keys`; `sized` if they are a measured side already."""
+        state, gone = self._manifest(), keys if sized else station_side(keys, key)
+        doomed = present_rows(self._scan(state.parts), gone, key, sized=True)
+        return Change(deleted=self._rewrite(state, doomed, lambda rows: absent_rows(rows, gone, key, sized=True)))
+
 
+def station_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Stations by hash bucket: one row per key, so buckets are even. How many is said at `create`."""
+    def part(buckets: int) -> Column:
+        return F.format_string("%04d", F.pmod(F.xxhash64("node_id"), F.lit(buckets)))
 
-def station_table(spark: SparkSession, path: str, buckets: int = STATION_BUCKETS) -> KeyedTable:
-    """Stations by hash bucket: one row per key, so buckets are even."""
-    part = F.format_string("%04d", F.pmod(F.xxhash64("node_id"), F.lit(buckets)))
     return KeyedTable(spark, path, schemas.STATIONS, schemas.STATION_KEY, part)
 
 
@@ -195,11 +228,11 @@ def price_table(spark: SparkSession, path: str) -> KeyedTable:
     station with a third of all prices is spread over every day it has traded.
     """
     part = F.date_format("price_last_updated", "yyyy-MM-dd")
-    return KeyedTable(spark, path, schemas.PRICES, schemas.PRICE_KEY, part)
+    return KeyedTable(spark, path, schemas.PRICES, schemas.PRICE_KEY, lambda buckets: part)
 
 
 def cursor_table(spark: SparkSession, path: str) -> KeyedTable:
-    return KeyedTable(spark, path, schemas.CURSORS, ("id",), F.lit("all"))
+    return KeyedTable(spark, path, schemas.CURSORS, ("id",), lambda buckets: F.lit("all"))
 
 
 def prune_stations(stations: KeyedTable, prices: KeyedTable, since: datetime) -> tuple[Change, Change]:

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pricewell.operators.activity import KEEP_FOR, LIVE_FOR
 
@@ -31,8 +32,23 @@ def session_stream(
 
 
 def state_stream(
-    touches: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", payload: str = "props"
+    touches: DataFrame, user: str = "user_id", ts: str = "ts", order: str = "event_id", payload: str = "props",
+    keep_for: timedelta = KEEP_FOR, late_by: timedelta = KEEP_FOR,
 ) -> DataFrame:
-    """Last payload and touch per user, as an update-mode aggregate."""
-    latest = F.max(F.struct(F.col(ts).alias("last_touch"), order, payload)).alias("_last")
-    return touches.groupBy(user).agg(latest).select(user, "_last.*")
+    """Last payload and touch of each user's state, emitted when it expires `keep_for` after that touch.
+
+    A touch exactly `keep_for` later still finds the state. What has expired is dropped once the
+    watermark has passed, so the state held is that of users seen in the last while, not of all users.
+    """
+    timed = touches.select(user, F.col(ts).cast("timestamp").alias("_ts"), order, payload)
+    latest = F.max(F.struct(F.col("_ts").alias("last_touch"), order, payload)).alias("_last")
+    return (
+        timed.withWatermark("_ts", f"{int(late_by.total_seconds())} seconds")
+        .groupBy(user, F.session_window("_ts", f"{int(keep_for.total_seconds())} seconds"))
+        .agg(latest).select(user, "_last.*")
+    )
+
+
+def rows_too_late(query: StreamingQuery) -> int:
+    """Rows that the recent micro-batches dropped because they came behind the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

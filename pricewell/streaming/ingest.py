@@ -2,7 +2,14 @@
 
 The stream's checkpoint is the cursor. Delivery is at least once and the tables skip a
 micro-batch they have applied, so a restart neither loses nor repeats a change. The page
-stop rule has no place here: every page that lands is taken, once.
+stop rule has no place here: every page that lands is taken, once. A page that fails as a
+whole stops the stream, after the pages of smaller number in its batch were stored.
+
+Nothing is dropped unseen. Rejected items and items of absent stations are written by batch
+beside the tables, and a price that comes before its station is parked and retried.
+
+    <store>/rejects/feed=<feed>/stream=<mark>/batch=<id>     batch_number, idx, reason, raw
+    <store>/absents/feed=prices/stream=<mark>/batch=<id>     batch_number, idx, node_id
 """
 
 from __future__ import annotations
@@ -15,7 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pricewell.operators import joins
 from pricewell.plans import load
-from pricewell.sources import pages as pg
+
+OF_BATCH = "feed string, stream string, batch bigint"
 
 
 def utc_now() -> datetime:
@@ -33,6 +41,21 @@ def _start(pages: DataFrame, apply, checkpoint: str, name: str, every: str | Non
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _keep(items: DataFrame, store: load.Store, kind: str, feed: str, replay: dict) -> None:
+    """Write what a batch left out; the same batch come again replaces it."""
+    items.write.mode("overwrite").parquet(f"{store.path}/{kind}/feed={feed}/stream={replay['stream']}/batch={replay['batch_id']}")
+
+
+def rejects(store: load.Store) -> DataFrame:
+    """Items that the streams rejected, with feed, stream and batch."""
+    return store.spark.read.schema(f"batch_number bigint, idx int, reason string, raw string, {OF_BATCH}").parquet(f"{store.path}/rejects")
+
+
+def absents(store: load.Store) -> DataFrame:
+    """Price items whose station was not stored when their batch ran."""
+    return store.spark.read.schema(f"batch_number bigint, idx int, node_id string, {OF_BATCH}").parquet(f"{store.path}/absents")
+
+
 def station_stream(
     store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
     clock: Callable[[], datetime] = utc_now, name: str = "stations",
@@ -40,9 +63,11 @@ def station_stream(
     """Upsert station pages; `every` is a processing-time interval, else what is there now."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        decoded = pg.fail_on_page_error(pg.decode_stations(batch))
-        rows = load.latest_stations(pg.good_items(decoded))
-        store.stations.upsert(rows, clock(), batch_id=batch_id, stream=replay_mark(batch, name))
+        replay = {"stream": replay_mark(batch, name), "batch_id": batch_id}
+        done = load.apply_stations(store, batch, clock(), replay)
+        _keep(done.rejects, store, "rejects", "stations", replay)
+        done.release(store.spark)
+        done.report("station")
 
     return _start(pages, apply, checkpoint, name, every)
 
@@ -51,13 +76,17 @@ def price_stream(
     store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
     clock: Callable[[], datetime] = utc_now, name: str = "prices", on_unknown: str = "fail",
 ) -> StreamingQuery:
-    """Upsert price pages, those of stations not stored when the batch runs left out."""
+    """Upsert price pages; those of stations not stored when the batch runs are parked for a later batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        decoded = pg.fail_on_page_error(pg.decode_prices(batch, on_unknown=on_unknown))
-        rows = load.clean_prices(pg.price_rows(pg.good_items(decoded)), store.fuel_types)
-        known = joins.present_rows(rows, store.stations.read())
-        store.prices.upsert(known, clock(), update=["price"], batch_id=batch_id, stream=replay_mark(batch, name))
+        replay, now = {"stream": replay_mark(batch, name), "batch_id": batch_id}, clock()
+        stations = joins.station_side(store.stations.read(), "node_id")
+        load.retry_parked(store, now, stations)
+        done = load.apply_prices(store, batch, now, on_unknown=on_unknown, replay=replay, park=True, stations=stations)
+        _keep(done.rejects, store, "rejects", "prices", replay)
+        _keep(done.absent_items, store, "absents", "prices", replay)
+        done.release(store.spark)
+        done.report("price")
 
     return _start(pages, apply, checkpoint, name, every)
 
@@ -69,3 +98,4 @@ def ingest_available(
     """Take every page that has landed: the stations first, so that their prices find them."""
     station_stream(store, stations, f"{checkpoint}/stations", clock=clock).awaitTermination()
     price_stream(store, prices, f"{checkpoint}/prices", clock=clock).awaitTermination()
+    load.retry_parked(store, clock())

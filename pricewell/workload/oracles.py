@@ -287,6 +287,16 @@ UNION ALL
 SELECT 'STATIONS-AND-PRICES', NULL, NULL, epoch_us({ts(q.BATCH_TS)} - INTERVAL 60 SECOND), NULL""",
     "stream_ingest": stored(GOOD_PRICES),
     "stream_restart": stored(GOOD_PRICES),
+    "stream_late_station": stored(GOOD_PRICES),
+    "malformed_page": stored(f"SELECT * FROM ({GOOD_PRICES}) WHERE event_id // 500 + 1 < 3"),
+    "stored_dimension": f"""
+SELECT * REPLACE (CASE fuel_type_id WHEN 4 THEN 9 ELSE fuel_type_id END AS fuel_type_id) FROM ({stored(GOOD_PRICES)})""",
+    "stored_stations": f"""
+SELECT {HEX.format('s.node_id')} AS node_id, trading_name, brand_name, address_line_1, address_line_2, city, postcode, latitude,
+       longitude, false AS temporary_closure, NULL::BOOLEAN AS permanent_closure, 'E10,E5' AS fuel_types,
+       epoch_us({ts(q.SINCE)}) AS last_updated
+FROM ({STATION}) s WHERE NOT {BAD_STATION}""",
+    "report_file": report(STATION, PRICE, "purchase"),
     "page_files": "SELECT event_id // 500 + 1 AS batch_number, count(*) AS n_items FROM events WHERE event_id // 500 + 1 < 5 GROUP BY 1",
     "table_retention": f"""
 SELECT 'CARS' AS name, count(*) AS n_rows FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
@@ -304,4 +314,14 @@ SELECT user_id, epoch_us(ts) AS last_touch, props FROM ({LAST_STATE}) WHERE NOT
     "stream_sessions": f"""
 SELECT user_id, epoch_us(s) AS session_start, epoch_us(e) AS session_end, n_touches FROM ({SESSIONS})
 WHERE epoch_us(e) + 899999999 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)""",
+    "stream_state": f"""
+SELECT user_id, event_id, epoch_us(ts) AS last_touch, props FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)
+WHERE (next IS NULL OR next > ts + INTERVAL 1 HOUR)
+  AND epoch_us(ts) + 3600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)""",
 }
+ORACLES["stream_rejects"] = f"""
+{ORACLES['reject_summary']}
+UNION ALL
+SELECT 'absent station', count(*) FROM events WHERE NOT {BAD_EVENT}
+AND user_id NOT IN (SELECT node_id FROM ({STATION}) WHERE NOT {BAD_STATION}) HAVING count(*) > 0"""

@@ -19,7 +19,7 @@ from pricewell.session import work_dir
 from pricewell.sources import pages as pg
 from pricewell.sources.keyed_table import prune_stations
 from pricewell.streaming import ingest
-from pricewell.streaming.activity import session_stream
+from pricewell.streaming.activity import session_stream, state_stream
 from pricewell.workload import tables as wt
 
 PREFIX = "auTo_1"
@@ -460,6 +460,84 @@ def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(store)
 
 
+def _landed(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
+    return spark.readStream.schema(PAGE_ROWS).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def stream_late_station(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices that land before any station: parked, and stored once the stations are."""
+    root = work_dir(spark, "stream-late")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    feeds = {name: _landed(spark, f"{root}/landed/{name}") for name in ("stations", "prices")}
+    ingest.price_stream(store, feeds["prices"], f"{root}/early", clock=lambda: BATCH_TS).awaitTermination()
+    ingest.station_stream(store, feeds["stations"], f"{root}/checkpoint", clock=lambda: BATCH_TS).awaitTermination()
+    load.retry_parked(store, BATCH_TS)
+    return _stored(store)
+
+
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What the page streams left out, by reason."""
+    root = work_dir(spark, "stream-rejects")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    feeds = [_landed(spark, f"{root}/landed/{name}") for name in ("stations", "prices")]
+    ingest.ingest_available(store, *feeds, f"{root}/checkpoint", lambda: BATCH_TS)
+    why = ingest.rejects(store).select(F.concat_ws(": ", "feed", "reason").alias("reason"))
+    return why.unionByName(ingest.absents(store).select(F.lit("absent station").alias("reason"))).groupBy("reason").agg(
+        F.count("*").alias("n_items")
+    )
+
+
+def malformed_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The price feed with every third page cut off: the load fails there, the pages before stay stored."""
+    root = work_dir(spark, "malformed-page")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    stations, prices = _feeds(spark, root)
+    load.load_stations(store, stations, BATCH_TS)
+    cut = F.when(F.col("batch_number") % 3 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    try:
+        load.load_prices(store, pg.Feed.of(prices.pages.withColumn("value", cut)), BATCH_TS)
+    except load.FeedError:
+        pass
+    return _stored(store)
+
+
+def stored_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """A store whose product dimension has one product more, which purchases are of; the stored prices."""
+    root = work_dir(spark, "stored-dimension")
+    _land(spark, sf, root)
+    types = schemas.fuel_types(spark, [*schemas.FUEL_TYPES, (9, "SYN", "Synthetic")])
+    store = load.Store.at(spark, f"{root}/store").create(types)
+    stations, prices = _feeds(spark, root)
+    named = prices.pages.withColumn("value", F.replace("value", F.lit('"HVO"'), F.lit('"SYN"')))
+    load.full_load(store, stations, pg.Feed.of(named), BATCH_TS)
+    return _stored(store)
+
+
+def stored_stations(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored station rows after the same feed was loaded twice: the second time changes nothing."""
+    root = work_dir(spark, "stored-stations")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    stations, _ = _feeds(spark, root)
+    for now in (SINCE, BATCH_TS):
+        load.load_stations(store, stations, now)
+    return store.stations.read().select(
+        "node_id", "trading_name", "brand_name", "address_line_1", "address_line_2", "city", "postcode", "latitude",
+        "longitude", "temporary_closure", "permanent_closure", F.array_join("fuel_types", ",").alias("fuel_types"), micros("last_updated"),
+    )
+
+
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest report written as a file and read again."""
+    path = work_dir(spark, "report")
+    rows = latest_report(spark, sf)
+    report.write_report(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def table_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Tables loaded, one brand's stations changed later, all older ones pruned with their prices."""
     root = work_dir(spark, "retention")
@@ -528,6 +606,21 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return closed.select("user_id", micros("session_start"), micros("session_end"), "n_touches")
 
 
+def stream_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State that the stream has let go: the last touch before each pause of over an hour, behind the watermark."""
+    root = work_dir(spark, "stream-state")
+    events = wt.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
+    query = (
+        state_stream(stream).writeStream.outputMode("append").format("parquet")
+        .option("path", f"{root}/expired").option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema("user_id bigint, last_touch timestamp, event_id bigint, props string").parquet(f"{root}/expired")
+    return rows.select("user_id", "event_id", micros("last_touch"), "props")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -537,7 +630,8 @@ QUERIES = {
         postcode_report, supplier_report, cheapest_order, history_points, history_series_json, supplier_history,
         last_writer, upsert_all_columns, upsert_one_column, upsert_counts, prune_prices, prune_stations_cascade,
         station_items, price_items, reject_summary, unknown_types, page_sequence, page_files,
-        full_load, partial_load, stream_ingest, stream_restart, table_retention,
-        activity_sessions, active_users, unexpired_state, state_latest, stream_sessions,
+        full_load, partial_load, stream_ingest, stream_restart, stream_late_station, stream_rejects,
+        malformed_page, stored_dimension, stored_stations, report_file, table_retention,
+        activity_sessions, active_users, unexpired_state, state_latest, stream_sessions, stream_state,
     )
 }

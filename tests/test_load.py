@@ -1,5 +1,6 @@
 """Loads into the stored tables, in batch and as a stream."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from feed import land, node, price, prices, station
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from pricewell import schemas
 from pricewell.plans import load
 from pricewell.sources import pages as pg
 from pricewell.sources.keyed_table import prune_stations
@@ -160,17 +162,66 @@ def test_stream_equals_batch_and_replay_is_skipped(spark, store, feed, tmp_path)
     before = other.prices._manifest()
     run()
     assert other.prices._manifest() == before
-    assert other.prices.upsert(store.prices.read().drop("last_updated"), T1, batch_id=0, stream="prices").skipped
+    mark = next(name for name in before.batches if name.startswith("prices"))
+    assert other.prices.upsert(store.prices.read().drop("last_updated"), T1, batch_id=0, stream=mark).skipped
     land(tmp_path / "p", 3, [prices(2, price("E10", 138))])
     run()
     assert other.prices.read().count() == store.prices.read().count() + 1
 
 
-def test_stream_fails_on_malformed_page(spark, store, tmp_path):
-    land(tmp_path / "s", 1, "{}")
-    with pytest.raises(PySparkException):
+def test_stream_stores_pages_before_a_malformed_one_then_fails(spark, store, tmp_path):
+    for number, content in enumerate([[station(1)], "{}", [station(3)]], start=1):
+        land(tmp_path / "s", number, content)
+
+    def run():
         ingest.station_stream(store, pg.stream_pages(spark, str(tmp_path / "s")), str(tmp_path / "ck")).awaitTermination()
-    assert store.stations.read().count() == 0
+
+    with pytest.raises(PySparkException):
+        run()
+    assert stored(store.stations, "node_id") == [(node(1),)]
+    land(tmp_path / "s", 2, [station(2)])
+    run()
+    assert stored(store.stations, "node_id") == [(node(1),), (node(2),), (node(3),)]
+
+
+def test_stream_keeps_rejects_and_parks_prices_of_late_stations(spark, store, tmp_path):
+    land(tmp_path / "p", 1, [prices(1, price(amount=140)), prices(2, price(), trading_name=None), prices(3, price())])
+
+    def run(at):
+        price_pages = pg.stream_pages(spark, str(tmp_path / "p"), 1)
+        ingest.price_stream(store, price_pages, str(tmp_path / "ck"), clock=lambda: at).awaitTermination()
+
+    run(T0)
+    assert store.prices.read().count() == 0 and store.parked.read().count() == 2
+    assert [tuple(r) for r in ingest.rejects(store).select("feed", "idx", "reason", "batch").collect()] == [("prices", 1, "trading_name", 0)]
+    assert sorted(r["idx"] for r in ingest.absents(store).collect()) == [0, 2]
+    store.stations.upsert(load.latest_stations(pg.good_items(pg.decode_stations(
+        spark.createDataFrame([(1, json.dumps([station(1)]))], "batch_number long, value string")))), T0)
+    land(tmp_path / "p", 2, [prices(1, price(amount=139))])
+    run(T1)
+    assert stored(store.prices, "node_id", "price") == [(node(1), 139.0)]
+    assert stored(store.parked, "node_id") == [(node(3),)]
+
+
+def test_identical_rewrite_leaves_every_folder(store, feed):
+    s, p = feed("s", [station(n) for n in range(6)]), feed("p", [prices(1, price(), price(updated="2026-02-01T10:00:00Z"))])
+    load.full_load(store, s, p, T0)
+    parts = store.stations._manifest().parts, store.prices._manifest().parts
+    load.full_load(store, s, p, T1)
+    assert (store.stations._manifest().parts, store.prices._manifest().parts) == parts
+    change = load.load_prices(store, feed("p2", [prices(1, price(amount=1.5), price(updated="2026-02-01T10:00:00Z"))]), T1).change
+    assert (change.updated, change.unchanged) == (1, 1)
+    after = store.prices._manifest().parts
+    assert [day for day in after if after[day] != parts[1][day]] == ["2026-03-01"]
+
+
+def test_bucket_count_and_products_are_those_of_create(spark, tmp_path, feed):
+    types = schemas.fuel_types(spark, [*schemas.FUEL_TYPES, (9, "SYN", "Synthetic")])
+    load.Store.at(spark, str(tmp_path / "own")).create(types, station_buckets=2)
+    store = load.Store.at(spark, str(tmp_path / "own"))
+    load.full_load(store, feed("s", [station(n) for n in range(20)]), feed("p", [prices(1, price("SYN", 150))]), T0)
+    assert sorted(store.stations._manifest().parts) == ["0000", "0001"]
+    assert stored(store.prices, "fuel_type_id") == [(9,)]
 
 
 def test_increment_keeps_all_that_the_feed_returned(spark, store, feed):

@@ -10,7 +10,7 @@ from pricewell import schemas
 from pricewell.operators import activity, checks, filters, groups, joins, retention
 from pricewell.operators.upsert import ACTION, upsert_rows
 from pricewell.plans import history, report
-from pricewell.streaming.activity import session_stream, state_stream
+from pricewell.streaming.activity import rows_too_late, session_stream, state_stream
 
 T0 = datetime(2026, 3, 1, 12)
 PRICE = "node_id string, fuel_type_id smallint, price double, u string, e string"
@@ -52,6 +52,13 @@ def test_semi_join_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
     assert joins.restrict_to(page, known, "node_id") is page
 
 
+def test_broadcast_bound_is_in_bytes(spark):
+    side = spark.createDataFrame([("a" * 64, 1), ("b" * 64, 2), (None, 3)], "node_id string, v int").select("node_id")
+    width = 2 * (64 + joins.ROW_BYTES) + joins.ROW_BYTES
+    assert joins.small_enough(side, width) and not joins.small_enough(side, width - 1)
+    assert joins.small_enough(side.limit(0), 0)
+
+
 def test_left_dimension_keeps_strangers_and_strict_one_fails(spark, types):
     facts = spark.createDataFrame([("E10", 5), ("?", 99)], "fuel_type string, t int")
     rows = {r["t"]: r["display_text"] for r in joins.with_dimension(facts, types, "t").collect()}
@@ -281,11 +288,22 @@ def test_stream_sessions_equal_closed_batch_sessions(spark, tmp_path):
     q.awaitTermination()
     closed = {s for s in brute_sessions(touches, 15 * minute) if s[0] != 3}
     assert as_set(spark.table("sessions_out")) == closed and len(closed) == 3
-    q = state_stream(stream).writeStream.format("memory").queryName("state_out").outputMode("complete").trigger(availableNow=True).start()
+    q = state_stream(stream).writeStream.format("memory").queryName("state_out").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {tuple(r) for r in spark.table("state_out").select("user_id", "props").collect()} == {
-        tuple(r) for r in activity.latest_state(source).select("user_id", "props").collect()
-    }
+    assert {r["user_id"] for r in spark.table("state_out").collect()} == {1, 2}
+    assert rows_too_late(q) == 0
+
+
+def test_state_expires_an_hour_after_the_last_touch(spark, tmp_path):
+    minute, base = 60 * 1_000_000, 1_700_000_000_000_000
+    for n, touches in enumerate([[(1, base), (1, base + 61 * minute), (2, base)], [(2, base + 60 * minute), (3, base + 900 * minute)]]):
+        touch_df(spark, touches).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+    schema = spark.read.parquet(str(tmp_path / "in")).drop("n").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = state_stream(stream).writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    ends = sorted((r["user_id"], r["us"] - base) for r in spark.table("expired").select("user_id", F.unix_micros("last_touch").alias("us")).collect())
+    assert ends == [(1, 0), (1, 61 * minute), (2, 60 * minute)]
 
 
 def test_liveness_and_expiry_edges(spark):
