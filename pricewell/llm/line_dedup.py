@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewell.llm import textops as T
+from pricewell.llm.names import free_name
 from pricewell.session import work_dir
 
 BATCHES = 3
@@ -81,10 +82,10 @@ class Runs:
                 self.levels[level] = []
 
 
-def _drop_batches(batches, text_first: int):
+def _drop_batches(batches, text_first: int, gone_keys: str):
     for batch in batches:
         texts, lines, dropped = [], [], []
-        for text, gone in zip(batch.column(text_first), batch.column("gone_keys").to_pylist()):
+        for text, gone in zip(batch.column(text_first), batch.column(gone_keys).to_pylist()):
             raw = (text.as_py() or "").encode().split(b"\n")
             kept = raw
             if gone:
@@ -93,7 +94,7 @@ def _drop_batches(batches, text_first: int):
             texts.append(b"\n".join(kept).decode())
             lines.append(len(raw))
             dropped.append(len(raw) - len(kept))
-        names = [n for n in batch.schema.names if n != "gone_keys"]
+        names = [n for n in batch.schema.names if n != gone_keys]
         columns = [batch.column(n) for n in names]
         yield pa.RecordBatch.from_arrays(
             [*columns, pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
@@ -118,7 +119,8 @@ def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int = BATCH
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "line-runs")
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "gone_keys", "gone_doc")
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    gone_doc, gone_keys = free_name(docs.columns, "gone_doc"), free_name(docs.columns, "gone_keys")
     known = docs.where(F.col("doc_id").isNotNull())
     number = _batch_of(known.select("doc_id"), batches)
     known.select("doc_id", "text").mapInArrow(_keys_of_batches, "doc_id long, key binary").withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/keys")
@@ -127,8 +129,8 @@ def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int = BATCH
     for n in range(batches):
         runs.add(keys.where(F.col("batch") == n).select("doc_id", "key"))
     owned = keys.join(runs.rows(), "key").where(F.col("doc_id") > F.col("owner"))
-    gone = owned.groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("key").alias("gone_keys"))
-    marked = docs.join(gone, F.col("doc_id") == F.col("gone_doc"), "left").drop("gone_doc")
+    gone = owned.groupBy(F.col("doc_id").alias(gone_doc)).agg(F.collect_set("key").alias(gone_keys))
+    marked = docs.join(gone, F.col("doc_id") == F.col(gone_doc), "left").drop(gone_doc)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     text_at = docs.columns.index("text")
-    return marked.mapInArrow(lambda b: _drop_batches(b, text_at), f"{schema}, kept_text string, n_lines long, n_dropped long")
+    return marked.mapInArrow(lambda b: _drop_batches(b, text_at, gone_keys), f"{schema}, kept_text string, n_lines long, n_dropped long")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricewell.llm.names import free_name
 from pricewell.session import work_dir
 
 WEIGHTS = (5, 2, 1)
@@ -89,10 +90,11 @@ def mix(docs: DataFrame, folder: str | None = None, seed: int = SEED, weights=WE
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "source-mix")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    docs.select(*own, size.alias("size"), F.monotonically_increasing_id().alias("mix_row")).write.parquet(f"{folder}/sized")
+    own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    row, of = free_name(own, "mix_row"), free_name(own, "mix_source")
+    docs.select(*own, size.alias("size"), F.monotonically_increasing_id().alias(row)).write.parquet(f"{folder}/sized")
     sized = spark.read.parquet(f"{folder}/sized")
-    rows = sized.select("mix_row", F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), "size")
+    rows = sized.select(F.col(row).alias("mix_row"), F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), "size")
 
     by_source = rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(by_source, weights, share, most)
@@ -113,8 +115,8 @@ def mix(docs: DataFrame, folder: str | None = None, seed: int = SEED, weights=WE
     laid = _laid_out(rows, sources, max(1, n_docs // BUCKET_DOCS), seed, block)
     overlap = F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, t: sum_ + F.greatest(F.least(F.col("to"), t) - F.col("from"), F.lit(0)))
     per_row = laid.join(taken_of, ["number", "block"]).groupBy("mix_row").agg(F.sum(overlap).alias("taken"))
-    named = sources.select(F.col("source").alias("mix_source"), "source_size", "target")
-    whole = sized.join(per_row, "mix_row", "left").join(named, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    named = sources.select(F.col("source").alias(of), "source_size", "target")
+    whole = sized.join(per_row.withColumnRenamed("mix_row", row), row, "left").join(named, F.col("source").eqNullSafe(F.col(of)), "left")
     return whole.select(*own, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

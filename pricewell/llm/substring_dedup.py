@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pricewell.llm import packed as P
 from pricewell.llm import textops as T
+from pricewell.llm.names import free_name
 
 WORDS = 13
 GRAM = 5
@@ -161,10 +162,10 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"of_doc": pa.array(doc[start], pa.int64()), "ranges": pa.array(blobs, pa.binary())})
 
 
-def _remove_batches(batches, words: int):
+def _remove_batches(batches, words: int, ranges_col: str):
     for batch in batches:
         texts, totals, removed = [], [], []
-        for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
+        for text, ranges in zip(batch.column("text"), batch.column(ranges_col).to_pylist()):
             found = (text.as_py() or "").encode().split()  # bytes split at the same breaks
             gone = 0
             totals.append(len(found))
@@ -179,7 +180,7 @@ def _remove_batches(batches, words: int):
                 found = [found[i] for i in np.flatnonzero(keep).tolist()]
             texts.append(b" ".join(found).decode())
             removed.append(gone)
-        names = [n for n in batch.schema.names if n != "ranges"]
+        names = [n for n in batch.schema.names if n != ranges_col]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
             names=[*names, "kept_text", "n_words", "n_removed"],
@@ -195,13 +196,15 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS) -> DataFrame:
     count as one document that never removes from itself, and share their ranges, so ids should be unique. A null
     doc_id takes no part and keeps its words. An empty table gives no rows.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed", "of_doc", "ranges")
+    docs = docs.drop("kept_text", "n_words", "n_removed")
+    of_doc, ranges_col = free_name(docs.columns, "of_doc"), free_name(docs.columns, "ranges")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = P.bucket_count(known)
     hot = hot_keys(known, words)
     edges = known.mapInArrow(lambda b: _edge_batches(b, words, hot, buckets), P.SCHEMA)
     settled = edges.groupBy("bucket").applyInArrow(lambda t: _settle(t, buckets), P.SCHEMA)
     ranges = settled.groupBy("bucket").applyInArrow(_gather, "of_doc long, ranges binary")
-    marked = docs.join(ranges, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
+    ranges = ranges.toDF(of_doc, ranges_col)
+    marked = docs.join(ranges, F.col("doc_id") == F.col(of_doc), "left").drop(of_doc)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.mapInArrow(lambda b: _remove_batches(b, words), f"{schema}, kept_text string, n_words long, n_removed long")
+    return marked.mapInArrow(lambda b: _remove_batches(b, words, ranges_col), f"{schema}, kept_text string, n_words long, n_removed long")
