@@ -69,7 +69,8 @@ def statistics(piece: T.Piece) -> np.ndarray:
     before[1:] = (low[1:] == low[:-1]) & (docs[1:] == docs[:-1])
     keys = (docs.astype(T.U) << T.U(56)) | (low >> T.U(8))
     names, times = np.unique(keys, return_counts=True)
-    at = np.searchsorted(names, np.arange(len(piece) + 1, dtype=T.U) << T.U(56))
+    # The bound after document 255 would be 2**64.
+    at = np.append(np.searchsorted(names, np.arange(len(piece), dtype=T.U) << T.U(56)), len(names))
     top = np.zeros(len(piece))
     some = np.diff(at) > 0
     if some.any():

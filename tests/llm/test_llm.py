@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pricewell.llm import components, host_rules, html_text, line_dedup, ngram_join, pieces, quality, queries, source_mix, substring_dedup
+from pricewell.llm import textops as T
 from pricewell.llm import token_files, topk_search
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
@@ -122,6 +124,24 @@ def test_quality(spark, rows, empty):
     assert list(x) == [0, 1.5, 3] and np.allclose(y, [0.1, 0.4, 0.9])
 
 
+def test_quality_of_a_text_does_not_depend_on_its_place(spark):
+    importable(spark)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("the of stone river light over walk".split()) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    alone = np.concatenate([quality.statistics(p) for t in texts for p in T.pieces(pa.array([t]))])
+    together = np.concatenate([quality.statistics(p) for p in T.pieces(pa.array(texts))])
+    assert np.allclose(together, alone)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit(frame, frame.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), F.lit(True))
+    one = got(quality.score(frame.repartition(1), model))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        each = got(quality.score(frame.repartition(1), model))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(one) == 600 and all(abs(one[i]["score"] - r["score"]) < 1e-9 for i, r in each.items())
+
+
 def test_substrings(docs, rows, empty):
     found = got(substring_dedup.dedup_substrings(docs))
     words = {i: WORD.findall(t or "") for i, t, *_ in rows}
