@@ -68,6 +68,18 @@ def _segments(piece: T.Piece) -> T.Words:
     return T.Words(starts, ends, np.searchsorted(starts, piece.offsets))
 
 
+def _folded(data: np.ndarray, seg: T.Words) -> np.ndarray:
+    """The bytes, ASCII letters lowered in segments that are ASCII throughout. The tokenizer composes
+    marks with their letter before it lowers, so other segments keep their case."""
+    wide = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data >= 128, out=wide[1:])
+    kept = wide[seg.ends] > wide[seg.starts]
+    step = np.zeros(len(data) + 1, np.int8)
+    step[seg.starts[kept]] += 1
+    step[seg.ends[kept]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, T.LOWER[data])
+
+
 class Encoder:
     """Ids of whole texts; segments seen before are looked up instead of encoded again."""
 
@@ -105,7 +117,7 @@ class Encoder:
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
         seg = _segments(piece)
-        lower = T.LOWER[piece.data]
+        lower = _folded(piece.data, seg)
         hashes = T.BYTES_OF[0].slices(T.BYTE_VALUES[0][lower], seg.starts, seg.ends)
         names, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         checks = T.BYTES_OF[1].slices(T.BYTE_VALUES[1][lower], seg.starts[where], seg.ends[where])

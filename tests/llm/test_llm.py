@@ -106,6 +106,20 @@ def test_token_files(spark, docs, rows, empty):
     assert token_files.read(spark, folder).count() == 0
 
 
+def test_token_ids_of_marks_that_compose_in_lower_case_only():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    marked = [c + m for c in "HJTWYAEhjtwyae" for m in "\u0331\u030c\u0308\u030a\u0301"]
+    texts = marked + ["ONE one " + " ".join(marked), "J\u030c,H\u0331.T\u0308 (W\u030a)", "", "Caf\u00e9.CAF\u00c9 PLAIN", "\u0130I\u0307 \u03a3\u03a3"]
+    model = token_files.Encoder(path)
+    for together in (texts, [*reversed(texts)]):
+        found = [model.piece(p) for p in T.pieces(pa.array(together))]
+        ids, counts = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in together]
+
+
 def test_quality(spark, rows, empty):
     importable(spark)
     rng = random.Random(1)
