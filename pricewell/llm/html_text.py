@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text at block-level tags. The first pass decides what it can: parts of
 the page that markup names as menu, advert, notice, form or comment are out, as are blocks of
-links; blocks long enough and dense in stop words, and paragraphs of the article element, are in. The
-second pass gives each undecided short block the label of its nearest decided neighbours.
+links; blocks long enough and dense in stop words are in, with lower limits inside an article element. The
+second pass gives each undecided block the label of its nearest decided neighbours; one inside an
+article element is out only between blocks of links.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 GOOD_WORDS = 20
 GOOD_STOP_WORDS = 0.10
 BAD_LINKS = 0.5
+ARTICLE_GOOD_WORDS = 10
+ARTICLE_GOOD_STOP_WORDS = 0.05
 ARTICLE_BAD_LINKS = 0.8
 
 # Frequent function words of English, French, German and Spanish (fixed values).
@@ -146,23 +149,19 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> bool | None:
-    """True for article text, False for none, None when the block is too short to tell."""
+    """True for article text, False for none, None when words and links do not tell. Inside an article element the limits are lower."""
     links = block.linked / len(block.text)
     if block.out or links > (ARTICLE_BAD_LINKS if block.article and block.tag != "p" else 1.0 if block.article else BAD_LINKS):
         return False
-    if block.article:
-        return True
     words = WORD.findall(block.text.lower())
-    if len(words) >= GOOD_WORDS and sum(w in STOP_WORDS for w in words) >= GOOD_STOP_WORDS * len(words):
+    least, dense = (ARTICLE_GOOD_WORDS, ARTICLE_GOOD_STOP_WORDS) if block.article else (GOOD_WORDS, GOOD_STOP_WORDS)
+    if len(words) >= least and sum(w in STOP_WORDS for w in words) >= dense * len(words) and links <= BAD_LINKS:
         return True
     return None
 
 
-def second_pass(labels: list[bool | None], headings: list[bool], has_article: bool) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided block; at equal distance a heading that of the block after, others that before.
-
-    On a page with an article element, what lies outside of it and is undecided is out."""
-    known = [i for i, label in enumerate(labels) if label is not None]
+def _nearest(labels: list[bool | None]) -> tuple[list[int | None], list[int | None]]:
+    """Per block the nearest decided block before it and after it; a decided block is its own."""
     before, last = [], None
     for i, label in enumerate(labels):
         last = i if label is not None else last
@@ -171,17 +170,45 @@ def second_pass(labels: list[bool | None], headings: list[bool], has_article: bo
     for i in range(len(labels) - 1, -1, -1):
         nxt = i if labels[i] is not None else nxt
         after[i] = nxt
+    return before, after
+
+
+def _settle_article(labels: list[bool | None], found: list[Block]) -> list[bool | None]:
+    """Undecided blocks of an article element are in, unless their nearest decided blocks on both sides are out by their links.
+
+    Parts that markup names, such as comments, say nothing of the blocks beside them."""
+    inside = [i for i, b in enumerate(found) if b.article and not b.out]
+    own = [labels[i] for i in inside]
+    before, after = _nearest(own)
+    labels = list(labels)
+    for i, label, left, right in zip(inside, own, before, after):
+        if label is None:
+            labels[i] = left is None or right is None or own[left] or own[right]
+    return labels
+
+
+def second_pass(labels: list[bool | None], found: list[Block]) -> list[bool]:
+    """Undecided blocks take the label of the nearest decided block; at equal distance a heading that of the block after, others that before.
+
+    On a page with an article element its own blocks are settled first. Outside of it a heading takes the label of
+    the next decided block, and at equal distance so do others: a headline and lead stand before the element, notes behind it."""
+    has_article = any(b.article for b in found)
+    if has_article:
+        labels = _settle_article(labels, found)
+    before, after = _nearest(labels)
     out = []
     for i, label in enumerate(labels):
+        left, right = before[i], after[i]
+        heading = found[i].tag in HEADINGS
         if label is not None:
             out.append(label)
-        elif has_article or not known:
+        elif left is None and right is None:
             out.append(False)
         else:
-            left, right = before[i], after[i]
             d_left = i - left if left is not None else len(labels)
             d_right = right - i if right is not None else len(labels)
-            out.append(labels[right] if d_right < d_left or d_right == d_left and headings[i] else labels[left])
+            to_right = d_right < d_left or d_right == d_left and (heading or has_article) or has_article and heading and right is not None
+            out.append(labels[right] if to_right else labels[left])
     return out
 
 
@@ -190,8 +217,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    labels = [first_pass(b) for b in found]
-    kept = second_pass(labels, [b.tag in HEADINGS for b in found], any(b.article for b in found))
+    kept = second_pass([first_pass(b) for b in found], found)
     return " ".join(b.text for b, keep in zip(found, kept) if keep)
 
 

@@ -303,6 +303,19 @@ def test_html(spark):
     assert html.unescape("&amp") == "&"
 
 
+def test_html_blocks_of_pages_with_article_follow_words_links_and_neighbours():
+    text = "The river and the stone are in the light of the sun and it is good to walk by the water with you."
+    links = "<ul><li><a href=a>Link one</a></li><li><a href=b>Link two</a></li></ul>"
+    nav, foot = "<nav><a href=x>Home</a></nav>", "<footer>F</footer>"
+    outside = f"{nav}<h1>The headline</h1><p>A short lead</p><article><p>{text}</p></article><div>All rights</div>{foot}"
+    assert html_text.main_text(outside) == f"The headline A short lead {text}"
+    between = f"{nav}<main><p>{text}</p><p>Short one</p>{links}<div>Read on</div>{links}<p>Short two</p></main>{foot}"
+    assert html_text.main_text(between) == f"{text} Short one Short two"
+    assert html_text.main_text(f"{nav}<h2>Title</h2><article><p>Only</p><p>short text</p></article>{foot}") == "Title Only short text"
+    assert html_text.main_text(f"{nav}<article><p>{'Zażółć gęślą ' * 30}</p></article>{foot}") == ("Zażółć gęślą " * 30).strip()
+    assert html_text.main_text(f"{nav}<h2>Title</h2><p>{text}</p><p>Short end.</p>{foot}") == f"Title {text} Short end."
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
