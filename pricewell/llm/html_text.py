@@ -46,6 +46,10 @@ disclaimer discussion disqus footer form header login masthead menu modal nav na
 popup promo promotion promoted recommended related replies reply respond share sharing sidebar sidebars signup social sponsor sponsored
 subscribe tags toolbar widget widgets
 """.split())
+# Beside such a word a name tells of a part elsewhere, or of none (fixed values).
+STATE_WORDS = frozenset("has have with without no not non is free".split())
+# A name that ends in such a word is of a part that holds text (fixed values).
+TEXT_WORDS = frozenset("article content main page story".split())
 CLOSES_P = BLOCK_TAGS - {"br", "body", "html", "head", "title", "option"}
 
 MARKUP = re.compile(
@@ -58,12 +62,23 @@ NAME_PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+")
 
 
+def _names_out(value: str) -> bool:
+    """Whether a class or id has a name that is, begins or ends with one of OUT_NAMES. Other parts of a name do not count."""
+    for name in value.split():
+        parts = NAME_PART.findall(name)
+        if not parts or STATE_WORDS.intersection(parts):
+            continue
+        if parts[-1] in OUT_NAMES or parts[0] in OUT_NAMES and parts[-1] not in TEXT_WORDS:
+            return True
+    return False
+
+
 def _is_out(tag: str, attributes: str) -> bool:
     if tag in OUT_TAGS:
         return True
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and tag not in ("body", "html", "main", "article") and OUT_NAMES.intersection(NAME_PART.findall(value)):
+        if name in ("class", "id") and tag not in ("body", "html", "main", "article") and _names_out(value):
             return True
         if name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -151,7 +166,10 @@ def blocks(page: str) -> list[Block]:
 def first_pass(block: Block) -> bool | None:
     """True for article text, False for none, None when words and links do not tell. Inside an article element the limits are lower."""
     links = block.linked / len(block.text)
-    if block.out or links > (ARTICLE_BAD_LINKS if block.article and block.tag != "p" else 1.0 if block.article else BAD_LINKS):
+    if block.out or not block.article and links > BAD_LINKS:
+        return False
+    # A paragraph or heading of an article may be one link; items of a list are settled by the items beside them.
+    if block.article and links > ARTICLE_BAD_LINKS and block.tag != "p" and block.tag not in HEADINGS:
         return False
     words = WORD.findall(block.text.lower())
     least, dense = (ARTICLE_GOOD_WORDS, ARTICLE_GOOD_STOP_WORDS) if block.article else (GOOD_WORDS, GOOD_STOP_WORDS)
@@ -179,6 +197,13 @@ def _settle_article(labels: list[bool | None], found: list[Block]) -> list[bool
     Parts that markup names, such as comments, say nothing of the blocks beside them."""
     inside = [i for i, b in enumerate(found) if b.article and not b.out]
     own = [labels[i] for i in inside]
+    items = [found[i].tag == "li" for i in inside]
+    for n, (item, label) in enumerate(zip(items, list(own))):
+        if item and label is False:
+            # A link among items of text is an item of the article's list; a list of nothing but links is a menu.
+            near = [m for m in (n - 1, n + 1) if 0 <= m < len(inside) and items[m]]
+            if any(found[inside[m]].linked <= ARTICLE_BAD_LINKS * len(found[inside[m]].text) for m in near):
+                own[n] = None
     before, after = _nearest(own)
     labels = list(labels)
     for i, label, left, right in zip(inside, own, before, after):

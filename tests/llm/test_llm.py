@@ -316,6 +316,20 @@ def test_html_blocks_of_pages_with_article_follow_words_links_and_neighbours():
     assert html_text.main_text(f"{nav}<h2>Title</h2><p>{text}</p><p>Short end.</p>{foot}") == f"Title {text} Short end."
 
 
+def test_html_linked_headings_and_names_of_parts():
+    text = "The river and the stone are in the light of the sun and it is good to walk by the water with you."
+    page = f"<article><h1><a href=x>Linked head</a></h1><p>{text}</p><h2><a href=y>Second</a></h2><p>{text}</p></article>"
+    assert html_text.main_text(page) == f"Linked head {text} Second {text}"
+    items = "<ul><li>An item of text</li><li><a href=x>A linked item</a></li><li>One more item</li></ul>"
+    assert html_text.main_text(f"<article><p>{text}</p>{items}</article>") == f"{text} An item of text A linked item One more item"
+    menu = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>"
+    assert html_text.main_text(f"<article><p>{text}</p>{menu}</article>") == text
+    for name in ("has-sidebar", "ad-free", "with-comments", "no-ads wide", "post-related-links-content", "header-content"):
+        assert html_text.main_text(f"<div class='{name}'><p>{text}</p></div>") == text, name
+    for name in ("sidebar", "main-nav", "comment-list", "cookie_notice", "wide ad", "ad-1", "share-buttons"):
+        assert html_text.main_text(f"<div id='{name}'><p>{text}</p></div>") == "", name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
