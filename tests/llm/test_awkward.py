@@ -150,3 +150,13 @@ def test_stage_of_mixing_takes_whole_documents_near_the_targets(spark, docs, row
     at_hand = Counter((i, t) for i, t, *_ in rows)
     assert times == counted(again, "doc_id", "text")
     assert all(times[key] <= 2 * at_hand[key] for key in times)
+
+
+def test_stage_of_encoding_decodes_its_ids(spark, docs, rows, folder, monkeypatch):
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece encoding and decoding"]
+    coded = stage(spark, docs, folder)
+    assert set(docs.columns) <= set(coded.columns) and counted(coded, "doc_id", "text", "lossless") == Counter((i, t, True) for i, t, *_ in rows)
+    assert {r["decoded"] for r in coded.select("decoded").collect()} == {"clash"}
+    encode = pieces.encode
+    monkeypatch.setattr(pieces, "encode", lambda *a: encode(*a).withColumn("piece_ids", F.slice("piece_ids", 2, 1 << 30)))
+    assert {r["lossless"] for r in stage(spark, docs.where("length(text) > 0"), folder).select("lossless").collect()} == {False}
