@@ -1,9 +1,15 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from pricewell.llm import url_filter
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OUTER = r"E' \t\n\x0B\x0C\r'"
 
+TERMS = r"regexp_extract_all(translate(text, {letters}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(letters=LETTERS)
+URL_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)
+URL_TERMS = ", ".join(f"('{t}', {w})" for t, w in url_filter.VOCABULARY.items())
+
 ORACLES = {
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings),
@@ -61,4 +67,32 @@ ORACLES = {
         ok AS (SELECT source, (k + m * s) / (n + s) <= 0.5 AS host_ok FROM h, q)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
         FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source""",
+    "op12_lexical_search": f"""
+        WITH d AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+        t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id),
+        c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+        m AS (SELECT doc_id, 75 + ((25 * n * big_n) // big_l) AS m FROM n, c),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, big_n),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+        s AS (
+            SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+        ),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank" FROM s WHERE score > 0)
+        SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20""",
+    "op13_url_filter": f"""
+        WITH rules(h, p, v) AS (VALUES {URL_RULES}), terms(term, weight) AS (VALUES {URL_TERMS}),
+        u AS (
+            SELECT row_number() OVER () AS n, page_id, translate(coalesce(url, ''), {LETTERS}) AS low,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {LETTERS}) AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+        ),
+        f AS (
+            SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+            FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n
+        ),
+        k AS (SELECT n, sum(weight) AS weight FROM u JOIN terms ON regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY n)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(weight, 0) >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN f USING (n) LEFT JOIN k USING (n)""",
 }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import host_rules, html_text, line_dedup, ngram_join, pieces, quality, source_mix, substring_dedup, token_files, topk_search
+from pricewell.llm import (
+    host_rules, html_text, lexical_search, line_dedup, ngram_join, pieces, quality, source_mix, substring_dedup, token_alignment, token_files,
+    topk_search, url_filter,
+)
 from pricewell.llm.oracles import ORACLES  # noqa: F401 - offered beside the queries
 from pricewell.llm.workers import importable
 from pricewell.session import work_dir
@@ -79,7 +82,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: globals()[name]
-    for name in ("op1_topk_search", "op2_token_files", "op3_quality", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op8_pieces", "op9_source_mix", "op10_html_text")
+    for name in (
+        "op1_topk_search", "op2_token_files", "op3_quality", "op4_substring_dedup", "op5_ngram_join", "op6_line_dedup", "op7_host_rules", "op8_pieces",
+        "op9_source_mix", "op10_html_text", "op11_token_alignment", "op12_lexical_search", "op13_url_filter",
+    )
 }

@@ -116,8 +116,9 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
 
-def words(piece: Piece) -> Words:
-    inside = ~IS_BREAK[piece.data]
+def words(piece: Piece, is_break: np.ndarray = IS_BREAK) -> Words:
+    """Runs of bytes other than those that ``is_break`` marks, which must be ASCII."""
+    inside = ~is_break[piece.data]
     n = len(inside)
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
