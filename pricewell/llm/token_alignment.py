@@ -2,8 +2,8 @@
 
 Tokens of both streams are intervals of the same bytes. Every token points to the token overlapping it that
 reaches farthest right; doubling the pointers until nothing moves brings each token to the last one of its
-component, which labels the group. Neither tokenizer merges across a word's leading space, so texts are cut
-there and equal segments of a task are encoded and aligned once.
+component, which labels the group. Neither tokenizer merges across a word's leading space, nor from a letter to a mark, so texts are cut
+there and equal segments of a worker's texts are encoded and aligned once.
 
 Counts of id pairs are summed in the tasks before the shuffle. Pairs frequent enough to be among the first million are looked up
 in a broadcast table of that size at most; the rest, none of which holds more than about a millionth of all links, are joined.
@@ -25,7 +25,8 @@ from pricewell.llm import textops as T
 from pricewell.session import work_dir
 
 SPACE = "▁"
-KNOWN_AT_MOST = 300_000
+KNOWN_AT_MOST = 400_000
+LINES_AT_ONCE = 4096
 KNOWN_PAIRS_AT_MOST = 4 << 20
 COUNTED_AT_ONCE = 2 << 20
 # Pairs of the broadcast table at most (16 bytes each), and how finely their frequency is chosen.
@@ -43,6 +44,18 @@ def byte_of_mark() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(0x100 + n): b for n, b in enumerate(others)}
 
 
+class Table:
+    """Byte strings by number, end to end."""
+
+    def __init__(self, values: list[bytes]):
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(values), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[P.expand(self.first[ids], self.size[ids])]
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their entries."""
 
@@ -60,18 +73,67 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        self.a_table, self.b_table = Table(self.a_bytes), Table(self.b_bytes)
+        self.number = Table([b"%d," % i for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         self.space = self.b.piece_to_id(SPACE)
-        # Cuts before spaces and line ends are safe if no piece goes on over them.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i))
-
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        self.a_line, self.b_line = self.a_bytes.index(b"\n"), self.b_bytes.index(b"\n")
+        texts = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
+        # A cut is safe where no piece goes on: before spaces and around line ends, and before marks that follow a letter.
+        self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in texts)
+        going_on = {y for p in texts for x, y in zip(p, p[1:]) if x.isalpha()}
+        self.mark = np.zeros(256, bool)
+        self.mark[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in going_on]] = True
+
+    def encode(self, texts: list[str], simple: np.ndarray) -> tuple[tuple, tuple]:
+        """Ids of segments end to end and how many each has, by both tokenizers. Simple segments go as lines of one text, since
+        neither tokenizer merges over a line end; the others alone."""
+        parts = [self._lines([t for t, s in zip(texts, simple.tolist()) if s])]
+        others = [t for t, s in zip(texts, simple.tolist()) if not s]
+        if not others:
+            return parts[0]
+        parts.append((_flat(self._alone_a(others)), _flat(self._alone_b(others))))
+        order = np.argsort(np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]))
+        both = []
+        for side in (0, 1):
+            ids, counts = (np.concatenate([p[side][i] for p in parts]) for i in (0, 1))
+            first = np.cumsum(counts) - counts
+            both.append((ids[P.expand(first[order], counts[order])], counts[order]))
+        return both[0], both[1]
+
+    def _lines(self, lines: list[str]) -> tuple[tuple, tuple]:
+        a, b = [], []
+        for at in range(0, len(lines), LINES_AT_ONCE):
+            part = lines[at:at + LINES_AT_ONCE]
+            text = "\n" + "\n".join(part)
+            found = _split(self._alone_a([text])[0], self.a_line), _split(self.b.encode(text), self.b_line)
+            if len(found[0][1]) != len(part) or len(found[1][1]) != len(part):  # a line end was merged after all
+                found = _flat(self._alone_a(part)), _flat(self._alone_b(part))
+            a.append(found[0])
+            b.append(found[1])
+        if not lines:
+            return ((np.zeros(0, np.int64),) * 2,) * 2
+        return tuple(tuple(np.concatenate([x[i] for x in side]) for i in (0, 1)) for side in (a, b))
+
+    def _alone_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids of segments that begin with the space that the tokenizer adds itself, or with a line end."""
-        found = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        return [(ids or [self.space]) if t[0] == " " else ids[1:] for t, ids in zip(texts, found)]
+    def _alone_b(self, texts: list[str]) -> list[list[int]]:
+        """A segment's own leading space is the one that the tokenizer adds; before other segments a line end takes it, and goes."""
+        found = self.b.encode([t[1:] if t[0] == " " else "\n" + t for t in texts], num_threads=1)
+        return [(ids or [self.space]) if t[0] == " " else ids[2:] for t, ids in zip(texts, found)]
+
+
+def _split(ids: list[int], line: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids behind line ends, without these, and how many lie behind each."""
+    ids = np.array(ids, np.int64)
+    at = np.flatnonzero(ids == line)
+    behind = ids[at[0]:] if len(at) else ids[:0]
+    return behind[behind != line], np.diff(np.append(at, len(ids))) - 1
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
 
 
 @lru_cache(maxsize=2)
@@ -79,6 +141,12 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
+@lru_cache(maxsize=2)
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """Kept by a worker for its next tasks."""
+    return Aligner(tokenizers(a_path, b_path))
+
+
 def jump(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group label of every token of two streams that tile the same bytes, given by where their tokens end.
 
@@ -97,23 +165,37 @@ def jump(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         successor = farther
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+def _distinct(labels: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label, id and how often, of every id that a label has."""
+    key, times = np.unique(labels * size + ids, return_counts=True)
+    return key // size, key % size, times
 
 
-def _pairs(a_label, a_ids, b_label, b_ids, a_owner, width: int):
-    """(owner, pair, times) of all links: every id of A with every id of B of its group, each distinct id pair of an owner once."""
-    a_key, a_times = np.unique(np.stack([a_label, a_ids]), axis=1, return_counts=True)
-    b_key, b_times = np.unique(np.stack([b_label, b_ids]), axis=1, return_counts=True)
-    at, to = np.searchsorted(b_key[0], a_key[0], side="left"), np.searchsorted(b_key[0], a_key[0], side="right")
-    left, right = np.repeat(np.arange(a_key.shape[1]), to - at), P.expand(at, to - at)
-    owner = a_owner[np.searchsorted(a_label, a_key[0, left])]
-    pair, times = a_key[1, left] * width + b_key[1, right], a_times[left] * b_times[right]
-    order = np.lexsort((pair, owner))
-    owner, pair, times = owner[order], pair[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])])) if len(pair) else np.zeros(0, np.int64)
-    return owner[first], pair[first], np.add.reduceat(times, first) if len(first) else times
+def _summed(owner: np.ndarray, pair: np.ndarray, times: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, pair, times) in order, each pair of an owner once."""
+    key = owner * pairs + pair
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    first, _ = P.groups(key)
+    return key[first] // pairs, key[first] % pairs, np.add.reduceat(times, first) if len(first) else times
+
+
+def _same(table: Table, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the entries of each segment's ids are its bytes."""
+    segment = np.repeat(np.arange(len(counts)), counts)
+    sized = np.bincount(segment, table.size[ids], len(counts)).astype(np.int64) == lengths
+    own = np.repeat(sized, lengths)
+    differ = table.joined(ids[sized[segment]]) != data[own]
+    sized[np.repeat(np.arange(len(lengths)), lengths)[own][differ]] = False
+    return sized
+
+
+def _simple(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Segments without white space but for one leading space before a character that is none; they can stand as lines of one text."""
+    ends = np.cumsum(lengths)
+    odd = (data < 0x21) | (data == 0x7F) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))
+    odd[(ends - lengths)[(data[ends - lengths] == 0x20) & (lengths > 1)]] = False
+    return T.doc_sums(odd.astype(np.int64), np.append(ends - lengths, len(data))) == 0
 
 
 class Aligner:
@@ -121,6 +203,7 @@ class Aligner:
 
     def __init__(self, models: Tokenizers):
         self.models, self.width = models, len(models.b_bytes)
+        self.pairs = len(models.a_bytes) * self.width
         self.clear()
 
     def clear(self) -> None:
@@ -131,30 +214,39 @@ class Aligner:
         self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def align(self, raw: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Facts, group text and pairs of segments."""
-        models, texts = self.models, [r.decode() for r in raw]
-        a, b = models.encode_a(texts), models.encode_b(texts)
-        whole = np.array([
-            b"".join(map(models.a_bytes.__getitem__, x)) == r and b"".join(map(models.b_bytes.__getitem__, y)) == r for x, y, r in zip(a, b, raw)
-        ], bool)
-        a, b = [x if ok else [] for x, ok in zip(a, whole)], [x if ok else [] for x, ok in zip(b, whole)]
-        (a_ids, n_a), (b_ids, n_b) = _flat(a), _flat(b)
-        a_label, b_label = jump(np.cumsum(models.a_size[a_ids]), np.cumsum(models.b_size[b_ids]))
-        segment = np.repeat(np.arange(len(raw)), n_a)
+        """Facts, group text (each group ended by a semicolon) and pairs of segments."""
+        models, n = self.models, len(raw)
+        data, lengths = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, n)
+        (a_ids, n_a), (b_ids, n_b) = models.encode([r.decode() for r in raw], _simple(data, lengths))
+        whole = _same(models.a_table, a_ids, n_a, data, lengths) & _same(models.b_table, b_ids, n_b, data, lengths)
+        if not whole.all():
+            a_ids, b_ids = a_ids[np.repeat(whole, n_a)], b_ids[np.repeat(whole, n_b)]
+            n_a, n_b = n_a * whole, n_b * whole
+        a_label, b_label = jump(np.cumsum(models.a_table.size[a_ids]), np.cumsum(models.b_table.size[b_ids]))
+        segment = np.repeat(np.arange(n), n_a)
         a_first, a_count = P.groups(a_label)
         b_first, b_count = P.groups(b_label)
         of = segment[a_first]
-        n_groups = np.bincount(of, minlength=len(raw))
-        n_links = np.bincount(of, a_count * b_count, len(raw)).astype(np.int64)
-        a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-        groups = [
-            ",".join(a_text[s:s + n]) + "|" + ",".join(b_text[t:t + m])
-            for s, n, t, m in zip(a_first.tolist(), a_count.tolist(), b_first.tolist(), b_count.tolist())
-        ]
-        ends = np.cumsum(n_groups).tolist()
-        text = [";".join(groups[e - n:e]).encode() for e, n in zip(ends, n_groups.tolist())]
-        owner, pair, times = _pairs(a_label, a_ids, b_label, b_ids, segment, self.width)
-        n_pairs = np.bincount(owner, minlength=len(raw))
+        n_groups = np.bincount(of, minlength=n)
+        n_links = np.bincount(of, a_count * b_count, n).astype(np.int64)
+        # Tokens in the order of the text: a group's of A, then its of B, each with what follows it.
+        before = np.cumsum(b_count) - b_count
+        place = np.empty(len(a_ids) + len(b_ids), np.int64)
+        group_a, group_b = np.repeat(np.arange(len(a_first)), a_count), np.repeat(np.arange(len(b_first)), b_count)
+        at_a, at_b = np.arange(len(a_ids)) + before[group_a], np.arange(len(b_ids)) + (a_first + a_count)[group_b]
+        place[at_a], place[at_b] = a_ids, b_ids
+        sizes = models.number.size[place]
+        written, ends = models.number.joined(place), np.cumsum(sizes)
+        written[ends[at_a[a_first + a_count - 1]] - 1] = ord("|")
+        written[ends[at_b[b_first + b_count - 1]] - 1] = ord(";")
+        written, stops = written.tobytes(), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        text = [written[s:e] for s, e in zip(stops[:-1], stops[1:])]
+        label_a, id_a, times_a = _distinct(group_a, a_ids, len(models.a_bytes))
+        label_b, id_b, times_b = _distinct(group_b, b_ids, self.width)
+        low, high = np.searchsorted(label_b, label_a, side="left"), np.searchsorted(label_b, label_a, side="right")
+        left, right = np.repeat(np.arange(len(label_a)), high - low), P.expand(low, high - low)
+        owner, pair, times = _summed(of[label_a[left]], id_a[left] * self.width + id_b[right], times_a[left] * times_b[right], self.pairs)
+        n_pairs = np.bincount(owner, minlength=n)
         facts = np.stack([n_a, n_b, n_groups, n_links, whole, np.cumsum(n_pairs) - n_pairs, n_pairs], axis=1).astype(np.int64)
         return facts, text, pair, times
 
@@ -168,19 +260,28 @@ class Aligner:
         self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
 
     def segments(self, piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
-        """Where segments start and end: at texts, and before a space or line end that follows a character surely not white space."""
+        """Where segments start and end: at texts; before a space or line end behind a character that is surely not white space; behind
+        such a line end; and before a mark that follows a letter."""
         data = piece.data
-        starts = np.zeros(len(data), bool)
+        starts = np.zeros(len(data) + 2, bool)
         starts[piece.offsets[:-1][np.diff(piece.offsets) > 0]] = True
         if self.models.cuts:
-            at = np.flatnonzero((data == 0x20) | (data == 0x0A))
-            at = at[~starts[at] & (at >= 4)]
-            one, two, three, four = (data[at - n] for n in (1, 2, 3, 4))
-            wide, wider = (one & 0xC0) == 0x80, (two & 0xC0) == 0x80
-            widest = (three & 0xC0) == 0x80
+            blank = np.flatnonzero((data == 0x20) | (data == 0x0A))
+            blank = blank[~starts[blank] & (blank >= 4)]
+            one, two, three, four = (data[blank - n] for n in (1, 2, 3, 4))
+            wide, wider, widest = ((x & 0xC0) == 0x80 for x in (one, two, three))
             safe = ((one > 0x20) & (one < 0x7F)) | (wide & (two >= 0xC3) & (two < 0xE0)) | (wide & wider & (three >= 0xE4) & (three < 0xF0)) | (wide & wider & widest & (four >= 0xF0))
-            starts[at[safe]] = True
-        starts = np.flatnonzero(starts)
+            blank = blank[safe]
+            starts[blank] = True
+            line = blank[data[blank] == 0x0A] + 1
+            line = line[line < len(data)]
+            starts[line[(data[line] > 0x20) & (data[line] < 0x7F)]] = True
+            mark = np.flatnonzero(self.models.mark[data])
+            mark = mark[mark >= 2]
+            one, two = T.LOWER[data[mark - 1]], data[mark - 2]
+            letter = ((one >= 97) & (one <= 122)) | ((two == 0xC3) & (one >= 0x80) & (data[mark - 1] != 0x97) & (data[mark - 1] != 0xB7))
+            starts[mark[letter]] = True
+        starts = np.flatnonzero(starts[:len(data)])
         return starts, np.append(starts[1:], len(data))
 
     def rows(self, piece: T.Piece) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -208,19 +309,14 @@ class Aligner:
         numbers = np.stack([T.doc_sums(facts[index, c], bounds) * whole for c in range(4)], axis=1)
         at, lists = bounds.tolist(), index.tolist()
         digest = [
-            hashlib.sha256(b";".join(map(text.__getitem__, lists[at[i]:at[i + 1]]))).hexdigest() if ok else "" for i, ok in enumerate(whole.tolist())
+            hashlib.sha256(b"".join(map(text.__getitem__, lists[at[i]:at[i + 1]]))[:-1]).hexdigest() if ok else "" for i, ok in enumerate(whole.tolist())
         ]
         live = whole[doc]
         used, often = np.unique(doc[live] * max(1, len(facts)) + index[live], return_counts=True)
         doc, segment = np.divmod(used, max(1, len(facts)))
         first, count = facts[segment, 5], facts[segment, 6]
         source = P.expand(first, count)
-        doc, pair, times = np.repeat(doc, count), pair[source], times[source] * np.repeat(often, count)
-        order = np.lexsort((pair, doc))
-        doc, pair, times = doc[order], pair[order], times[order]
-        if len(pair):
-            head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])]))
-            doc, pair, times = doc[head], pair[head], np.add.reduceat(times, head)
+        doc, pair, times = _summed(np.repeat(doc, count), pair[source], times[source] * np.repeat(often, count), self.pairs)
         return numbers, digest, np.bincount(doc, minlength=n), pair, times
 
 
@@ -229,11 +325,11 @@ def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def _align_batches(batches, a_path: str, b_path: str):
-    aligner = Aligner(tokenizers(a_path, b_path))
+    model = aligner(a_path, b_path)
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         for piece in T.pieces(batch.column("text")):
-            numbers, digest, counts, pair, times = aligner.rows(piece)
+            numbers, digest, counts, pair, times = model.rows(piece)
             columns = [pa.array(row + np.arange(len(piece)), pa.int64()), batch.column("doc_id").slice(piece.first, len(piece))]
             columns += [pa.array(numbers[:, c], pa.int64()) for c in range(4)] + [pa.array(digest, pa.string()), _lists(counts, pair), _lists(counts, times)]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
