@@ -78,3 +78,37 @@ def like_pattern(prefix: str) -> str:
 
 def starts_with(c: Column, prefix: str) -> Column:
     return fold(c).like(fold_text(like_pattern(prefix)))
+
+
+def literal_head(pattern: str) -> str:
+    """What every text that a LIKE pattern fits begins with: the pattern up to its first live wildcard."""
+    head, i = [], 0
+    while i < len(pattern) and pattern[i] not in "%_":
+        if pattern[i] == "\\" and i + 1 < len(pattern):
+            i += 1
+        head.append(pattern[i])
+        i += 1
+    return "".join(head)
+
+
+def after_all(head: str) -> str | None:
+    """The least text greater than all that begin with `head`, by code points; None if there is none."""
+    while head and ord(head[-1]) == 0x10FFFF:
+        head = head[:-1]
+    if not head:
+        return None
+    following = ord(head[-1]) + 1
+    return head[:-1] + chr(0xE000 if 0xD800 <= following < 0xE000 else following)
+
+
+def key_starts_with(key: Column, prefix: str) -> Column:
+    """`starts_with` for a stored, folded column: a range of the bare column, which reaches the scan, then the pattern.
+
+    Texts compare by their UTF-8 bytes, in the order of code points. A pattern that begins with a wildcard has no range.
+    """
+    pattern = fold_text(like_pattern(prefix))
+    head = literal_head(pattern)
+    fits, end = key.like(pattern), after_all(head)
+    if head:
+        fits = (key >= head) & fits
+    return (key < end) & fits if end else fits

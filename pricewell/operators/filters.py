@@ -7,15 +7,21 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewell import schemas
 from pricewell.functions import text
 from pricewell.functions.times import OVERLAP_SECONDS, utc_literal
 from pricewell.operators.joins import station_side
 
 
 def stations_by_prefix(stations: DataFrame, prefix: str, column: str = "postcode") -> DataFrame:
-    """Stations whose postcode starts with `prefix`; an empty prefix keeps them all."""
+    """Stations whose postcode starts with `prefix`; an empty prefix keeps them all.
+
+    Stored stations carry the folded postcode, by which their files are ordered: a range of it skips row groups.
+    """
     if not prefix:
         return stations.where(F.col(column).isNotNull())
+    if column == "postcode" and schemas.POSTCODE_KEY in stations.columns:
+        return stations.where(text.key_starts_with(F.col(schemas.POSTCODE_KEY), prefix))
     return stations.where(text.starts_with(F.col(column), prefix))
 
 

@@ -6,7 +6,7 @@ import logging
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell import schemas
@@ -16,11 +16,15 @@ from pricewell.operators import groups, joins
 from pricewell.operators.filters import changed_since, station_by_id
 from pricewell.operators.upsert import STAMP
 from pricewell.sources import pages as pg
-from pricewell.sources.keyed_table import STATION_BUCKETS, Change, KeyedTable, cursor_table, price_table, station_table
-from pricewell.session import drop_dir, work_dir
+from pricewell.sources.keyed_table import (
+    ORDER, STATION_BUCKETS, Change, KeyedTable, cursor_table, latest_table, parked_table, price_table, station_table,
+)
+from pricewell.session import drop_dir, names_in, work_dir
 
 log = logging.getLogger(__name__)
 CURSOR_ID = "STATIONS-AND-PRICES"
+# Folders beside the tables in which streams keep, by day, what they left out.
+LEDGERS = ("rejects", "absents")
 
 
 class FeedError(RuntimeError):
@@ -58,19 +62,23 @@ class Loaded:
 
 @dataclass
 class Store:
-    """The stored tables of one installation, by folder. `parked` holds prices whose station is not stored yet."""
+    """The stored tables of one installation, by folder.
+
+    `parked` holds prices whose station is not stored yet, `latest` what `plans.latest` keeps of the prices.
+    """
 
     path: str
     stations: KeyedTable
     prices: KeyedTable
     cursors: KeyedTable
     parked: KeyedTable
+    latest: KeyedTable
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> "Store":
         return cls(
             path.rstrip("/"), station_table(spark, f"{path}/stations"), price_table(spark, f"{path}/prices"),
-            cursor_table(spark, f"{path}/cursors"), price_table(spark, f"{path}/parked"),
+            cursor_table(spark, f"{path}/cursors"), parked_table(spark, f"{path}/parked"), latest_table(spark, f"{path}/latest"),
         )
 
     @property
@@ -89,7 +97,8 @@ class Store:
     def create(self, fuel_types: DataFrame | None = None, station_buckets: int = STATION_BUCKETS) -> "Store":
         types = schemas.fuel_types(self.spark) if fuel_types is None else fuel_types
         types.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fuel_types")
-        self.stations.create(station_buckets)
+        for table in (self.stations, self.latest):
+            table.create(station_buckets)
         for table in (self.prices, self.cursors, self.parked):
             table.create()
         return self
@@ -98,26 +107,40 @@ class Store:
 # -- transforms shared by the batch and the streaming form ------------------------
 
 
-def latest_stations(good: DataFrame) -> DataFrame:
+def load_number(now: datetime) -> int:
+    """The number of a load that its pages do not name: later loads have greater ones."""
+    return int((now - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+
+
+def written_by(rows: DataFrame, load: int) -> Column:
+    """Who writes a row: its load, page, item and price, in the order in which a reader of the pages would write."""
+    own = F.coalesce("load", F.lit(load)) if "load" in rows.columns else F.lit(load)
+    price_idx = F.col("price_idx") if "price_idx" in rows.columns else F.lit(0)
+    return F.struct(
+        own.cast("bigint").alias("load"), F.col("batch_number").alias("page"), F.col("idx").cast("int").alias("idx"), price_idx.cast("int").alias("price_idx")
+    ).cast(schemas.WRITTEN).alias(ORDER)
+
+
+def latest_stations(good: DataFrame, load: int = 0) -> DataFrame:
     """Station rows of a load, the last writer per id."""
     rows = pg.station_rows(good)
-    return groups.last_writer(rows, schemas.STATION_KEY, ["batch_number", "idx"]).drop("batch_number", "idx")
+    columns = [c for c in rows.columns if c not in ("batch_number", "idx", *pg.CARRIED)]
+    return groups.last_writer(rows.select(*columns, written_by(rows, load)), schemas.STATION_KEY, [ORDER])
 
 
-def clean_prices(rows: DataFrame, fuel_types: DataFrame) -> DataFrame:
+def clean_prices(rows: DataFrame, fuel_types: DataFrame, load: int = 0) -> DataFrame:
     """Repaired prices under their stored key, the last writer per key.
 
     The reduction to one row per key is partly done before its shuffle, and comes
     before the join with the stations, which then meets no repeated keys.
     """
     typed = joins.resolve_dimension(rows, fuel_types, "fuel_type").select(
-        "batch_number", "idx", "price_idx", "node_id", "fuel_type_id",
+        written_by(rows, load), "node_id", "fuel_type_id",
         to_second(F.col("price_last_updated")).alias("price_last_updated"),
         to_second(F.col("price_change_effective_timestamp")).alias("price_change_effective_timestamp"),
         repair_unit(F.col("price")).alias("price"),
     )
-    last = groups.last_writer(typed, schemas.PRICE_KEY, ["batch_number", "idx", "price_idx"])
-    return last.drop("batch_number", "idx", "price_idx")
+    return groups.last_writer(typed, schemas.PRICE_KEY, [ORDER])
 
 
 def item_counts() -> list[Column]:
@@ -131,15 +154,15 @@ def item_counts() -> list[Column]:
 
 
 def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[str, DataFrame, int, FeedError | None]:
-    """Write the decoded items once, and find the first page that fails as a whole.
+    """Write the decoded items once, counting them on the way, and find the first page that fails as a whole.
 
     Everything after reads the staged Parquet, so page text is parsed once and a lost
     executor costs a reread, not a reparse.
     """
-    path = work_dir(spark, name)
-    decoded.write.parquet(path)
+    path, seen = work_dir(spark, name), Observation()
+    decoded.observe(seen, *item_counts()).write.parquet(path)
     staged = spark.read.schema(decoded.schema).parquet(path)
-    facts = staged.agg(*item_counts()).first()
+    facts = seen.get
     if facts["bad_page"] is None:
         return path, staged, facts["rejected"], None
     number, why = facts["bad_page"]
@@ -148,41 +171,52 @@ def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[str, Dat
     return path, before, rejected, FeedError(f"page {number}: {why}")
 
 
-def apply_stations(store: Store, pages: DataFrame, now: datetime, replay: dict | None = None) -> Loaded:
+def _load_of(table: KeyedTable, now: datetime, replay: dict | None) -> int:
+    """A stream's pages belong to one load, however many micro-batches they come in: the one it began with."""
+    began = table.began(replay["stream"]) if replay else None
+    return load_number(now) if began is None else began
+
+
+def apply_stations(
+    store: Store, pages: DataFrame, now: datetime, replay: dict | None = None, on_malformed: str = "fail"
+) -> Loaded:
     """Upsert the stations of the pages before the first that fails as a whole.
 
     `replay` names the stream and batch of a micro-batch. A failing one is not marked as done, so it comes again.
     """
-    path, staged, rejected, failure = _stage(store.spark, pg.decode_stations(pages), "stations")
-    mark = {} if failure else replay or {}
-    change = store.stations.upsert(latest_stations(pg.good_items(staged)), now, **mark)
+    path, staged, rejected, failure = _stage(store.spark, pg.decode_stations(pages, on_malformed), "stations")
+    number = _load_of(store.stations, now, replay)
+    mark = {} if failure or not replay else {**replay, "began": number}
+    change = store.stations.upsert(latest_stations(pg.good_items(staged), number), now, **mark)
     return Loaded(change, rejected, rejects=pg.rejects(staged), failure=failure, staged=path)
 
 
 def apply_prices(
     store: Store, pages: DataFrame, now: datetime, since: datetime | None = None, on_unknown: str = "fail",
-    replay: dict | None = None, park: bool = False, stations: DataFrame | None = None,
+    replay: dict | None = None, park: bool = False, stations: DataFrame | None = None, on_malformed: str = "fail",
 ) -> Loaded:
     """Upsert the prices of the pages before the first that fails as a whole, those of unknown stations left out.
 
     With `park` the latter wait in `store.parked`. `stations` is the side of known ids, if the caller has sized it.
     """
-    decoded = pg.decode_prices(pages, store.known_types(), on_unknown=on_unknown)
+    decoded = pg.decode_prices(pages, store.known_types(), on_unknown, on_malformed)
     path, staged, rejected, failure = _stage(store.spark, decoded, "prices")
-    mark = {} if failure else replay or {}
+    number = _load_of(store.prices, now, replay)
+    mark = {} if failure or not replay else {**replay, "began": number}
     good = pg.good_items(staged)
     known = joins.station_side(store.stations.read(), "node_id") if stations is None else stations
-    absent = joins.absent_rows(good.select("batch_number", "idx", "node_id"), known, sized=True)
+    absent = joins.absent_rows(good.select("batch_number", *pg.carried(good), "idx", "node_id"), known, sized=True)
     n_absent = absent.count()
     rows = pg.price_rows(good)
     n_older = 0
     if since is not None:
         n_older = rows.where(F.col("price_last_updated") < utc_literal(since)).count()
         rows = changed_since(rows, since, overlap_seconds=0)
-    clean = clean_prices(rows, store.fuel_types)
+    clean = clean_prices(rows, store.fuel_types, number)
     if park and n_absent:
         # before the stored ones: if the batch comes again, nothing of it is in neither table
-        store.parked.upsert(joins.absent_rows(clean, known, sized=True), now, update=["price"])
+        waiting = joins.absent_rows(clean, known, sized=True).withColumn("arrived", F.lit(f"{now:%Y-%m-%d}"))
+        store.parked.upsert(waiting, now, update=["price"])
     change = store.prices.upsert(joins.present_rows(clean, known, sized=True), now, update=["price"], **mark)
     return Loaded(change, rejected, n_absent, n_older, pg.rejects(staged), absent, failure, path)
 
@@ -190,32 +224,51 @@ def apply_prices(
 def retry_parked(store: Store, now: datetime, stations: DataFrame | None = None) -> Change:
     """Move the parked prices of stations stored by now to the prices.
 
-    Comes before newer prices are stored, so that the last writer of a key stays the last.
+    Who wrote a price is parked with it, so that it does not win over a later one. With nothing parked,
+    which the manifest tells, nothing is read; how much can be parked is bounded by `expire_beside`.
     """
+    if store.parked.is_empty():
+        return Change()
     known = joins.station_side(store.stations.read(), "node_id") if stations is None else stations
-    ready = joins.present_rows(store.parked.read(), known, sized=True).drop(STAMP)
-    change = store.prices.upsert(ready, now, update=["price"])
+    ready = joins.present_rows(store.parked.read(), known, sized=True).drop(STAMP, "arrived")
+    # the same price may have been parked on several days
+    change = store.prices.upsert(groups.last_writer(ready, schemas.PRICE_KEY, [ORDER]), now, update=["price"])
     if change != Change():
         store.parked.delete_matching(known, "node_id", sized=True)
     return change
 
 
+def expire_beside(store: Store, now: datetime, keep: timedelta) -> int:
+    """Let go of what lies beside the tables since before `now` less `keep`, a day at a time: parked prices and the ledgers of streams.
+
+    Whole folders are unlinked by their names; no row is read. Returns how many.
+    """
+    first = f"{now - keep:%Y-%m-%d}"
+    gone = store.parked.unlink_below(first)
+    for kind in LEDGERS:
+        for name in names_in(store.spark, f"{store.path}/{kind}"):
+            if name.startswith("day=") and name.removeprefix("day=") < first:
+                drop_dir(store.spark, f"{store.path}/{kind}/{name}")
+                gone += 1
+    return gone
+
+
 # -- batch form --------------------------------------------------------------------
 
 
-def load_stations(store: Store, feed: pg.Feed, now: datetime) -> Loaded:
+def load_stations(store: Store, feed: pg.Feed, now: datetime, on_malformed: str = "fail") -> Loaded:
     """Upsert the stations of a feed. All pages up to the first gap count."""
-    return apply_stations(store, feed.usable(), now).report("station")
+    return apply_stations(store, feed.usable(), now, on_malformed=on_malformed).report("station")
 
 
 def load_prices(
-    store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail"
+    store: Store, feed: pg.Feed, now: datetime, since: datetime | None = None, on_unknown: str = "fail", on_malformed: str = "fail"
 ) -> Loaded:
     """Upsert the prices of a feed, those of unknown stations left out.
 
     `since` is for a feed that is a snapshot: prices changed before it are left out and counted in `older`.
     """
-    return apply_prices(store, feed.usable(), now, since, on_unknown).report("price")
+    return apply_prices(store, feed.usable(), now, since, on_unknown, on_malformed=on_malformed).report("price")
 
 
 def full_load(store: Store, stations: pg.Feed, prices: pg.Feed, now: datetime) -> tuple[Loaded, Loaded]:

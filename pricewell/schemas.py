@@ -31,22 +31,32 @@ def struct(**types: T.DataType) -> T.StructType:
 
 TEXT, NUMBER, MOMENT = T.StringType(), T.DoubleType(), T.TimestampType()
 LIST = T.ArrayType(TEXT)
+# Who wrote a row: the load, then its page, item and price within it. Later writers compare greater.
+WRITTEN = struct(load=T.LongType(), page=T.LongType(), idx=T.IntegerType(), price_idx=T.IntegerType())
 
 STATIONS = struct(
     node_id=TEXT, trading_name=TEXT, brand_name=TEXT,
     **{flag: T.BooleanType() for flag in STATION_FLAGS},
     fuel_types=LIST, address_line_1=TEXT, address_line_2=TEXT, city=TEXT, country=TEXT, county=TEXT,
-    postcode=TEXT, latitude=NUMBER, longitude=NUMBER, last_updated=MOMENT,
+    postcode=TEXT, latitude=NUMBER, longitude=NUMBER, postcode_key=TEXT, written=WRITTEN, last_updated=MOMENT,
 )
 PRICES = struct(
     node_id=TEXT, price=NUMBER, fuel_type_id=T.ShortType(), price_last_updated=MOMENT,
-    price_change_effective_timestamp=MOMENT, last_updated=MOMENT,
+    price_change_effective_timestamp=MOMENT, written=WRITTEN, last_updated=MOMENT,
 )
+# The newest price of a station and product, as the price table last said; `stamp` is when that price changed.
+LATEST = struct(
+    node_id=TEXT, fuel_type_id=T.ShortType(), moment=struct(price_last_updated=MOMENT, price_change_effective_timestamp=MOMENT),
+    price=NUMBER, stamp=MOMENT, last_updated=MOMENT,
+)
+# Prices of stations not stored yet, by the day they came.
+PARKED = T.StructType([*PRICES.fields, T.StructField("arrived", TEXT)])
 CURSORS = struct(id=TEXT, last_update=MOMENT, last_updated=MOMENT)
 FUEL_TYPE = struct(id=T.ShortType(), name=TEXT, display_text=TEXT)
 
 STATION_KEY = ("node_id",)
 PRICE_KEY = ("node_id", "fuel_type_id", "price_last_updated", "price_change_effective_timestamp")
+LATEST_KEY = ("node_id", "fuel_type_id")
 
 # Columns the reader may never find NULL; the others are optional.
 STATION_REQUIRED = ("node_id", "trading_name", "brand_name", "city", "postcode", "latitude", "longitude", "fuel_types")
@@ -62,6 +72,7 @@ FUEL_TYPES = (
     (6, "E5", "Petrol E5"),
 )
 RANKING_FUEL = "E10"
+POSTCODE_KEY = "postcode_key"
 
 
 def fuel_types(spark: SparkSession, rows=FUEL_TYPES) -> DataFrame:

@@ -49,7 +49,29 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder of staged data that nothing reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder. Asks the file system, without a job."""
+    folder, files = _folder(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def read_lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of one small file, a manifest, without a job."""
+    file, files = _folder(spark, path)
+    stream = files.open(file)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()

@@ -2,6 +2,8 @@
 
 Decoding keeps every item. Each carries the names of its bad fields (`errors`), so one
 pass over the text serves the good rows, the rejects and the page-level failures.
+
+Pages may carry `load`, the number of the load they belong to, and `landed`, when they came; both go along with the items.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pricewell.functions import text as tx
 from pricewell.functions import variants as v
 
 PAGE_NUMBER = r"(\d+)(?:\.json)?(?:/part-[^/]*)?$"
+LOAD_NUMBER = r"/load=(\d+)/"
+CARRIED = ("load", "landed")
 EMPTY_PAGE = r"^\s*\[\s*\]\s*$"
 
 # What is read of an item; other fields are ignored. Leaves stay VARIANT to show their type.
@@ -31,6 +35,7 @@ PRICE_SHAPE = (
     "price_change_effective_timestamp: variant>>>"
 )
 NOT_AN_ARRAY = "page is not a JSON array"
+MALFORMED_ID = "malformed station id"
 
 
 @dataclass(frozen=True)
@@ -68,8 +73,17 @@ def stream_pages(spark: SparkSession, path: str, pages_per_trigger: int = 1000)
 
 
 def with_page_number(files: DataFrame) -> DataFrame:
-    number = F.regexp_extract(F.col("_metadata.file_path"), PAGE_NUMBER, 1)
-    return files.select(number.try_cast("bigint").alias("batch_number"), "value")
+    """Numbers from the path: the page, and its load if it lies in a folder `load=<number>`. `landed` is when the file was last written."""
+    path = F.col("_metadata.file_path")
+    number, of_load = F.regexp_extract(path, PAGE_NUMBER, 1), F.regexp_extract(path, LOAD_NUMBER, 1)
+    return files.select(
+        number.try_cast("bigint").alias("batch_number"), "value", of_load.try_cast("bigint").alias("load"),
+        F.col("_metadata.file_modification_time").alias("landed"),
+    )
+
+
+def carried(rows: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in rows.columns]
 
 
 def list_pages(pages: DataFrame) -> DataFrame:
@@ -117,10 +131,10 @@ def page_items(pages: DataFrame, shape: str, typed=lambda leaf: leaf) -> DataFra
     nothing = F.array(F.lit(None).cast("struct<item: variant>")["item"])
     nothing = F.transform(nothing, lambda x: F.struct(x.alias("item"), typed(F.try_variant_get(x, "$", shape)).alias("leaf")))
     return (
-        pages.select("batch_number", F.posexplode(F.coalesce(items, nothing)).alias("_pos", "_i"))
-        .select("batch_number", "_pos", "_i.item", "_i.leaf", F.col("_i.item").isNull().alias("_malformed"))
+        pages.select("batch_number", *carried(pages), F.posexplode(F.coalesce(items, nothing)).alias("_pos", "_i"))
+        .select("batch_number", *carried(pages), "_pos", "_i.item", "_i.leaf", F.col("_i.item").isNull().alias("_malformed"))
         .select(
-            "batch_number", F.when(F.col("_malformed"), -1).otherwise(F.col("_pos")).alias("idx"), "item", "leaf",
+            "batch_number", *carried(pages), F.when(F.col("_malformed"), -1).otherwise(F.col("_pos")).alias("idx"), "item", "leaf",
             F.when(F.col("_malformed"), NOT_AN_ARRAY).alias("page_error"),
         )
     )
@@ -137,11 +151,26 @@ def _with_raw(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("raw", F.when(F.col("errors") != "", F.to_json("item"))).drop("item")
 
 
-def decode_stations(pages: DataFrame) -> DataFrame:
-    """Typed station columns beside `errors`; values of a bad item are not to be used."""
+def _id_check(node: Column, on_malformed: str, checks: dict[str, Column]) -> Column:
+    """The page error of an item whose id is text, but no station id; as a failed check of the item with "quarantine"."""
+    if on_malformed not in ("fail", "quarantine"):
+        raise ValueError(f"on_malformed must be 'fail' or 'quarantine', not {on_malformed!r}")
+    malformed = v.is_string(node) & ~F.coalesce(tx.is_station_id(v.value(node, "string")), F.lit(False))
+    if on_malformed == "quarantine":
+        checks["node_id"] = checks["node_id"] & ~malformed
+        return F.col("page_error")
+    return F.coalesce(F.col("page_error"), F.when(malformed, MALFORMED_ID))
+
+
+def decode_stations(pages: DataFrame, on_malformed: str = "fail") -> DataFrame:
+    """Typed station columns beside `errors`; values of a bad item are not to be used.
+
+    An id that is no station id fails its page, or only the item when `on_malformed` is "quarantine".
+    """
     leaf = F.col("leaf")
     place = leaf["location"]
     checks = {name: v.is_string(leaf[name]) for name in ("node_id", "trading_name", "brand_name")}
+    page_error = _id_check(leaf["node_id"], on_malformed, checks)
     checks |= {name: v.is_optional(leaf[name], "BOOLEAN") for name in schemas.STATION_FLAGS}
     for name in ("address_line_1", "address_line_2", "country", "county"):
         checks[f"location.{name}"] = v.is_optional(place[name], "STRING")
@@ -154,7 +183,7 @@ def decode_stations(pages: DataFrame) -> DataFrame:
     kinds = {"latitude": "double", "longitude": "double"}
     location = F.struct(*[v.value(place[n], kinds.get(n, "string")).alias(n) for n in schemas.LOCATION_FIELDS])
     return _with_raw(page_items(pages, STATION_SHAPE).select(
-        "batch_number", "idx", "item", "page_error",
+        "batch_number", *carried(pages), "idx", "item", page_error.alias("page_error"),
         _errors(checks).alias("errors"),
         tx.normalise_id(v.value(leaf["node_id"], "string")).alias("node_id"),
         *[v.value(leaf[n], "string").alias(n) for n in ("trading_name", "brand_name")],
@@ -164,11 +193,11 @@ def decode_stations(pages: DataFrame) -> DataFrame:
     ))
 
 
-def decode_prices(pages: DataFrame, known_types=None, on_unknown: str = "fail") -> DataFrame:
+def decode_prices(pages: DataFrame, known_types=None, on_unknown: str = "fail", on_malformed: str = "fail") -> DataFrame:
     """One row per station item, its prices nested in `fuel_prices`, beside `errors`.
 
     A bad price makes the whole item bad. An unknown product code is graver: it fails
-    the page (`page_error`), or only the item when `on_unknown` is "quarantine".
+    the page (`page_error`), or only the item when `on_unknown` is "quarantine". So does, by `on_malformed`, an id that is no station id.
     """
     if on_unknown not in ("fail", "quarantine"):
         raise ValueError(f"on_unknown must be 'fail' or 'quarantine', not {on_unknown!r}")
@@ -201,13 +230,13 @@ def decode_prices(pages: DataFrame, known_types=None, on_unknown: str = "fail")
     checks = {name: v.is_string(leaf[name]) for name in ("node_id", "trading_name")}
     checks["public_phone_number"] = v.is_optional(leaf["public_phone_number"], "STRING")
     checks["fuel_prices"] = F.coalesce(F.forall(prices, sound), F.lit(False))
-    page_error = F.col("page_error")
+    page_error = _id_check(leaf["node_id"], on_malformed, checks)
     if on_unknown == "quarantine":
         checks["fuel_type"] = ~unknown
     else:
         page_error = F.coalesce(page_error, F.when(unknown, "unknown fuel type"))
     return _with_raw(items.select(
-        "batch_number", "idx", "item", page_error.alias("page_error"),
+        "batch_number", *carried(pages), "idx", "item", page_error.alias("page_error"),
         _errors(checks).alias("errors"),
         tx.normalise_id(v.value(leaf["node_id"], "string")).alias("node_id"),
         *[v.value(leaf[n], "string").alias(n) for n in ("trading_name", "public_phone_number")],
@@ -230,16 +259,16 @@ def good_items(decoded: DataFrame) -> DataFrame:
 
 
 def rejects(decoded: DataFrame) -> DataFrame:
-    """`batch_number`, `idx`, `reason`, `raw` of the items that failed a check."""
+    """`batch_number`, `idx`, `reason`, `raw` of the items that failed a check, and what their pages carried."""
     return decoded.where("page_error is null and errors != ''").select(
-        "batch_number", "idx", F.col("errors").alias("reason"), "raw"
+        "batch_number", *carried(decoded), "idx", F.col("errors").alias("reason"), "raw"
     )
 
 
 def station_rows(good: DataFrame) -> DataFrame:
     """Good station items with the nested location laid flat."""
     return good.select(
-        "batch_number", "idx", "node_id", "trading_name", "brand_name", *schemas.STATION_FLAGS, "fuel_types", "location.*"
+        "batch_number", *carried(good), "idx", "node_id", "trading_name", "brand_name", *schemas.STATION_FLAGS, "fuel_types", "location.*"
     )
 
 
@@ -252,8 +281,8 @@ def nest_location(stations: DataFrame) -> DataFrame:
 def price_rows(good: DataFrame) -> DataFrame:
     """One row per price of the good items."""
     return good.select(
-        "batch_number", "idx", "node_id", F.posexplode("fuel_prices").alias("price_idx", "_p")
+        "batch_number", *carried(good), "idx", "node_id", F.posexplode("fuel_prices").alias("price_idx", "_p")
     ).select(
-        "batch_number", "idx", "price_idx", "node_id", "_p.fuel_type", "_p.price",
+        "batch_number", *carried(good), "idx", "price_idx", "node_id", "_p.fuel_type", "_p.price",
         "_p.price_last_updated", "_p.price_change_effective_timestamp",
     )

@@ -49,6 +49,27 @@ def state_stream(
     )
 
 
+def liveness_stream(
+    touches: DataFrame, user: str = "user_id", ts: str = "ts", live_for: timedelta = LIVE_FOR, every: timedelta = timedelta(minutes=1),
+    late_by: timedelta = KEEP_FOR,
+) -> DataFrame:
+    """`as_of`, user and `last_touch`: who is active at each full `every`, emitted once the watermark has passed it.
+
+    Same rule as `operators.activity.active_users`: a touch counts for less than `live_for`, its own instant included. A window
+    holds its start and not its end, so touches go in one microsecond early, and a touch of just `live_for` ago falls out.
+    Touches of a user in one window are combined before the shuffle; state is that of the windows still open.
+    """
+    early = F.timestamp_micros(F.unix_micros(F.col(ts).cast("timestamp")) - 1)
+    timed = touches.select(user, early.alias("_ts"))
+    sliding = F.window("_ts", f"{int(live_for.total_seconds())} seconds", f"{int(every.total_seconds())} seconds")
+    return (
+        timed.withWatermark("_ts", f"{int(late_by.total_seconds())} seconds")
+        .groupBy(sliding.alias("window"), user)
+        .agg(F.max("_ts").alias("_last"))
+        .select(F.col("window.end").alias("as_of"), user, F.timestamp_micros(F.unix_micros("_last") + 1).alias("last_touch"))
+    )
+
+
 def rows_too_late(query: StreamingQuery) -> int:
     """Rows that the recent micro-batches dropped because they came behind the watermark."""
     return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

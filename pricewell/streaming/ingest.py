@@ -5,25 +5,39 @@ micro-batch they have applied, so a restart neither loses nor repeats a change.
 stop rule has no place here: every page that lands is taken, once. A page that fails as a
 whole stops the stream, after the pages of smaller number in its batch were stored.
 
+All pages of a stream are of one load unless they name theirs: a page that comes after one of higher number does not win
+over it. A feed that is landed again and again puts each round into a folder `load=<number>`, or carries the number.
+
 Nothing is dropped unseen. Rejected items and items of absent stations are written by batch
 beside the tables, and a price that comes before its station is parked and retried.
+`load.expire_beside` lets go of both by age. A stretch that is read twice lands twice; `ledger_stream` counts it once.
 
-    <store>/rejects/feed=<feed>/stream=<mark>/batch=<id>     batch_number, idx, reason, raw
-    <store>/absents/feed=prices/stream=<mark>/batch=<id>     batch_number, idx, node_id
+    <store>/rejects/day=<day>/feed=<feed>/stream=<mark>/batch=<id>     batch_number, idx, reason, raw, landed
+    <store>/absents/day=<day>/feed=prices/stream=<mark>/batch=<id>     batch_number, idx, node_id, landed
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pricewell.functions.times import OVERLAP_SECONDS, utc_literal
 from pricewell.operators import joins
 from pricewell.plans import load
 
-OF_BATCH = "feed string, stream string, batch bigint"
+OF_BATCH = "landed timestamp, day string, feed string, stream string, batch bigint"
+LEDGER = {
+    "rejects": f"batch_number bigint, idx int, reason string, raw string, {OF_BATCH}",
+    "absents": f"batch_number bigint, idx int, node_id string, {OF_BATCH}",
+}
+# What tells an item of a ledger from another: its feed, page, place and text.
+LEDGER_KEY = {"rejects": ["feed", "batch_number", "idx", "reason", "raw"], "absents": ["feed", "batch_number", "idx", "node_id"]}
+# A stretch is read again by the next run, which starts this much before the last one, as long as that ran.
+LANDED_AGAIN_WITHIN = timedelta(seconds=2 * OVERLAP_SECONDS)
 
 
 def utc_now() -> datetime:
@@ -41,31 +55,49 @@ def _start(pages: DataFrame, apply, checkpoint: str, name: str, every: str | Non
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _keep(items: DataFrame, store: load.Store, kind: str, feed: str, replay: dict) -> None:
-    """Write what a batch left out; the same batch come again replaces it."""
-    items.write.mode("overwrite").parquet(f"{store.path}/{kind}/feed={feed}/stream={replay['stream']}/batch={replay['batch_id']}")
+def _keep(items: DataFrame, store: load.Store, kind: str, feed: str, replay: dict, now: datetime) -> None:
+    """Write what a batch left out; the same batch come again on a day replaces it. A page without a time of landing came now."""
+    landed = F.coalesce("landed", utc_literal(now)) if "landed" in items.columns else utc_literal(now)
+    columns = [c for c in ("batch_number", "idx", "reason", "raw", "node_id") if c in items.columns]
+    batch = f"{store.path}/{kind}/day={now:%Y-%m-%d}/feed={feed}/stream={replay['stream']}/batch={replay['batch_id']}"
+    items.select(*columns, landed.alias("landed")).write.mode("overwrite").parquet(batch)
 
 
 def rejects(store: load.Store) -> DataFrame:
     """Items that the streams rejected, with feed, stream and batch."""
-    return store.spark.read.schema(f"batch_number bigint, idx int, reason string, raw string, {OF_BATCH}").parquet(f"{store.path}/rejects")
+    return store.spark.read.schema(LEDGER["rejects"]).parquet(f"{store.path}/rejects")
 
 
 def absents(store: load.Store) -> DataFrame:
     """Price items whose station was not stored when their batch ran."""
-    return store.spark.read.schema(f"batch_number bigint, idx int, node_id string, {OF_BATCH}").parquet(f"{store.path}/absents")
+    return store.spark.read.schema(LEDGER["absents"]).parquet(f"{store.path}/absents")
+
+
+def ledger_stream(
+    store: load.Store, kind: str, path: str, checkpoint: str, every: str | None = None, within: timedelta = LANDED_AGAIN_WITHIN
+) -> StreamingQuery:
+    """A ledger ("rejects" or "absents") without the items of pages that landed again, written to `path`.
+
+    The first of the items that agree in feed, page, place and text and landed less than `within` apart stays. State lives as long as the
+    watermark on the time of landing allows.
+    """
+    items = store.spark.readStream.schema(LEDGER[kind]).parquet(f"{store.path}/{kind}")
+    once = items.withWatermark("landed", f"{int(within.total_seconds())} seconds").dropDuplicatesWithinWatermark(LEDGER_KEY[kind])
+    writer = once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def station_stream(
     store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
-    clock: Callable[[], datetime] = utc_now, name: str = "stations",
+    clock: Callable[[], datetime] = utc_now, name: str = "stations", on_malformed: str = "fail",
 ) -> StreamingQuery:
     """Upsert station pages; `every` is a processing-time interval, else what is there now."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        replay = {"stream": replay_mark(batch, name), "batch_id": batch_id}
-        done = load.apply_stations(store, batch, clock(), replay)
-        _keep(done.rejects, store, "rejects", "stations", replay)
+        replay, now = {"stream": replay_mark(batch, name), "batch_id": batch_id}, clock()
+        done = load.apply_stations(store, batch, now, replay, on_malformed)
+        if done.rejected:
+            _keep(done.rejects, store, "rejects", "stations", replay, now)
         done.release(store.spark)
         done.report("station")
 
@@ -74,7 +106,7 @@ def station_stream(
 
 def price_stream(
     store: load.Store, pages: DataFrame, checkpoint: str, every: str | None = None,
-    clock: Callable[[], datetime] = utc_now, name: str = "prices", on_unknown: str = "fail",
+    clock: Callable[[], datetime] = utc_now, name: str = "prices", on_unknown: str = "fail", on_malformed: str = "fail",
 ) -> StreamingQuery:
     """Upsert price pages; those of stations not stored when the batch runs are parked for a later batch."""
 
@@ -82,9 +114,11 @@ def price_stream(
         replay, now = {"stream": replay_mark(batch, name), "batch_id": batch_id}, clock()
         stations = joins.station_side(store.stations.read(), "node_id")
         load.retry_parked(store, now, stations)
-        done = load.apply_prices(store, batch, now, on_unknown=on_unknown, replay=replay, park=True, stations=stations)
-        _keep(done.rejects, store, "rejects", "prices", replay)
-        _keep(done.absent_items, store, "absents", "prices", replay)
+        done = load.apply_prices(store, batch, now, None, on_unknown, replay, True, stations, on_malformed)
+        if done.rejected:
+            _keep(done.rejects, store, "rejects", "prices", replay, now)
+        if done.absent:
+            _keep(done.absent_items, store, "absents", "prices", replay, now)
         done.release(store.spark)
         done.report("price")
 

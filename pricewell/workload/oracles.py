@@ -122,6 +122,17 @@ def parts(keys: str, bucket: str, order: str, rows: str) -> str:
   FROM (SELECT *, {bucket} AS bucket FROM ({rows}))"""
 
 
+NINE_TENTHS = "(SELECT greatest(1, (max({}) // 500 + 1) * 9 // 10) FROM {})"
+# Stored prices with what the report shows of them.
+STORED_PRICE = """
+  SELECT p.node_id, fuel_type_id, c.name AS code, c.display, price, make_timestamp(price_last_updated) AS updated,
+         make_timestamp(price_change_effective_timestamp) AS effective
+  FROM ({}) p JOIN (VALUES (2,'B7_STANDARD','B7 standard'),(3,'B10','B10'),(4,'HVO','HVO'),(5,'E10','Petrol E10'),(6,'E5','Petrol E5')) AS c(id, name, display)
+  ON c.id = fuel_type_id"""
+STORED_STATION = f"SELECT * REPLACE ({HEX.format('node_id')} AS node_id) FROM ({STATION}) s WHERE NOT {BAD_STATION}"
+CUT_ID = f"(node_id // 500 + 1 >= {NINE_TENTHS.format('c_custkey', 'customer')})"
+CUT_PRICE = f"(event_id // 500 + 1 >= {NINE_TENTHS.format('c_custkey', 'customer')})"
+
 ORACLES = {
     "prefix_scan": f"""
 SELECT node_id, {digest('node_id::VARCHAR')} AS node_hex, postcode, trading_name
@@ -288,7 +299,7 @@ SELECT 'STATIONS-AND-PRICES', NULL, NULL, epoch_us({ts(q.BATCH_TS)} - INTERVAL 6
     "stream_ingest": stored(GOOD_PRICES),
     "stream_restart": stored(GOOD_PRICES),
     "stream_late_station": stored(GOOD_PRICES),
-    "malformed_page": stored(f"SELECT * FROM ({GOOD_PRICES}) WHERE event_id // 500 + 1 < 3"),
+    "malformed_page": stored(f"SELECT * FROM ({GOOD_PRICES}) WHERE event_id // 500 + 1 < {NINE_TENTHS.format('event_id', 'events')}"),
     "stored_dimension": f"""
 SELECT * REPLACE (CASE fuel_type_id WHEN 4 THEN 9 ELSE fuel_type_id END AS fuel_type_id) FROM ({stored(GOOD_PRICES)})""",
     "stored_stations": f"""
@@ -297,7 +308,9 @@ SELECT {HEX.format('s.node_id')} AS node_id, trading_name, brand_name, address_l
        epoch_us({ts(q.SINCE)}) AS last_updated
 FROM ({STATION}) s WHERE NOT {BAD_STATION}""",
     "report_file": report(STATION, PRICE, "purchase"),
-    "page_files": "SELECT event_id // 500 + 1 AS batch_number, count(*) AS n_items FROM events WHERE event_id // 500 + 1 < 5 GROUP BY 1",
+    "page_files": f"""
+SELECT event_id // 500 + 1 AS batch_number, count(*) AS n_items FROM events
+WHERE event_id // 500 + 1 < {NINE_TENTHS.format('event_id', 'events')} GROUP BY 1""",
     "table_retention": f"""
 SELECT 'CARS' AS name, count(*) AS n_rows FROM customer WHERE c_mktsegment = 'AUTOMOBILE'
 UNION ALL
@@ -325,3 +338,55 @@ ORACLES["stream_rejects"] = f"""
 UNION ALL
 SELECT 'absent station', count(*) FROM events WHERE NOT {BAD_EVENT}
 AND user_id NOT IN (SELECT node_id FROM ({STATION}) WHERE NOT {BAD_STATION}) HAVING count(*) > 0"""
+ORACLES |= {
+    "increment_load": f"""
+SELECT *, epoch_us({ts(q.BATCH_TS)} - INTERVAL 60 SECOND) AS cursor FROM ({stored(GOOD_PRICES)})""",
+    "malformed_ids": f"""
+WITH s AS (SELECT {HEX.format('s.node_id')} AS id, node_id, latitude, brand_name, {CUT_ID} AS cut FROM ({STATION}) s),
+bad AS (
+  SELECT concat_ws(', ', CASE WHEN cut THEN 'node_id' END, CASE WHEN latitude < -5 THEN 'trading_name' END,
+                   CASE WHEN brand_name = 'MACHINERY' THEN 'location.longitude' END) AS reason FROM s
+  UNION ALL
+  SELECT concat_ws(', ', CASE WHEN (event_type = 'error' AND value < 20) OR {CUT_PRICE} THEN 'node_id' END,
+                   CASE WHEN event_type = 'signup' AND value > 200 THEN 'trading_name' END,
+                   CASE WHEN event_type = 'click' AND value < 5 THEN 'fuel_prices' END) FROM events)
+SELECT 'quarantine: rejected' AS kind, reason AS name, count(*) AS n_items FROM bad WHERE reason <> '' GROUP BY ALL
+UNION ALL
+SELECT kind, id, 1 FROM (VALUES ('fail: station'), ('quarantine: station')) k(kind), s WHERE NOT cut AND NOT {BAD_STATION}
+UNION ALL
+SELECT kind, node_id, count(*) FROM (VALUES ('fail: price'), ('quarantine: price')) k(kind),
+  ({stored(f"SELECT * FROM ({GOOD_PRICES}) WHERE NOT {CUT_PRICE} AND node_id IN (SELECT id FROM s WHERE NOT cut)")}) GROUP BY ALL
+UNION ALL
+SELECT 'fail: failed', unnest(['load_stations', 'load_prices']), 1""",
+    "stored_postcode_report": report(STORED_STATION, STORED_PRICE.format(stored(GOOD_PRICES)), "HVO", f"postcode ILIKE '{q.STORED_PREFIX}%'"),
+    "stored_station_history": f"""
+WITH p AS ({STORED_PRICE.format(stored(GOOD_PRICES))})
+SELECT node_id, display AS name, epoch_us(effective) // 1000 AS x, price AS y, {ADDRESS} AS full_address
+FROM p JOIN ({STORED_STATION}) USING (node_id) WHERE node_id = (SELECT min(node_id) FROM p)""",
+    "report_after_increments": report(STORED_STATION, STORED_PRICE.format(f"""
+SELECT node_id, fuel_type_id, price, epoch_us(updated) AS price_last_updated, epoch_us(effective) AS price_change_effective_timestamp
+FROM (SELECT *, (event_id // 500 + 1) % 3 AS turn, row_number() OVER (PARTITION BY node_id, fuel_type_id, updated, effective
+               ORDER BY (event_id // 500 + 1) % 3 DESC, event_id DESC) AS rn FROM ({GOOD_PRICES}))
+WHERE rn = 1 AND turn > 0"""), "HVO"),
+    "series_append": f"""
+WITH p AS (SELECT *, year(effective) AS year,
+             (row_number() OVER (PARTITION BY node_id, fuel_type_id, year(effective) ORDER BY effective, price) - 1) // {q.STORED_SIZE} AS part
+           FROM ({LINE_PRICE}))
+SELECT node_id, fuel_type_id, year::BIGINT AS year, part, count(*) AS n,
+       string_agg((epoch_us(effective) // 1000)::VARCHAR || ':' || price::VARCHAR, ',' ORDER BY effective, price) AS points
+FROM p GROUP BY node_id, fuel_type_id, year, part""",
+    "stream_out_of_order": stored(
+        GOOD_PRICES.replace("250.0::DOUBLE", "12.5::DOUBLE").replace(repair("value"), repair("('1' || value::VARCHAR)::DOUBLE"))
+    ),
+    "stream_overlap": f"""
+SELECT replace(reason, 'prices: ', '') AS reason, n_items FROM ({ORACLES['stream_rejects']})
+WHERE NOT starts_with(reason, 'stations: ')""",
+    "parked_expiry": stored(f"SELECT * FROM ({GOOD_PRICES}) WHERE (event_id // 500 + 1) % 2 = 1"),
+    "stream_active_users": """
+WITH w AS (
+  SELECT user_id, ts, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts - INTERVAL 1 MICROSECOND) + INTERVAL 1 MINUTE,
+                                             ts + INTERVAL 15 MINUTE - INTERVAL 1 MICROSECOND, INTERVAL 1 MINUTE)) AS as_of FROM events),
+u AS (SELECT as_of, user_id, max(ts) AS last FROM w
+      WHERE epoch_us(as_of) <= (SELECT (epoch_us(max(ts)) - 1) // 1000 * 1000 - 3600000000 FROM events) GROUP BY ALL)
+SELECT epoch_us(as_of) AS as_of, count(*) AS n_users, epoch_us(max(last)) AS newest FROM u GROUP BY as_of""",
+}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,12 @@ from pricewell.functions import times as tm
 from pricewell.functions.prices import repair_unit
 from pricewell.operators import activity, checks, filters, groups, joins, retention
 from pricewell.operators.upsert import ACTION, action_counts, upsert_rows
-from pricewell.plans import history, load, report
-from pricewell.session import work_dir
+from pricewell.plans import history, latest, load, report, series
+from pricewell.session import names_in, work_dir
 from pricewell.sources import pages as pg
 from pricewell.sources.keyed_table import prune_stations
 from pricewell.streaming import ingest
-from pricewell.streaming.activity import session_stream, state_stream
+from pricewell.streaming.activity import liveness_stream, session_stream, state_stream
 from pricewell.workload import tables as wt
 
 PREFIX = "auTo_1"
@@ -30,6 +31,9 @@ STATION_SINCE = datetime(2001, 5, 1)
 AS_OF = datetime(2024, 1, 30, 23, 59, 30)
 BATCH_TS = datetime(2024, 2, 1)
 SERIES_SIZE = 4
+STORED_SIZE = 8
+# Half literal, half wildcards.
+STORED_PREFIX = "Au%1_"
 PAGE_ROWS = "batch_number bigint, value string"
 
 
@@ -372,11 +376,16 @@ def page_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("batch_number", n_items.alias("n_items"), pg.is_used(pg.list_pages(pages)).alias("used"))
 
 
+def _nine_tenths(pages: DataFrame) -> int:
+    """A page number at nine tenths of the highest, from 1 on."""
+    return max(1, pages.agg(F.max("batch_number")).first()[0] * 9 // 10)
+
+
 def page_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of 500 events landed as files, each padded with blanks; every seventh from the fifth on has no item."""
+    """Pages of 500 events landed as files, each padded with blanks; the one at nine tenths has no item."""
     e = wt.table(spark, sf, "events")
     page = (F.floor(F.col("event_id") / 500) + 1).cast("bigint")
-    listed = F.when(page % 7 != 5, F.col("event_id").cast("string"))
+    listed = F.when(page != _nine_tenths(e.select(page.alias("batch_number"))), F.col("event_id").cast("string"))
     pages = e.groupBy(page.alias("batch_number")).agg(
         F.concat(F.lit("[" + " " * 5000), F.array_join(F.array_sort(F.collect_list(listed)), ","), F.lit("]")).alias("value")
     )
@@ -428,6 +437,91 @@ def partial_load(spark: SparkSession, sf: str) -> DataFrame:
     return stored.unionByName(cursor)
 
 
+def increment_load(spark: SparkSession, sf: str) -> DataFrame:
+    """An increment that holds prices from long before the cursor: all that the feed returned is stored, and the cursor moves."""
+    root = work_dir(spark, "increment-load")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    load.write_cursor(store, CURSOR, CURSOR)
+    load.partial_update(store, *_feeds(spark, root), BATCH_TS)
+    moved = F.unix_micros(store.cursors.read().select("last_update").scalar())
+    return _stored(store).withColumn("cursor", moved)
+
+
+def malformed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Both feeds with malformed ids from nine tenths of the station pages on: failing there, and with those items set aside."""
+    root = work_dir(spark, "malformed-ids")
+    _land(spark, sf, root)
+    stations, prices = _feeds(spark, root)
+    from_page = _nine_tenths(stations.pages)
+    cut = F.when(F.col("batch_number") >= from_page, F.replace("value", F.lit('"node_id":"0'), F.lit('"node_id":"x'))).otherwise(F.col("value"))
+    cut_stations, cut_prices = (pg.Feed.of(feed.pages.withColumn("value", cut)) for feed in (stations, prices))
+    found = []
+    for how in ("fail", "quarantine"):
+        store = load.Store.at(spark, f"{root}/{how}").create()
+        for part, feed in ((load.load_stations, cut_stations), (load.load_prices, cut_prices)):
+            try:
+                done = part(store, feed, BATCH_TS, on_malformed=how)
+                found.append(done.rejects.select(F.lit(f"{how}: rejected").alias("kind"), F.col("reason").alias("name")))
+            except load.FeedError:
+                found.append(spark.range(1).select(F.lit(f"{how}: failed").alias("kind"), F.lit(part.__name__).alias("name")))
+        found += [store.stations.read().select(F.lit(f"{how}: station").alias("kind"), F.col("node_id").alias("name"))]
+        found += [store.prices.read().select(F.lit(f"{how}: price").alias("kind"), F.col("node_id").alias("name"))]
+    return reduce(DataFrame.unionByName, found).groupBy("kind", "name").agg(F.count("*").alias("n_items"))
+
+
+def _loaded(spark: SparkSession, sf: str, name: str) -> load.Store:
+    root = work_dir(spark, name)
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    load.full_load(store, *_feeds(spark, root), BATCH_TS)
+    return store
+
+
+def stored_postcode_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report under a prefix with wildcards, on stored tables: a range of the folded postcode reaches the scan."""
+    store = _loaded(spark, sf, "stored-prefix")
+    return report.latest_price_report(store.stations.read(), store.prices.read(), store.fuel_types, STORED_PREFIX, "HVO")
+
+
+def stored_station_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Points and details of the first priced station by id, read by its key from stored tables."""
+    store = _loaded(spark, sf, "stored-history")
+    first = store.prices.read().agg(F.min("node_id")).first()[0]
+    points = history.history_points(store.prices.read(key=first), store.fuel_types)
+    detail = report.station_detail(store.stations.read(key=first))
+    return points.join(joins.station_side(detail, "node_id", "full_address"), "node_id").select("node_id", "name", "x", "y", "full_address")
+
+
+def report_after_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """The report from kept newest prices, after three increments of the price pages and a prune of what only the first stored."""
+    root = work_dir(spark, "kept-report")
+    _land(spark, sf, root)
+    store = load.Store.at(spark, f"{root}/store").create()
+    stations, prices = _feeds(spark, root)
+    load.load_stations(store, stations, SINCE)
+    for n in range(3):
+        now = SINCE + timedelta(days=n)
+        load.apply_prices(store, prices.pages.where(F.col("batch_number") % 3 == n), now).release(spark)
+        latest.refresh(store, now)
+    latest.prune_prices(store, SINCE + timedelta(days=1), BATCH_TS)
+    return latest.maintained_report(store, ranking="HVO")
+
+
+def series_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Series per supplier and flag stored in parts: the early lines, then the late ones, then one line number of all dates."""
+    prices = wt.line_prices(spark, sf).withColumn("line", F.hour("price_change_effective_timestamp"))
+    points = prices.select("node_id", "fuel_type_id", tm.epoch_millis(F.col("price_change_effective_timestamp")).alias("x"), F.col("price").alias("y"), "line")
+    table = series.series_table(spark, work_dir(spark, "series"), points.schema["node_id"].dataType).create()
+    late, early = F.col("line") == 3, F.col("x") < int(datetime(1997, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+    for n, part in enumerate((~late & early, ~late & ~early, late)):
+        series.append(table, points.where(part), BATCH_TS, "YEAR", STORED_SIZE, batch_id=n)
+    return table.read().select(
+        "node_id", F.col("fuel_type_id").cast("bigint").alias("fuel_type_id"), F.year("bucket").cast("bigint").alias("year"), F.col("nth").alias("part"), "n",
+        F.array_join(F.transform("data", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("points"),
+    )
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """The same feeds as page streams, in several micro-batches; the stored prices."""
     root = work_dir(spark, "stream-ingest")
@@ -489,14 +583,66 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Every price page is corrected by a later page, which lands first; a stream started again on the rest leaves the corrections."""
+    root = work_dir(spark, "stream-order")
+    _land(spark, sf, root)
+    pages = spark.read.schema(PAGE_ROWS).parquet(f"{root}/landed/prices")
+    last = pages.agg(F.max("batch_number")).first()[0]
+    dearer = F.regexp_replace("value", r'"price":(\d)', r'"price":1$1')
+    pages.select((F.col("batch_number") + last).alias("batch_number"), dearer.alias("value")).write.parquet(f"{root}/feed")
+    store = load.Store.at(spark, f"{root}/store").create()
+    ingest.station_stream(store, _landed(spark, f"{root}/landed/stations"), f"{root}/checkpoint/stations", clock=lambda: BATCH_TS).awaitTermination()
+    for moment in (SINCE, BATCH_TS):
+        ingest.price_stream(store, _landed(spark, f"{root}/feed", 8), f"{root}/checkpoint/prices", clock=lambda at=moment: at).awaitTermination()
+        if moment == SINCE:
+            pages.write.mode("append").parquet(f"{root}/feed")
+    return _stored(store)
+
+
+def stream_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """The price feed landed twice within the overlap: what its stream left out, counted once."""
+    root = work_dir(spark, "stream-overlap")
+    _land(spark, sf, root)
+    pages = spark.read.schema(PAGE_ROWS).parquet(f"{root}/landed/prices")
+    for again in (0, 60):
+        pages.withColumn("landed", tm.utc_literal(BATCH_TS + timedelta(seconds=again))).write.mode("append").parquet(f"{root}/feed")
+    store = load.Store.at(spark, f"{root}/store").create()
+    ingest.station_stream(store, _landed(spark, f"{root}/landed/stations"), f"{root}/checkpoint/stations", clock=lambda: BATCH_TS).awaitTermination()
+    feed = spark.readStream.schema(f"{PAGE_ROWS}, landed timestamp").option("maxFilesPerTrigger", 8).parquet(f"{root}/feed")
+    ingest.price_stream(store, feed, f"{root}/checkpoint/prices", clock=lambda: BATCH_TS).awaitTermination()
+    counts = []
+    for kind, why in (("rejects", F.col("reason")), ("absents", F.lit("absent station"))):
+        if names_in(spark, f"{store.path}/{kind}"):
+            ingest.ledger_stream(store, kind, f"{root}/once/{kind}", f"{root}/checkpoint/{kind}").awaitTermination()
+            once = spark.read.schema(ingest.LEDGER[kind]).parquet(f"{root}/once/{kind}")
+            counts.append(once.where("feed = 'prices'").groupBy(why.alias("reason")).agg(F.count("*").alias("n_items")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def parked_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices parked on two days before any station comes; the first day is let go, the second stored."""
+    root = work_dir(spark, "parked-expiry")
+    _land(spark, sf, root)
+    pages = spark.read.schema(PAGE_ROWS).parquet(f"{root}/landed/prices")
+    store = load.Store.at(spark, f"{root}/store").create()
+    for half, moment in ((0, SINCE), (1, BATCH_TS)):
+        pages.where(F.col("batch_number") % 2 == half).write.parquet(f"{root}/half/{half}")
+        ingest.price_stream(store, _landed(spark, f"{root}/half/{half}", 8), f"{root}/checkpoint/{half}", clock=lambda at=moment: at).awaitTermination()
+    load.expire_beside(store, BATCH_TS, keep=timedelta(days=7))
+    ingest.station_stream(store, _landed(spark, f"{root}/landed/stations"), f"{root}/checkpoint/stations", clock=lambda: BATCH_TS).awaitTermination()
+    load.retry_parked(store, BATCH_TS)
+    return _stored(store)
+
+
 def malformed_page(spark: SparkSession, sf: str) -> DataFrame:
-    """The price feed with every third page cut off: the load fails there, the pages before stay stored."""
+    """The price feed with the page at nine tenths cut off: the load fails there, the pages before stay stored."""
     root = work_dir(spark, "malformed-page")
     _land(spark, sf, root)
     store = load.Store.at(spark, f"{root}/store").create()
     stations, prices = _feeds(spark, root)
     load.load_stations(store, stations, BATCH_TS)
-    cut = F.when(F.col("batch_number") % 3 == 0, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    cut = F.when(F.col("batch_number") == _nine_tenths(prices.pages), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     try:
         load.load_prices(store, pg.Feed.of(prices.pages.withColumn("value", cut)), BATCH_TS)
     except load.FeedError:
@@ -621,6 +767,21 @@ def stream_state(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("user_id", "event_id", micros("last_touch"), "props")
 
 
+def stream_active_users(spark: SparkSession, sf: str) -> DataFrame:
+    """How many users were active at each full minute behind the watermark, and the newest touch among them."""
+    root = work_dir(spark, "stream-active")
+    events = wt.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")
+    query = (
+        liveness_stream(stream).writeStream.outputMode("append").format("parquet")
+        .option("path", f"{root}/active").option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema("as_of timestamp, user_id bigint, last_touch timestamp").parquet(f"{root}/active")
+    return rows.groupBy(micros("as_of")).agg(F.count("*").alias("n_users"), F.max(F.unix_micros("last_touch")).alias("newest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -633,5 +794,7 @@ QUERIES = {
         full_load, partial_load, stream_ingest, stream_restart, stream_late_station, stream_rejects,
         malformed_page, stored_dimension, stored_stations, report_file, table_retention,
         activity_sessions, active_users, unexpired_state, state_latest, stream_sessions, stream_state,
+        increment_load, malformed_ids, stored_postcode_report, stored_station_history, report_after_increments, series_append,
+        stream_out_of_order, stream_overlap, parked_expiry, stream_active_users,
     )
 }

@@ -134,8 +134,21 @@ def test_listing_from_texts_equals_listing_from_files(spark, tmp_path):
 
 
 def test_repeated_json_keys_take_the_last(spark, tmp_path):
-    land(tmp_path, 1, '[{"node_id": "a", "node_id": "b", "trading_name": "t", "fuel_prices": []}]')
-    assert pg.good_items(decode(spark, tmp_path, pg.decode_prices)).first()["node_id"] == "B"
+    land(tmp_path, 1, f'[{{"node_id": "a", "node_id": "{node(11)}", "trading_name": "t", "fuel_prices": []}}]')
+    assert pg.good_items(decode(spark, tmp_path, pg.decode_prices)).first()["node_id"] == node(11).upper()
+
+
+@pytest.mark.parametrize("decoder, item", [(pg.decode_stations, station), (pg.decode_prices, lambda n, **c: prices(n, price(), **c))])
+def test_malformed_id_fails_the_page_or_is_set_aside(spark, tmp_path, decoder, item):
+    land(tmp_path, 1, [item(1), item(2, node_id="not-hex"), item(3, node_id=node(3)[1:]), item(4, node_id=None), item(0xAB, node_id=node(0xAB).upper())])
+    failing = pg.good_items(pg.fail_on_page_error(decode(spark, tmp_path, decoder)))
+    with pytest.raises(PySparkException, match="page 1: malformed station id"):
+        failing.collect()
+    lenient = decode(spark, tmp_path, decoder, on_malformed="quarantine")
+    assert sorted((r["idx"], r["reason"]) for r in pg.rejects(lenient).collect()) == [(1, "node_id"), (2, "node_id"), (3, "node_id")]
+    assert sorted(r["node_id"] for r in pg.good_items(lenient).collect()) == [node(1), node(0xAB).upper()]
+    with pytest.raises(ValueError):
+        decode(spark, tmp_path, decoder, on_malformed="skip")
 
 
 def test_location_round_trip(spark, tmp_path):
