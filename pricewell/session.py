@@ -67,6 +67,20 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
 
 
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """One small file, a manifest, that appears whole: written under another name, then renamed. In place of one that is there."""
+    file, files = _folder(spark, path)
+    hidden = _folder(spark, f"{file.getParent().toString()}/_{uuid.uuid4().hex}")[0]
+    stream = files.create(hidden, True)
+    try:
+        stream.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+    finally:
+        stream.close()
+    files.delete(file, False)
+    if not files.rename(hidden, file):
+        raise OSError(f"could not write {path}")
+
+
 def read_lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of one small file, a manifest, without a job."""
     file, files = _folder(spark, path)

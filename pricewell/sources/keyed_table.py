@@ -30,7 +30,7 @@ from pricewell.functions.times import utc_literal
 from pricewell.operators.filters import kept_since
 from pricewell.operators.joins import absent_rows, present_rows, station_side
 from pricewell.operators.upsert import ACTION, STAMP, action_counts, upsert_rows
-from pricewell.session import drop_dir, names_in, read_lines, work_dir
+from pricewell.session import drop_dir, names_in, read_lines, work_dir, write_lines
 
 MANIFEST = schemas.struct(
     part=T.StringType(), c=T.LongType(), batch_id=T.LongType(), began=T.LongType(), stream=T.StringType(), buckets=T.IntegerType()
@@ -106,10 +106,8 @@ class KeyedTable:
         rows = [{"buckets": state.buckets}]
         rows += [{"part": p, "c": c} for p, c in state.parts.items()]
         rows += [{"stream": s, "batch_id": b, **({"began": state.began[s]} if s in state.began else {})} for s, b in state.batches.items()]
-        text = "\n".join(json.dumps(row) for row in rows)
         # one file, so that it appears whole or not at all
-        line = self.spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
-        line.write.mode("overwrite").text(f"{self.path}/commits/commit={state.commit}")
+        write_lines(self.spark, f"{self.path}/commits/commit={state.commit}/part-0.json", [json.dumps(row) for row in rows])
 
     # -- reads ----------------------------------------------------------------
 

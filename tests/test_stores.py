@@ -25,7 +25,7 @@ DAY = timedelta(days=1)
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return load.Store.at(spark, str(tmp_path / "store")).create()
+    return load.Store.at(spark, str(tmp_path / "store")).create(station_buckets=2)
 
 
 def page_rows(spark, *pages, **more):
