@@ -25,6 +25,10 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 2000
 KNOWN_AT_MOST = 600_000
+WORDS_AT_ONCE = 4096
+WORD_END = "</w>"
+SHARD_BYTES = 16 << 20
+MIN_SHARDS = 12
 
 WRITER = {
     "compression": "zstd",
@@ -80,6 +84,21 @@ def _folded(data: np.ndarray, seg: T.Words) -> np.ndarray:
     return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, T.LOWER[data])
 
 
+def _is_word(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a segment is ASCII and Latin-1 letters throughout, which the tokenizer takes as one word."""
+    other = ~IS_LETTER[T.LOWER[data]]
+    if len(data) > 1:
+        pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        other[pair] = other[pair + 1] = False
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(other, out=sums[1:])
+    return sums[ends] == sums[starts]
+
+
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[97:123] = True
+
+
 class Encoder:
     """Ids of whole texts; segments seen before are looked up instead of encoded again."""
 
@@ -87,6 +106,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # Marks the last id of a word, if the vocabulary tells word ends apart.
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for entry, i in vocabulary.items() if entry.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -99,12 +122,31 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes, checks, texts: list[str]) -> None:
-        found = self._encode(texts)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum()))
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has: many words as one text, cut behind the ids that end a word."""
+        flat, counts = [], []
+        for at in range(0, len(texts), WORDS_AT_ONCE):
+            part = texts[at:at + WORDS_AT_ONCE]
+            ids = np.array(self._encode([" ".join(part)])[0], np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) == len(part) and len(ids) and ends[-1] == len(ids) - 1:
+                count = np.diff(ends, prepend=-1)
+            else:  # no such marks in this vocabulary
+                ids, count = _flat(self._encode(part))
+            flat.append(ids)
+            counts.append(count)
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _learn(self, hashes, checks, texts: list[str], is_word: np.ndarray) -> None:
+        words, others = ([texts[i] for i in np.flatnonzero(which).tolist()] for which in (is_word, ~is_word))
+        parts = [self._words(words), _flat(self._encode(others))]
+        order = np.concatenate([np.flatnonzero(is_word), np.flatnonzero(~is_word)])
+        hashes, checks = hashes[order], checks[order]
+        flat, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, flat])
+        order = np.argsort(hashes)
+        hashes, checks, first, count = hashes[order], checks[order], first[order], count[order]
         at = np.searchsorted(self.known, hashes)
         self.known, self.check = np.insert(self.known, at, hashes), np.insert(self.check, at, checks)
         self.first, self.count = np.insert(self.first, at, first), np.insert(self.count, at, count)
@@ -129,8 +171,8 @@ class Encoder:
         new = np.flatnonzero(~there)
         if len(new):
             low = lower.tobytes()
-            spans = zip(seg.starts[where[new]].tolist(), seg.ends[where[new]].tolist())
-            self._learn(names[new], checks[new], [low[s:e].decode() for s, e in spans])
+            starts, ends = seg.starts[where[new]], seg.ends[where[new]]
+            self._learn(names[new], checks[new], [low[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())], _is_word(lower, starts, ends))
             at = np.searchsorted(self.known, names)
         if not np.array_equal(self.check[at], checks):  # two segments with one hash: forget and start again
             self.clear()
@@ -144,6 +186,11 @@ class Encoder:
         return self.ids[source], T.doc_sums(count, seg.bounds)
 
 
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for ids in found for i in ids), np.int32, int(count.sum())), count
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -176,15 +223,14 @@ def _encode_batches(batches, path: str, end_id: int):
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), append ``end_id`` and write the ids under ``folder`` in id order.
 
-    Columns: shard, doc_id, local_start (ids of the shard before this document), n_tokens, ids.
+    Columns: shard, doc_id, local_start (ids of the shard before this document), n_tokens, ids. The number of shards follows the bytes of the texts.
     Shards ascend with the document id, null first; repeated ids stay together, in text order.
     An empty table writes an empty folder with the same schema.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(parts, "doc_id")
+        rows.repartitionByRange(max(MIN_SHARDS, -(-size // SHARD_BYTES)), "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     encoded = ordered.mapInArrow(
