@@ -6,8 +6,8 @@ minimizer). Two documents that share an edge share its key, so pieces meet by on
 key instead of one row for each word. If all holders of a key have the same piece, the path does
 not branch and its smallest document settles it as a whole; a piece that branches is settled edge by
 edge. Records carry their source coordinates (document, first word), and a join on the
-document turns the repeated ones back into word ranges of the texts. An edge is identified by 96 bits: its key
-and 32 bits of a hash of its own.
+document turns the repeated ones back into word ranges of the texts. All windows around one phrase have the same key, so an
+edge is identified by 128 bits: its key and a 64-bit hash of all its words.
 
 Keys that many documents hold are found first, over all documents; their edges are dealt
 one by one. A task that sees an edge in several documents sends it once, and reports the larger
@@ -31,11 +31,12 @@ HOT_IN_PIECE = 8
 HOT_KEYS = 1 << 16
 EDGES_AT_ONCE = 600_000
 
-KINDS = ("<u8", "<i8", "<i4", "<i4", "<u4")
+# Key, document (low and high half, which compresses), first word, edges (negative: known to be repeated), marks of the edges.
+KINDS = ("<u8", "<u4", "<i4", "<i4", "<i2", "<u8")
 
 
 class Edges:
-    """Edges of a piece: row of the document, first word within it, key and 32-bit mark."""
+    """Edges of a piece: row of the document, first word within it, key and 64-bit mark."""
 
     def __init__(self, piece: T.Piece, words: int):
         found = T.words(piece)
@@ -51,7 +52,7 @@ class Edges:
         self.row = found.docs()[at]
         self.first = at - found.bounds[self.row]
         self.key = least[at] if len(at) else np.zeros(0, T.U)
-        self.mark = (T.gram_hashes(hashes, at, at + words, which=1) >> T.U(32)) if len(at) else np.zeros(0, T.U)
+        self.mark = T.gram_hashes(hashes, at, at + words, which=1) if len(at) else np.zeros(0, T.U)
 
 
 def _hot_batches(batches, words: int):
@@ -76,11 +77,18 @@ def hot_keys(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(top.view(T.U) if len(top) else np.zeros(0, T.U))
 
 
+def _packed(key, doc, first, n, marks) -> bytes:
+    halves = (doc & 0xFFFFFFFF).astype("<u4"), (doc >> 32).astype("<i4")
+    return P.join(key.astype("<u8"), *halves, first.astype("<i4"), n.astype("<i2"), marks)
+
+
 def _pack_edges(row, doc, first, key, mark, hot: np.ndarray, buckets: int):
     """Packed path pieces of the edges that no smaller document of this lot holds, and ranges of those that one does."""
-    edge = T.mix(key ^ (mark << T.U(31)))
+    edge = T.mix(key ^ ((mark << T.U(31)) | (mark >> T.U(33))))
     order = np.argsort(edge, kind="stable")
-    start, length = P.groups(edge[order])
+    # Edges with one name but other marks are not the same; they only part a run.
+    start = np.flatnonzero(np.concatenate([[True], (edge[order][1:] != edge[order][:-1]) | (mark[order][1:] != mark[order][:-1])]))
+    length = np.diff(np.append(start, len(order)))
     least = np.empty(len(edge), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(doc[order], start), length)
     send = doc == least
@@ -94,12 +102,11 @@ def _pack_edges(row, doc, first, key, mark, hot: np.ndarray, buckets: int):
     at, n = begins[sent], lengths[sent]
     parts = []
     for bucket, of in P.by_bucket(key[at], buckets):
-        marks = mark[P.expand(at[of], n[of])].astype("<u4")
-        parts.append((bucket, P.join(key[at[of]], doc[at[of]].astype("<i8"), first[at[of]].astype("<i4"), n[of].astype("<i4"), marks)))
+        parts.append((bucket, _packed(key[at[of]], doc[at[of]], first[at[of]], n[of], mark[P.expand(at[of], n[of])].astype("<u8"))))
     at, n = begins[~sent], lengths[~sent]
-    none = np.zeros(0, "<u4")
+    none = np.zeros(0, "<u8")
     for bucket, of in P.by_bucket(doc[at], buckets):
-        parts.append((bucket, P.join(np.zeros(len(of), "<u8"), doc[at[of]].astype("<i8"), first[at[of]].astype("<i4"), -n[of].astype("<i4"), none)))
+        parts.append((bucket, _packed(np.zeros(len(of)), doc[at[of]], first[at[of]], -n[of], none)))
     return P.rows(parts)
 
 
@@ -120,7 +127,8 @@ def _edge_batches(batches, words: int, hot: np.ndarray, buckets: int):
 
 def _settle(table: pa.Table, buckets: int) -> pa.Table:
     """Ranges of edges that a smaller document holds too, packed by bucket of the document."""
-    key, doc, first, count, mark = P.split(table.column("packed"), *KINDS)
+    key, low, high, first, count, mark = P.split(table.column("packed"), *KINDS)
+    doc, count = low.astype(np.int64) | (high.astype(np.int64) << 32), count.astype(np.int64)
     known = count < 0
     ranges = [(doc[known], first[known], -count[known])]
     key, doc, first, count = key[~known], doc[~known], first[~known], count[~known]
@@ -130,7 +138,7 @@ def _settle(table: pa.Table, buckets: int) -> pa.Table:
     many = order[P.expand(start[length > 1], length[length > 1])]
     if len(many):
         start, length = P.groups(key[many])
-        path = T.gram_hashes(mark.astype(T.U), at[many], at[many] + count[many])
+        path = T.gram_hashes(mark, at[many], at[many] + count[many])
         branches = np.minimum.reduceat(path, start) != np.maximum.reduceat(path, start)
         least = np.repeat(np.minimum.reduceat(doc[many], start), length)
         whole = many[~np.repeat(branches, length) & (doc[many] > least)]

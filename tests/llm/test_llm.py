@@ -339,3 +339,18 @@ def test_pipeline(spark):
     vocabulary = pieces.vocabulary(path)
     assert out and {r["doc_id"] for r in out} <= raw
     assert all(vocabulary.decode(r["piece_ids"]).decode() == (r["text"] or "") for r in out)
+
+
+def test_windows_around_one_phrase_are_told_apart(spark):
+    """Many different texts with one five-word phrase in the middle, which is the key of all of them, and one real copy."""
+    def key(phrase):
+        piece = next(T.pieces(pa.array([phrase])))
+        return T.gram_hashes(T.word_hashes(piece, T.words(piece)), np.array([0]), np.array([5]))[0]
+
+    middle = min((f"alpha beta gamma delta p{n}" for n in range(3000)), key=key)
+    made = F.concat_ws(" ", *[F.concat(F.lit(c), (F.col("id") * k % 100_003).cast("string")) for c, k in zip("abcd", (1, 7, 11, 13))], F.lit(middle),
+                       *[F.concat(F.lit(c), (F.col("id") * k % 100_019).cast("string")) for c, k in zip("efgh", (17, 19, 23, 29))])
+    many = importable(spark).range(200_000).select(F.col("id").alias("doc_id"), made.alias("text"))
+    copy = many.where("doc_id = 77").select(F.lit(1 << 40).alias("doc_id"), "text")
+    found = substring_dedup.dedup_substrings(many.unionByName(copy)).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
+    assert [tuple(r) for r in found.collect()] == [(1 << 40, 13, 13, "")]
