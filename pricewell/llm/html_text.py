@@ -2,8 +2,9 @@
 
 A page is cut into blocks of text at block-level tags. The first pass decides what it can: parts of
 the page that markup names as menu, advert, notice, form or comment are out, as are blocks of
-links; blocks long enough and dense in stop words are in, with lower limits inside an article element. The
-second pass gives each undecided block the label of its nearest decided neighbours; one inside an
+links; blocks long enough and dense in stop words are in, with lower limits inside an article element. On a page
+in which hardly any word is a stop word, its language is another one, and length alone decides. A form that holds most of a
+page's text is no form of the page but its frame. The second pass gives each undecided block the label of its nearest decided neighbours; one inside an
 article element is out only between blocks of links.
 """
 
@@ -22,6 +23,9 @@ BAD_LINKS = 0.5
 ARTICLE_GOOD_WORDS = 10
 ARTICLE_GOOD_STOP_WORDS = 0.05
 ARTICLE_BAD_LINKS = 0.8
+# Share of stop words in a page's text below which its language is none of those listed.
+OTHER_LANGUAGE = 0.03
+FRAME_SHARE = 0.5
 
 # Frequent function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = frozenset("""
@@ -37,7 +41,7 @@ h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre se
 """.split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OUT_TAGS = frozenset("aside button dialog footer form head iframe menu nav noscript object select svg template textarea title canvas audio video".split())
+OUT_TAGS = frozenset("aside button dialog footer head iframe menu nav noscript object select svg template textarea title canvas audio video".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 # Words in a class or id that mark a part as no article text (fixed values).
 OUT_NAMES = frozenset("""
@@ -50,6 +54,11 @@ subscribe tags toolbar widget widgets
 STATE_WORDS = frozenset("has have with without no not non is free".split())
 # A name that ends in such a word is of a part that holds text (fixed values).
 TEXT_WORDS = frozenset("article content main page story".split())
+# A tag whose start ends the open one of its kind, and the elements in which it looks for that.
+SIBLINGS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+}
 CLOSES_P = BLOCK_TAGS - {"br", "body", "html", "head", "title", "option"}
 
 MARKUP = re.compile(
@@ -57,9 +66,11 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+TELLING = re.compile(r"class|id|role|style", re.I)  # also in "hidden" and "aria-hidden"
 NAME_PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+")
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _names_out(value: str) -> bool:
@@ -76,7 +87,7 @@ def _names_out(value: str) -> bool:
 def _is_out(tag: str, attributes: str) -> bool:
     if tag in OUT_TAGS:
         return True
-    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes and TELLING.search(attributes) else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id") and tag not in ("body", "html", "main", "article") and _names_out(value):
             return True
@@ -88,46 +99,77 @@ def _is_out(tag: str, attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "linked", "out", "article", "tag")
+    __slots__ = ("text", "linked", "out", "article", "tag", "form", "stops", "words")
 
-    def __init__(self, text: str, linked: int, out: bool, article: bool, tag: str):
-        self.text, self.linked, self.out, self.article, self.tag = text, linked, out, article, tag
+    def __init__(self, text: str, linked: int, out: bool, article: bool, tag: str, form: bool = False):
+        self.text, self.linked, self.out, self.article, self.tag, self.form = text, linked, out, article, tag, form
+        words = WORD.findall(text.lower())
+        self.stops = sum(w in STOP_WORDS for w in words)
+        # scripts without spaces: two characters count as a word
+        self.words = max(len(words), len(UNSPACED.findall(text)) // 2)
+
+
+class _Open:
+    """Elements not yet ended, with what is asked of them kept as counts and positions, so that no question walks the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+        self.out = self.out_inline = 0
+
+    def __getitem__(self, tag: str) -> int:
+        """How many of a tag are open."""
+        return len(self.at.get(tag, ()))
+
+    def last(self, tags) -> int:
+        """Where the innermost of some tags stands, else -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, out: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, out))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(tag)
+            self.out += out
+        else:
+            self.out_inline += out
+
+    def end(self, place: int) -> None:
+        """End the element at a place and all inside it."""
+        while len(self.stack) > place >= 0:
+            tag, out = self.stack.pop()
+            self.at[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+                self.out -= out
+            else:
+                self.out_inline -= out
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order. Tags may be left open: a block tag ends an open paragraph, an end tag all that it holds."""
+    """Blocks of text in page order. Tags may be left open: a block tag ends an open paragraph, an item the item before it, an end tag
+    all that it holds. Inline parts that markup names as no text are left out of their block."""
     found: list[Block] = []
-    open_: list[tuple[str, bool]] = []
+    open_ = _Open()
     parts: list[str] = []
     linked: list[str] = []
-    out_depth = article_depth = link_depth = 0
-    in_header = 0
     at = 0
 
-    def flush(tag: str) -> None:
+    def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             links = len(" ".join(html.unescape("".join(linked)).split()))
-            header_out = in_header and not article_depth
-            found.append(Block(text, links, bool(out_depth or header_out), article_depth > 0, tag))
+            article = bool(open_["article"] or open_["main"])
+            out = bool(open_.out or open_["header"] and not article)
+            found.append(Block(text, links, out, article, open_.blocks[-1] if open_.blocks else "", bool(open_["form"])))
         parts.clear()
         linked.clear()
 
-    def pop() -> None:
-        nonlocal out_depth, article_depth, link_depth, in_header
-        tag, out = open_.pop()
-        out_depth -= out
-        article_depth -= tag in ("article", "main")
-        link_depth -= tag == "a"
-        in_header -= tag == "header"
-
-    def inner() -> str:
-        return next((t for t, _ in reversed(open_) if t in BLOCK_TAGS), "")
-
     def add(text: str) -> None:
-        if text:
+        if text and not open_.out_inline:
             parts.append(text)
-            if link_depth:
+            if open_["a"]:
                 linked.append(text)
 
     for m in MARKUP.finditer(page):
@@ -137,43 +179,47 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if tag in BLOCK_TAGS:
-            flush(inner())
+            flush()
         if m.group(2):
-            if any(t == tag for t, _ in open_):
-                while open_ and open_[-1][0] != tag:
-                    pop()
-                pop()
+            open_.end(open_.last((tag,)))
         elif tag not in VOID_TAGS and not m.group(4).endswith("/"):
-            if tag in CLOSES_P and any(t == "p" for t, _ in open_):
-                while open_[-1][0] != "p":
-                    pop()
-                pop()
-            if tag == "a" and link_depth:
-                while open_[-1][0] != "a":
-                    pop()
-                pop()
-            out = _is_out(tag, m.group(4))
-            open_.append((tag, out))
-            out_depth += out
-            article_depth += tag in ("article", "main")
-            link_depth += tag == "a"
-            in_header += tag == "header"
+            if tag in SIBLINGS:
+                own, inside = SIBLINGS[tag]
+                place = open_.last(own)
+                if place > open_.last(inside):
+                    open_.end(place)
+            if tag in CLOSES_P:
+                open_.end(open_.last(("p",)))
+            if tag == "a":
+                open_.end(open_.last(("a",)))
+            open_.push(tag, _is_out(tag, m.group(4)))
     add(page[at:])
-    flush(inner())
+    flush()
+    # What a form holds is out, unless it is most of the page.
+    told = sum(len(b.text) for b in found if not b.out)
+    if sum(len(b.text) for b in found if b.form and not b.out) <= FRAME_SHARE * told:
+        for b in found:
+            b.out = b.out or b.form
     return found
 
 
-def first_pass(block: Block) -> bool | None:
-    """True for article text, False for none, None when words and links do not tell. Inside an article element the limits are lower."""
+def fits(found: list[Block]) -> bool:
+    """Whether the stop words are of the page's language, by their share in text that is neither out nor mostly links."""
+    read = [b for b in found if not b.out and b.linked <= BAD_LINKS * len(b.text)]
+    return sum(b.stops for b in read) >= OTHER_LANGUAGE * sum(b.words for b in read)
+
+
+def first_pass(block: Block, listed: bool = True) -> bool | None:
+    """True for article text, False for none, None when words and links do not tell. Inside an article element the limits are lower;
+    without a list of stop words for the language (``listed``) only length counts."""
     links = block.linked / len(block.text)
     if block.out or not block.article and links > BAD_LINKS:
         return False
     # A paragraph or heading of an article may be one link; items of a list are settled by the items beside them.
     if block.article and links > ARTICLE_BAD_LINKS and block.tag != "p" and block.tag not in HEADINGS:
         return False
-    words = WORD.findall(block.text.lower())
     least, dense = (ARTICLE_GOOD_WORDS, ARTICLE_GOOD_STOP_WORDS) if block.article else (GOOD_WORDS, GOOD_STOP_WORDS)
-    if len(words) >= least and sum(w in STOP_WORDS for w in words) >= dense * len(words) and links <= BAD_LINKS:
+    if block.words >= least and (not listed or block.stops >= dense * block.words) and links <= BAD_LINKS:
         return True
     return None
 
@@ -242,7 +288,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    kept = second_pass([first_pass(b) for b in found], found)
+    listed = fits(found)
+    kept = second_pass([first_pass(b, listed) for b in found], found)
     return " ".join(b.text for b, keep in zip(found, kept) if keep)
 
 
