@@ -119,12 +119,12 @@ class _Block:
         )
 
 
-def _blocks(batches, sieve) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, sieve, block_docs: int) -> Iterator[pa.RecordBatch]:
     bits = np.unpackbits(sieve.value.view(np.uint8), bitorder="little").astype(bool)
     number, block = TaskContext.get().partitionId() << 32, _Block()
     for batch in batches:
         for piece in T.pieces(batch.column("text")):
-            if block.n and (block.n + len(piece) > BLOCK_DOCS or block.postings >= BLOCK_POSTINGS):
+            if block.n and (block.n + len(piece) > block_docs or block.postings >= BLOCK_POSTINGS):
                 yield block.rows(number)
                 number, block = number + 1, _Block()
             block.add(piece, batch.column("doc_id").slice(piece.first, len(piece)), bits)
@@ -218,7 +218,7 @@ class _State:
         self.counts = counts
 
     def best(self, postings: _Postings, k: int) -> pa.Table:
-        """Rows of the k best of each item; more where scores tie with the last, which the merge settles by id."""
+        """Rows of the k best of each item, ties to the smaller id."""
         ids, null = postings.more[-2:]
         item = np.repeat(np.arange(len(self.items)), self.counts)
         at = self.docs.astype(np.int64)
@@ -260,14 +260,16 @@ def _stage(owner: int, k: int, n_docs: int, n_terms: int):
     return run
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, folder: str | None = None) -> DataFrame:
+def search(
+    docs: DataFrame, items: DataFrame, k: int = 20, folder: str | None = None, block_docs: int = BLOCK_DOCS, bundle_terms: int = BUNDLE_TERMS
+) -> DataFrame:
     """The ``k`` documents of highest score for every item: item_id, rank (from 1), doc_id, score; ties to the smaller doc_id, null last.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are not read. Terms are runs of ASCII letters and digits and of all
     other than ASCII characters, A-Z lowered. Documents without a term (null or empty texts) count nowhere. Rows
     of one doc_id are documents of their own and each may take a rank; a null doc_id is one like any other. Repeated rows of an item
     count once, different texts of one item_id add up their terms. Only scores above 0 are returned; an item without terms, or with none that a document holds,
-    has no rows, nor have empty tables. 64-bit numbers hold as long as 25 * terms of a document * documents stays below 2**63.
+    has no rows, nor have empty tables. ``block_docs`` (at most 65,536) and ``bundle_terms`` bound a task's work. 64-bit numbers hold as long as 25 * terms of a document * documents stays below 2**63.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "lexical")
@@ -275,7 +277,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, folder: str | None =
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().select("item_id", terms).groupBy("item_id", "term").agg(F.count("*").alias("times"))
     sieve = spark.sparkContext.broadcast(_sieve(asked))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts.mapInArrow(lambda batches: _blocks(batches, sieve), BLOCKS).write.parquet(folder)
+    texts.mapInArrow(lambda batches: _blocks(batches, sieve, block_docs), BLOCKS).write.parquet(folder)
 
     blocks = spark.read.schema(BLOCKS).parquet(folder)
     heads = blocks.where("owner = 0")
@@ -284,7 +286,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, folder: str | None =
     held = heads.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1)))
     weighed = asked.join(held, "term").withColumn("weight", (F.col("times") * weight).cast("long")).where("weight > 0")
-    bundles = max(1, -(-asked.count() // BUNDLE_TERMS))
+    bundles = max(1, -(-asked.count() // bundle_terms))
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

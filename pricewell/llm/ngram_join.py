@@ -10,7 +10,7 @@ A list that many documents share is not scanned pair by pair. Its plainest set b
 hub: every member is compared to the hub and then listed under the n-grams in which it differs from
 the hub. Two members close to the hub link through it; any other linked pair shares such a
 difference, so nothing is lost, and those lists are short. Lists that are still long get
-hubs again.
+hubs again, until none is: a list loses its hub each time, so this ends, and no list is ever compared pair by pair.
 
 Pairs pass a bound from parity sketches (never too strict), and an exact comparison follows.
 """
@@ -35,7 +35,6 @@ HOT_GRAMS = 1 << 17
 GRAMS_AT_ONCE = 2_000_000
 SCAN_AT_MOST = 64
 SCAN_AT_MOST_DIFFERENT = 1024
-HUB_ROUNDS = 6
 PAIRS_AT_ONCE = 2_000_000
 VERIFY_COST = 4.0
 
@@ -203,12 +202,12 @@ def light_links(vertices: DataFrame, limit: Threshold, largest: int) -> DataFram
 class Order:
     """Order of n-grams: those not known as common first, then the common ones by how common; ties by hash."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, scan: int = SCAN_AT_MOST):
         order = np.argsort(grams)
         rank = np.empty(len(grams), np.int64)
         rank[np.lexsort((grams, counts))] = np.arange(1, len(grams) + 1)
         self.grams, self.rank = grams[order], rank[order]
-        self.wide = counts[order] > SCAN_AT_MOST
+        self.wide = counts[order] > scan
 
     def ranks(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.grams):
@@ -293,7 +292,7 @@ def _once(key: np.ndarray, v: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])])] if len(order) else order
 
 
-def _scan_lists(table: pa.Table, limit: Threshold) -> pa.Table:
+def _scan_lists(table: pa.Table, limit: Threshold, at_most: int) -> pa.Table:
     gram, v, n, place, rare = P.split(table.column("packed"), *LIST_KINDS)
     wide = n < 0
     long_ = [(gram[wide], v[wide], -n[wide], rare[wide])]
@@ -301,7 +300,7 @@ def _scan_lists(table: pa.Table, limit: Threshold) -> pa.Table:
     once = _once(gram, v)
     gram, v, n, place, rare = (x[once] for x in (gram, v, n, place, rare))
     start, length = P.groups(gram)
-    much = length > SCAN_AT_MOST
+    much = length > at_most
     index = P.expand(start[much], length[much])
     long_.append((gram[index], v[index], n[index], rare[index]))
     n = n.astype(np.int64)
@@ -345,13 +344,13 @@ def _difference_batches(batches, limit: Threshold, order: Order, buckets: int):
         yield P.rows(parts)
 
 
-def _scan_differences(table: pa.Table, limit: Threshold) -> pa.Table:
+def _scan_differences(table: pa.Table, limit: Threshold, at_most: int) -> pa.Table:
     key, v, n, place, size, linked = P.split(table.column("packed"), *DIFFERENCE_KINDS)
     once = _once(key, v)
     key, v, n, place, size, linked = (x[once] for x in (key, v, n, place, size, linked))
     start, length = P.groups(key)
     apart = np.add.reduceat(~linked, start) > 0 if len(start) else np.zeros(0, bool)
-    much = (length > SCAN_AT_MOST_DIFFERENT) & apart
+    much = (length > at_most) & apart
     index = P.expand(start[much], length[much])
     long_ = (key[index], v[index], n[index], size[index])
     n, size = n.astype(np.int64), size.astype(np.int64)
@@ -394,9 +393,9 @@ def _gram_batches(batches, words: int):
 class Join:
     """The steps of one join, each written to the shared folder before the next reads it."""
 
-    def __init__(self, docs: DataFrame, words: int, limit: Threshold, folder: str):
+    def __init__(self, docs: DataFrame, words: int, limit: Threshold, folder: str, scan: int, scan_different: int):
         self.spark: SparkSession = docs.sparkSession
-        self.words, self.limit, self.folder = words, limit, folder
+        self.words, self.limit, self.folder, self.scan, self.scan_different = words, limit, folder, scan, scan_different
         self.docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.buckets = P.bucket_count(self.docs)
         self.links = 0
@@ -417,7 +416,7 @@ class Join:
 
     def order(self) -> Order:
         top = self.common.groupBy("vertex").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "vertex").limit(HOT_GRAMS).toArrow()
-        return Order(top.column("vertex").to_numpy().view(T.U) if len(top) else np.zeros(0, T.U), top.column("n").to_numpy())
+        return Order(top.column("vertex").to_numpy().view(T.U) if len(top) else np.zeros(0, T.U), top.column("n").to_numpy(), self.scan)
 
     def verify(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
         limit = self.limit
@@ -426,9 +425,9 @@ class Join:
         return sides.select("u", "v", "g_u", "g_v").mapInArrow(lambda b: _verify_batches(b, limit), "u long, v long")
 
     def heavy(self, vertices: DataFrame, order: Order, least: int) -> None:
-        words, limit, buckets = self.words, self.limit, self.buckets
+        words, limit, buckets, scan = self.words, self.limit, self.buckets, self.scan
         listed = self.docs.select("text").mapInArrow(lambda b: _list_batches(b, words, least, limit, order, buckets), P.SCHEMA)
-        found = self.stage(listed.groupBy("bucket").applyInArrow(lambda t: _scan_lists(t, limit), FOUND), "found")
+        found = self.stage(listed.groupBy("bucket").applyInArrow(lambda t: _scan_lists(t, limit, scan), FOUND), "found")
         wide = found.where("wide").select("key", "v", "n", "rare").distinct()
         ends = vertices.select("vertex", "n", "sketch")
         pairs = found.where("not wide").select("u", "v").distinct()
@@ -442,26 +441,20 @@ class Join:
         self.hubs(self.stage(wide, "wide-0"), grams, order)
 
     def hubs(self, wide: DataFrame, grams: DataFrame, order: Order) -> None:
-        limit, buckets = self.limit, self.buckets
-        for n in range(HUB_ROUNDS):
-            if wide.isEmpty():
-                return
+        limit, buckets, scan = self.limit, self.buckets, self.scan_different
+        self.rounds = 0
+        while not wide.isEmpty():
+            n, self.rounds = self.rounds, self.rounds + 1
             hubs = wide.groupBy("key").agg(F.min(F.struct("rare", "v"))["v"].alias("hub"), F.count("*").alias("k")).where("k > 1")
             members = wide.join(hubs, "key").where("v != hub").select("hub", "v").distinct()
             sides = members.join(grams.select(F.col("vertex").alias("v"), "grams"), "v")
             sides = sides.join(grams.select(F.col("vertex").alias("hub"), F.col("grams").alias("hub_grams")), "hub").select("hub", "hub_grams", "v", "grams")
             packed = self.stage(sides.mapInArrow(lambda b: _difference_batches(b, limit, order, buckets), P.SCHEMA), f"differences-{n}")
             self.add_links(packed.where("bucket = -1").mapInArrow(_link_batches, "u long, v long"))
-            found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _scan_differences(t, limit), FOUND)
+            found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _scan_differences(t, limit, scan), FOUND)
             found = self.stage(found, f"found-{n}")
             self.add_links(self.verify(found.where("not wide").select("u", "v").distinct(), grams))
             wide = self.stage(found.where("wide").select("key", "v", "n", "rare").distinct(), f"wide-{n + 1}")
-        # Lists still long after so many hubs hold sets that differ from each hub in the same common
-        # ways; what is left of them is compared pair by pair, joined by key.
-        left, right = wide.select("key", F.col("v").alias("u"), F.col("n").alias("n_u")), wide.select("key", "v", F.col("n").alias("n_v"))
-        sum_, gap = F.col("n_u") + F.col("n_v"), F.abs(F.col("n_u") - F.col("n_v"))
-        close = gap * (limit.part + limit.whole) <= sum_ * (limit.whole - limit.part)
-        self.add_links(self.verify(left.join(right, "key").where((F.col("u") < F.col("v")) & close).select("u", "v").distinct(), grams))
 
 
 def _link_batches(batches):
@@ -470,7 +463,10 @@ def _link_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def group_ngrams(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, folder: str | None = None) -> DataFrame:
+def group_ngrams(
+    docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, folder: str | None = None, scan: int = SCAN_AT_MOST,
+    scan_different: int = SCAN_AT_MOST_DIFFERENT,
+) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links, itself included.
 
     A document's set holds its distinct ``words``-word shingles, A-Z lowered; a shorter document has its whole
@@ -478,10 +474,11 @@ def group_ngrams(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 1
     link when ``whole`` * common >= ``part`` * union. Equal sets are one vertex and are not
     expanded into pairs; no link between different sets is lost. Repeated rows give repeated rows. Rows
     with a null doc_id take no part and are left out. Other columns are not read; an empty table gives
-    no rows. Shingles are told apart by 56 bits of hash, sets by 64.
+    no rows. Shingles are told apart by 56 bits of hash, sets by 64. Lists longer than ``scan``, and lists of differences longer
+    than ``scan_different``, get a hub; both decide only how links are found.
     """
     limit = Threshold(part, whole)
-    join = Join(docs, words, limit, folder or work_dir(docs.sparkSession, "ngram-join"))
+    join = Join(docs, words, limit, folder or work_dir(docs.sparkSession, "ngram-join"), scan, scan_different)
     rows = join.sets()
     vertices = join.stage(
         rows.where("n > 0").groupBy("vertex", "n").agg(F.min("doc_id").alias("least_doc"), F.min("sketch").alias("sketch"), F.min("small").alias("small")), "vertices"

@@ -144,14 +144,12 @@ def ranked(rows, items, k):
 
 
 @pytest.mark.parametrize("k,block,bundle", [(20, 8192, 8192), (3, 300, 4), (1, 256, 1)])
-def test_search_gives_the_best_of_all_documents(spark, docs, rows, monkeypatch, k, block, bundle):
-    monkeypatch.setattr(lexical_search, "BLOCK_DOCS", block)
-    monkeypatch.setattr(lexical_search, "BUNDLE_TERMS", bundle)
+def test_search_gives_the_best_of_all_documents(spark, docs, rows, k, block, bundle):
     rng = random.Random(2)
     more = [(5000 + n, " ".join(rng.choice(["the", "word", "rare%d" % (n % 50), "x1", "same", "again", "filler"]) for _ in range(rng.randint(1, 30)))) for n in range(900)]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     items = importable(spark).createDataFrame([(i, t, "clash") for i, t in [*ITEMS, (9, "rare7 the word"), (10, "rare1 rare2 rare3 filler same")]], "item_id long, text string, term string")
-    got = lexical_search.search(table, items, k)
+    got = lexical_search.search(table, items, k, block_docs=block, bundle_terms=bundle)
     want = ranked([*rows, *more], [*ITEMS, (9, "rare7 the word"), (10, "rare1 rare2 rare3 filler same")], k)
     assert Counter(tuple(r) for r in got.collect()) == Counter(want)
 

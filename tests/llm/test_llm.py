@@ -194,11 +194,15 @@ def test_ngram_groups(docs, rows, empty, words, part):
     assert ngram_join.group_ngrams(empty).count() == 0
 
 
-def test_ngram_groups_with_hubs(docs, monkeypatch):
-    """The same groups when nearly every list counts as long."""
+@pytest.mark.parametrize("scan, scan_different", [(2, 3)])
+def test_ngram_groups_with_hubs(spark, docs, scan, scan_different):
+    """The same groups when nearly every list counts as long, over several rounds of hubs."""
     want = sorted(map(tuple, ngram_join.group_ngrams(docs, 4, 85, 100).collect()))
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
-    assert sorted(map(tuple, ngram_join.group_ngrams(docs, 4, 85, 100).collect())) == want
+    folder = work_dir(spark, "hubs")
+    found = ngram_join.group_ngrams(docs, 4, 85, 100, folder=folder, scan=scan, scan_different=scan_different)
+    assert sorted(map(tuple, found.collect())) == want
+    wide = [spark.read.parquet(f"{folder}/wide-{n}").count() for n in range(2)]
+    assert wide[0] > wide[1] > 0
 
 
 def test_components(spark):
