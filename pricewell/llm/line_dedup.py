@@ -1,7 +1,8 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a sorted Parquet table of (line key, smallest document that holds it). Documents come
-in batches of ascending id; each batch anti-joins its keys to all runs, keeps what is
+A run is a table of (line key, smallest document that holds it), bucketed and sorted by the key, all runs in equally many
+buckets: joins between runs and with a batch dealt the same way merge bucket by bucket, without another shuffle of a run. Documents come
+in batches of ascending id, whose number follows the bytes of the texts; each batch anti-joins its keys to all runs, keeps what is
 new as a run of its own, and when a level has enough runs they are merged into one run of the
 next level. Keys are unique over all runs, so a line stays exactly in the document that its
 key's run names.
@@ -10,6 +11,7 @@ key's run names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -20,8 +22,12 @@ from pricewell.llm import textops as T
 from pricewell.llm.names import free_name
 from pricewell.session import work_dir
 
-BATCHES = 3
+# Batches at least, which is enough for a second level, and bytes of text that a batch may have beyond that.
+BATCHES = 4
+BATCH_BYTES = 256 << 30
 FANOUT = 2
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS = 8
 LEAST_CHARS = 10
 RUN = "key binary, owner long"
 
@@ -47,40 +53,54 @@ def _keys_of_batches(batches):
 
 
 class Runs:
-    """Levelled runs in a shared folder. A run is written once and never changed."""
+    """Levelled runs in a shared folder, known to the session by temporary names until `forget`. A run is written once and never changed."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout = spark, folder, fanout
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = LEAST_BUCKETS, fanout: int = FANOUT):
+        self.spark, self.folder, self.fanout, self.buckets = spark, folder, fanout, buckets
         self.levels: list[list[str]] = [[]]
-        self.written = 0
+        self.names: list[str] = []
 
-    def rows(self, paths: list[str] | None = None) -> DataFrame:
-        paths = [p for level in self.levels for p in level] if paths is None else paths
-        reader = self.spark.read.schema(RUN)
-        return reduce(DataFrame.union, [reader.parquet(p) for p in paths]) if paths else self.spark.createDataFrame([], RUN)
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def rows(self) -> DataFrame:
+        tables = self.tables()
+        return reduce(DataFrame.union, tables) if tables else self.spark.createDataFrame([], RUN)
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.folder}/run-{self.written}"
-        self.written += 1
-        rows.sortWithinPartitions("key").write.parquet(path)
-        return path
+        name = f"line_run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.folder}/run-{len(self.names)}").saveAsTable(name)
+        self.names.append(name)
+        return name
 
     def add(self, batch: DataFrame) -> None:
         """Take in a batch (doc_id, key): keys that no run has yet, each with its smallest document."""
-        owners = batch.groupBy("key").agg(F.min("doc_id").alias("owner"))
-        new = owners.join(self.rows(), "key", "left_anti") if self.written else owners
-        self.levels[0].append(self._write(new))
+        owners = batch.groupBy("key").agg(F.min("doc_id").alias("owner")).repartition(self.buckets, "key")
+        new = reduce(lambda left, run: left.join(run.hint("merge").select("key"), "key", "left_anti"), self.tables(), owners)
+        self.levels[0].append(self._write(new.select("key", "owner")))
         self.compact()
 
     def compact(self) -> None:
         for level in range(len(self.levels) + 1):
             if level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-                merged = self._write(self.rows(self.levels[level]).repartition("key"))
+                runs = [self.spark.table(name) for name in self.levels[level]]
+                merged = self._write(reduce(merge, runs))
                 if level + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[level + 1].append(merged)
                 self.levels[level] = []
 
+    def forget(self) -> None:
+        """Drop the names; the files stay."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one: they share no key, so a full outer join on their order is a merge."""
+    a, b = a.hint("merge").toDF("key", "owner"), b.toDF("b_key", "b_owner")
+    return a.join(b, F.col("key") == F.col("b_key"), "full_outer").select(F.coalesce("key", "b_key").alias("key"), F.coalesce("owner", "b_owner").alias("owner"))
+
 
 def _drop_batches(batches, text_first: int, gone_keys: str):
     for batch in batches:
@@ -108,7 +128,7 @@ def _batch_of(docs: DataFrame, batches: int) -> Column:
     return reduce(lambda n, cut: n + (F.col("doc_id") > cut).cast("int"), sorted(set(cuts)), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Drop every line whose key also stands in a document of smaller doc_id.
 
     Needs doc_id and text; adds kept_text, n_lines and n_dropped, in place of columns of those
@@ -122,14 +142,20 @@ def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int = BATCH
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     gone_doc, gone_keys = free_name(docs.columns, "gone_doc"), free_name(docs.columns, "gone_keys")
     known = docs.where(F.col("doc_id").isNotNull())
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = batches or max(BATCHES, -(-size // BATCH_BYTES))
     number = _batch_of(known.select("doc_id"), batches)
     known.select("doc_id", "text").mapInArrow(_keys_of_batches, "doc_id long, key binary").withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/keys")
     keys = spark.read.schema("doc_id long, key binary, batch int").parquet(f"{folder}/keys")
-    runs = Runs(spark, folder)
-    for n in range(batches):
-        runs.add(keys.where(F.col("batch") == n).select("doc_id", "key"))
-    owned = keys.join(runs.rows(), "key").where(F.col("doc_id") > F.col("owner"))
-    gone = owned.groupBy(F.col("doc_id").alias(gone_doc)).agg(F.collect_set("key").alias(gone_keys))
+    runs = Runs(spark, folder, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), fanout)
+    try:
+        for n in range(batches):
+            runs.add(keys.where(F.col("batch") == n).select("doc_id", "key"))
+        owned = keys.join(runs.rows(), "key").where(F.col("doc_id") > F.col("owner"))
+        owned.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).write.parquet(f"{folder}/gone")
+    finally:
+        runs.forget()
+    gone = spark.read.schema("doc_id long, keys array<binary>").parquet(f"{folder}/gone").toDF(gone_doc, gone_keys)
     marked = docs.join(gone, F.col("doc_id") == F.col(gone_doc), "left").drop(gone_doc)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     text_at = docs.columns.index("text")

@@ -1,12 +1,13 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from pricewell.llm import url_filter
+from pricewell.llm import host_rules, url_filter
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 OUTER = r"E' \t\n\x0B\x0C\r'"
 
 TERMS = r"regexp_extract_all(translate(text, {letters}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(letters=LETTERS)
+RULE_LIMITS = ", ".join(f"('{rule}', {most})" for rule, most in host_rules.HOST_MOST_FAILED.items())
 URL_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in url_filter.RULES)
 URL_TERMS = ", ".join(f"('{t}', {w})" for t, w in url_filter.VOCABULARY.items())
 
@@ -61,10 +62,18 @@ ORACLES = {
             FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)
         ),
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
-        h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY source),
-        p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-        q AS (SELECT m, greatest(least(m * (1 - m) / greatest(v, 1e-6) - 1, 1e4), 1.0) AS s FROM p),
-        ok AS (SELECT source, (k + m * s) / (n + s) <= 0.5 AS host_ok FROM h, q)
+        r AS (
+            SELECT source, unnest([
+                {{'rule': 'base', 'failed': base_failed}}, {{'rule': 'short', 'failed': n_words < 50}},
+                {{'rule': 'repeats', 'failed': 100 * n_repeat_words > 50 * n_words}}, {{'rule': 'symbols', 'failed': 4 * n_symbols > n_words}},
+                {{'rule': 'lines', 'failed': 4 * n_dup_lines > n_words}}, {{'rule': 'lengths', 'failed': word_chars < 2 * n_words OR word_chars > 15 * n_words}}
+            ], recursive := true) FROM f
+        ),
+        h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM r GROUP BY source, rule),
+        p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY rule),
+        q AS (SELECT rule, m, greatest(least(m * (1 - m) / greatest(v, 1e-6) - 1, 1e4), 1.0) AS s FROM p),
+        l(rule, most) AS (VALUES {RULE_LIMITS}),
+        ok AS (SELECT source, bool_and((k + m * s) / (n + s) <= most) AS host_ok FROM h JOIN q USING (rule) JOIN l USING (rule) GROUP BY source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
         FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source""",
     "op12_lexical_search": f"""

@@ -358,3 +358,62 @@ def test_windows_around_one_phrase_are_told_apart(spark):
     copy = many.where("doc_id = 77").select(F.lit(1 << 40).alias("doc_id"), "text")
     found = substring_dedup.dedup_substrings(many.unionByName(copy)).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
     assert [tuple(r) for r in found.collect()] == [(1 << 40, 13, 13, "")]
+
+
+def test_hosts_that_break_a_rule_lose_their_documents(spark):
+    """Rates per rule and host against the prior worked out by hand; one host breaks by symbols, one by short texts, one by none."""
+    rng = random.Random(6)
+    plain = ["w%d" % n for n in range(400)]
+    made = {"clean": (0.1, 0.05), "symbols": (0.1, 0.95), "short": (0.9, 0.1), None: (0.2, 0.2), "tiny": (1.0, 1.0)}
+    rows = []
+    for host, (short, marked) in made.items():
+        for _ in range(2 if host == "tiny" else 120):
+            words = rng.sample(plain, 20 if rng.random() < short else 80)
+            rows.append((len(rows), " ".join(w + "#$" if n % 2 and marked > 0.5 else w for n, w in enumerate(words)), host, "clash"))
+    docs = importable(spark).createDataFrame(rows, "doc_id long, text string, source string, broke string")
+    found = host_rules.judge(docs).collect()
+    fails = {}
+    for _, text, host, _ in rows:
+        words = WORD.findall(text)
+        n, chars = len(words), sum(map(len, words))
+        fails.setdefault(host, []).append({
+            "base": n < 50, "short": n < 50, "repeats": False, "symbols": sum(text.count(c) for c in "#*$%&|<>") > 0.25 * n, "lines": False, "lengths": chars < 2 * n or chars > 15 * n,
+        })
+    rates = {}
+    for rule in host_rules.HOST_MOST_FAILED:
+        own = {h: sum(f[rule] for f in fs) / len(fs) for h, fs in fails.items()}
+        m = sum(own.values()) / len(own)
+        v = sum((x - m) ** 2 for x in own.values()) / len(own)
+        s = max(min(m * (1 - m) / max(v, 1e-6) - 1, 1e4), 1.0)
+        for h, fs in fails.items():
+            rates[h, rule] = (sum(f[rule] for f in fs) + m * s) / (len(fs) + s)
+    broke = {h: sorted(r for r, most in host_rules.HOST_MOST_FAILED.items() if rates[h, r] > most) for h in fails}
+    assert broke["clean"] == [] == broke[None] and broke["symbols"] == ["symbols"] and "short" in broke["short"]
+    for r in found:
+        assert r["broke"] == broke[r["host"]] and r["kept"] == (not r["base_failed"] and not broke[r["host"]])
+        assert all(r["rates"][rule] == pytest.approx(rates[r["host"], rule]) for rule in host_rules.HOST_MOST_FAILED)
+    assert any(not r["base_failed"] and not r["kept"] for r in found)
+
+
+def test_line_runs_merge_on_their_order_over_several_levels(spark, docs):
+    rng = random.Random(8)
+    runs = line_dedup.Runs(spark, work_dir(spark, "runs"), buckets=3, fanout=2)
+    first = {}
+    for batch in range(8):
+        rows = [(100 * batch + n, b"%03d" % rng.randrange(300)) for n in range(60)]
+        for doc, key in rows:
+            first.setdefault(key, doc)
+        runs.add(importable(spark).createDataFrame(rows, "doc_id long, key binary"))
+        assert sum(2**level * len(names) for level, names in enumerate(runs.levels)) == batch + 1
+    assert [len(names) for names in runs.levels] == [0, 0, 0, 1]
+    assert {bytes(r["key"]): r["owner"] for r in runs.rows().collect()} == first
+    more = [(900, b"new"), (901, min(first)), (902, b"new")]
+    runs.add(spark.createDataFrame(more, "doc_id long, key binary"))
+    parts = [spark.table(name) for names in runs.levels for name in names]
+    merged = line_dedup.merge(*parts)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString() and merged.count() == len(first | {b"new": 900})
+    runs.forget()
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "n_dropped", "kept_text").collect()))
+    got_ = line_dedup.dedup_lines(docs, batches=9, fanout=3).select("doc_id", "n_dropped", "kept_text")
+    assert sorted(map(tuple, got_.collect())) == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
