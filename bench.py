@@ -21,7 +21,10 @@ from pricewell.workload.queries import QUERIES  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
-JOBS = ("full_load", "partial_load", "stream_ingest", "stream_sessions")
+JOBS = (
+    "full_load", "partial_load", "stream_ingest", "stream_sessions", "increment_load", "malformed_ids", "stored_postcode_report",
+    "stored_station_history", "report_after_increments", "series_append", "stream_out_of_order", "stream_overlap", "parked_expiry",
+)
 WARM_UP = 1
 
 
