@@ -7,7 +7,7 @@ key instead of one row for each word. If all holders of a key have the same piec
 not branch and its smallest document settles it as a whole; a piece that branches is settled edge by
 edge. Records carry their source coordinates (document, first word), and a join on the
 document turns the repeated ones back into word ranges of the texts. All windows around one phrase have the same key, so an
-edge is identified by 128 bits: its key and a 64-bit hash of all its words.
+edge is identified by 112 bits: 48 of its key and a 64-bit hash of all its words.
 
 Keys that many documents hold are found first, over all documents; their edges are dealt
 one by one. A task that sees an edge in several documents sends it once, and reports the larger
@@ -31,8 +31,8 @@ HOT_IN_PIECE = 8
 HOT_KEYS = 1 << 16
 EDGES_AT_ONCE = 600_000
 
-# Key, document (low and high half, which compresses), first word, edges (negative: known to be repeated), marks of the edges.
-KINDS = ("<u8", "<u4", "<i4", "<i4", "<i2", "<u8")
+# Key, document and first word, each from its low part up, as high parts compress; edges (negative: known to be repeated); marks of the edges.
+KINDS = ("<u4", "<u2", "<u2", "<u2", "<i4", "<u2", "<i2", "<i2", "<u8")
 
 
 class Edges:
@@ -78,8 +78,15 @@ def hot_keys(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _packed(key, doc, first, n, marks) -> bytes:
-    halves = (doc & 0xFFFFFFFF).astype("<u4"), (doc >> 32).astype("<i4")
-    return P.join(key.astype("<u8"), *halves, first.astype("<i4"), n.astype("<i2"), marks)
+    key, doc, first = key.astype(T.U) >> T.U(16), doc.astype(np.int64), first.astype(np.int64)
+    parts = (key & T.U(0xFFFFFFFF), key >> T.U(32), doc & 0xFFFF, (doc >> 16) & 0xFFFF, doc >> 32, first & 0xFFFF, first >> 16, n, marks)
+    return P.join(*(c.astype(k) for c, k in zip(parts, KINDS)))
+
+
+def _unpacked(packed) -> tuple[np.ndarray, ...]:
+    key, key_high, doc, doc_mid, doc_high, first, first_high, count, mark = P.split(packed, *KINDS)
+    doc = doc.astype(np.int64) | (doc_mid.astype(np.int64) << 16) | (doc_high.astype(np.int64) << 32)
+    return key.astype(T.U) | (key_high.astype(T.U) << T.U(32)), doc, first.astype(np.int64) | (first_high.astype(np.int64) << 16), count.astype(np.int64), mark
 
 
 def _pack_edges(row, doc, first, key, mark, hot: np.ndarray, buckets: int):
@@ -102,7 +109,7 @@ def _pack_edges(row, doc, first, key, mark, hot: np.ndarray, buckets: int):
     at, n = begins[sent], lengths[sent]
     parts = []
     for bucket, of in P.by_bucket(key[at], buckets):
-        parts.append((bucket, _packed(key[at[of]], doc[at[of]], first[at[of]], n[of], mark[P.expand(at[of], n[of])].astype("<u8"))))
+        parts.append((bucket, _packed(key[at[of]], doc[at[of]], first[at[of]], n[of], mark[P.expand(at[of], n[of])])))
     at, n = begins[~sent], lengths[~sent]
     none = np.zeros(0, "<u8")
     for bucket, of in P.by_bucket(doc[at], buckets):
@@ -127,8 +134,7 @@ def _edge_batches(batches, words: int, hot: np.ndarray, buckets: int):
 
 def _settle(table: pa.Table, buckets: int) -> pa.Table:
     """Ranges of edges that a smaller document holds too, packed by bucket of the document."""
-    key, low, high, first, count, mark = P.split(table.column("packed"), *KINDS)
-    doc, count = low.astype(np.int64) | (high.astype(np.int64) << 32), count.astype(np.int64)
+    key, doc, first, count, mark = _unpacked(table.column("packed"))
     known = count < 0
     ranges = [(doc[known], first[known], -count[known])]
     key, doc, first, count = key[~known], doc[~known], first[~known], count[~known]
