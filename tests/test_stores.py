@@ -274,3 +274,35 @@ def test_live_users_at_each_minute(spark, tmp_path):
             if at - timedelta(minutes=15) < t <= at:
                 want[u] = max(want.get(u, 0), micros(t))
         assert got.get(micros(at), set()) == set(want.items()), minute
+
+
+def test_liveness_keeps_touches_and_not_their_minutes_over_several_runs(spark, tmp_path):
+    def at(minutes):
+        return T0 + timedelta(minutes=minutes)
+
+    users = [None, "a", "b", *(f"u{n}" for n in range(30))]
+    rounds = [
+        [(u, at(n)) for n, u in enumerate(users)] + [("b", at(9)), ("z", at(80))],
+        [("a", at(5)), ("a", at(21)), ("late", at(-60)), ("z", at(90))],
+        [(None, at(40)), ("z", at(300))],
+    ]
+    kept = []
+    for touches in rounds:
+        spark.createDataFrame(touches, "user_id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = liveness_stream(spark.readStream.schema("user_id string, ts timestamp").parquet(str(tmp_path / "in")))
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept += [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert max(kept) <= len(users) + 2
+    rows = spark.read.schema("as_of timestamp, user_id string, last_touch timestamp").parquet(str(tmp_path / "out")).selectExpr("unix_micros(as_of) a", "user_id u", "unix_micros(last_touch) t").collect()
+    micros = lambda m: (m - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    want = set()
+    for minute in range(-100, 240):  # the last watermark is an hour before the last touch
+        newest = {}
+        for n, touches in enumerate(rounds):
+            for u, t in touches:
+                passed = at([-10_000, 19, 29][n])  # the watermark before the round
+                if passed < at(minute) and at(minute - 15) < t <= at(minute):
+                    newest[u] = max(newest.get(u, 0), micros(t))
+        want |= {(micros(at(minute)), u, t) for u, t in newest.items()}
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
