@@ -25,6 +25,8 @@ log = logging.getLogger(__name__)
 CURSOR_ID = "STATIONS-AND-PRICES"
 # Folders beside the tables in which streams keep, by day, what they left out.
 LEDGERS = ("rejects", "absents")
+# Marks decoded price items whose station is not stored.
+ABSENT = "_absent"
 
 
 class FeedError(RuntimeError):
@@ -143,9 +145,12 @@ def clean_prices(rows: DataFrame, fuel_types: DataFrame, load: int = 0) -> DataF
     return groups.last_writer(typed, schemas.PRICE_KEY, [ORDER])
 
 
-def item_counts() -> list[Column]:
+def item_counts(marked: bool = False) -> list[Column]:
+    """Aggregates over decoded items; how many good ones are of absent stations, if they are `marked`."""
+    sound = F.col("page_error").isNull() & (F.col("errors") == "")
     return [
         F.count(F.when(F.col("errors") != "", True)).alias("rejected"),
+        F.count(F.when(sound & F.col(ABSENT), True) if marked else F.lit(None)).alias("absent"),
         F.min(F.when(F.col("page_error").isNotNull(), F.struct("batch_number", "page_error"))).alias("bad_page"),
     ]
 
@@ -153,22 +158,37 @@ def item_counts() -> list[Column]:
 # -- what batch and stream do with decoded items -------------------------------------
 
 
-def _stage(spark: SparkSession, decoded: DataFrame, name: str) -> tuple[str, DataFrame, int, FeedError | None]:
+@dataclass(frozen=True)
+class Staged:
+    """Decoded items written once, those before the first page that fails as a whole, and what was counted of them."""
+
+    path: str
+    items: DataFrame
+    rejected: int
+    absent: int
+    failure: FeedError | None
+
+
+def _stage(spark: SparkSession, decoded: DataFrame, name: str, known: DataFrame | None = None) -> Staged:
     """Write the decoded items once, counting them on the way, and find the first page that fails as a whole.
 
     Everything after reads the staged Parquet, so page text is parsed once and a lost
-    executor costs a reread, not a reparse.
+    executor costs a reread, not a reparse. With `known`, the side of stored stations, items are marked here
+    for all that follows: one join tells which are of absent stations.
     """
-    path, seen = work_dir(spark, name), Observation()
-    decoded.observe(seen, *item_counts()).write.parquet(path)
+    path, seen, marked = work_dir(spark, name), Observation(), known is not None
+    if marked:
+        # a left outer join with the items on its left, so that AQE can split those of a station with very many
+        decoded = decoded.join(known.withColumn("_stored", F.lit(True)), "node_id", "left").withColumn(ABSENT, F.col("_stored").isNull()).drop("_stored")
+    decoded.observe(seen, *item_counts(marked)).write.parquet(path)
     staged = spark.read.schema(decoded.schema).parquet(path)
     facts = seen.get
     if facts["bad_page"] is None:
-        return path, staged, facts["rejected"], None
+        return Staged(path, staged, facts["rejected"], facts["absent"], None)
     number, why = facts["bad_page"]
     before = staged.where(F.col("batch_number") < number)
-    rejected = before.agg(item_counts()[0]).first()["rejected"]
-    return path, before, rejected, FeedError(f"page {number}: {why}")
+    counts = before.agg(*item_counts(marked)[:2]).first()
+    return Staged(path, before, counts["rejected"], counts["absent"], FeedError(f"page {number}: {why}"))
 
 
 def _load_of(table: KeyedTable, now: datetime, replay: dict | None) -> int:
@@ -184,11 +204,11 @@ def apply_stations(
 
     `replay` names the stream and batch of a micro-batch. A failing one is not marked as done, so it comes again.
     """
-    path, staged, rejected, failure = _stage(store.spark, pg.decode_stations(pages, on_malformed), "stations")
+    staged = _stage(store.spark, pg.decode_stations(pages, on_malformed), "stations")
     number = _load_of(store.stations, now, replay)
-    mark = {} if failure or not replay else {**replay, "began": number}
-    change = store.stations.upsert(latest_stations(pg.good_items(staged), number), now, **mark)
-    return Loaded(change, rejected, rejects=pg.rejects(staged), failure=failure, staged=path)
+    mark = {} if staged.failure or not replay else {**replay, "began": number}
+    change = store.stations.upsert(latest_stations(pg.good_items(staged.items), number), now, **mark)
+    return Loaded(change, staged.rejected, rejects=pg.rejects(staged.items), failure=staged.failure, staged=staged.path)
 
 
 def apply_prices(
@@ -200,25 +220,27 @@ def apply_prices(
     With `park` the latter wait in `store.parked`. `stations` is the side of known ids, if the caller has sized it.
     """
     decoded = pg.decode_prices(pages, store.known_types(), on_unknown, on_malformed)
-    path, staged, rejected, failure = _stage(store.spark, decoded, "prices")
-    number = _load_of(store.prices, now, replay)
-    mark = {} if failure or not replay else {**replay, "began": number}
-    good = pg.good_items(staged)
     known = joins.station_side(store.stations.read(), "node_id") if stations is None else stations
-    absent = joins.absent_rows(good.select("batch_number", *pg.carried(good), "idx", "node_id"), known, sized=True)
-    n_absent = absent.count()
-    rows = pg.price_rows(good)
+    staged = _stage(store.spark, decoded, "prices", known)
+    number = _load_of(store.prices, now, replay)
+    mark = {} if staged.failure or not replay else {**replay, "began": number}
+    good = pg.good_items(staged.items)
+    absent, present = good.where(ABSENT), good.where(~F.col(ABSENT))
     n_older = 0
     if since is not None:
-        n_older = rows.where(F.col("price_last_updated") < utc_literal(since)).count()
-        rows = changed_since(rows, since, overlap_seconds=0)
-    clean = clean_prices(rows, store.fuel_types, number)
-    if park and n_absent:
+        n_older = pg.price_rows(good).where(F.col("price_last_updated") < utc_literal(since)).count()
+
+    def clean(items: DataFrame) -> DataFrame:
+        rows = pg.price_rows(items)
+        return clean_prices(rows if since is None else changed_since(rows, since, overlap_seconds=0), store.fuel_types, number)
+
+    # a stored key holds the station, so either part is reduced on its own
+    if park and staged.absent:
         # before the stored ones: if the batch comes again, nothing of it is in neither table
-        waiting = joins.absent_rows(clean, known, sized=True).withColumn("arrived", F.lit(f"{now:%Y-%m-%d}"))
-        store.parked.upsert(waiting, now, update=["price"])
-    change = store.prices.upsert(joins.present_rows(clean, known, sized=True), now, update=["price"], **mark)
-    return Loaded(change, rejected, n_absent, n_older, pg.rejects(staged), absent, failure, path)
+        store.parked.upsert(clean(absent).withColumn("arrived", F.lit(f"{now:%Y-%m-%d}")), now, update=["price"])
+    change = store.prices.upsert(clean(present), now, update=["price"], **mark)
+    absent = absent.select("batch_number", *pg.carried(absent), "idx", "node_id")
+    return Loaded(change, staged.rejected, staged.absent, n_older, pg.rejects(staged.items), absent, staged.failure, staged.path)
 
 
 def retry_parked(store: Store, now: datetime, stations: DataFrame | None = None) -> Change:

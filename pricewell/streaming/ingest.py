@@ -50,6 +50,11 @@ def replay_mark(batch: DataFrame, name: str) -> str:
     return f"{name}@{query_id}" if query_id else name
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The pages of a micro-batch over all cores. It reads few files, each in one task, and decoding is the most work there is."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
+
+
 def _start(pages: DataFrame, apply, checkpoint: str, name: str, every: str | None) -> StreamingQuery:
     writer = pages.writeStream.queryName(name).foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -95,7 +100,7 @@ def station_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         replay, now = {"stream": replay_mark(batch, name), "batch_id": batch_id}, clock()
-        done = load.apply_stations(store, batch, now, replay, on_malformed)
+        done = load.apply_stations(store, dealt(batch), now, replay, on_malformed)
         if done.rejected:
             _keep(done.rejects, store, "rejects", "stations", replay, now)
         done.release(store.spark)
@@ -114,7 +119,7 @@ def price_stream(
         replay, now = {"stream": replay_mark(batch, name), "batch_id": batch_id}, clock()
         stations = joins.station_side(store.stations.read(), "node_id")
         load.retry_parked(store, now, stations)
-        done = load.apply_prices(store, batch, now, None, on_unknown, replay, True, stations, on_malformed)
+        done = load.apply_prices(store, dealt(batch), now, None, on_unknown, replay, True, stations, on_malformed)
         if done.rejected:
             _keep(done.rejects, store, "rejects", "prices", replay, now)
         if done.absent:

@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from feed import land, node, price, prices, station
@@ -306,3 +307,14 @@ def test_liveness_keeps_touches_and_not_their_minutes_over_several_runs(spark, t
                     newest[u] = max(newest.get(u, 0), micros(t))
         want |= {(micros(at(minute)), u, t) for u, t in newest.items()}
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+
+
+def test_a_micro_batch_of_one_file_is_decoded_on_all_cores_and_joined_once(store, spark, tmp_path, monkeypatch):
+    for name, items in (("stations", lambda n: [station(n)]), ("prices", lambda n: [prices(n, price()), prices(n + 100, price())])):
+        page_rows(spark, *((n, items(n)) for n in range(1, 9))).coalesce(1).write.parquet(str(tmp_path / name))
+    staged, release = [], load.Loaded.release
+    monkeypatch.setattr(load.Loaded, "release", lambda self, session: (staged.append((len(list(Path(self.staged).glob("part-*"))), self.absent)), release(self, session)))
+    feeds = [spark.readStream.schema("batch_number long, value string").parquet(str(tmp_path / name)) for name in ("stations", "prices")]
+    ingest.ingest_available(store, *feeds, str(tmp_path / "ck"), lambda: T0)
+    assert staged == [(spark.sparkContext.defaultParallelism, 0), (spark.sparkContext.defaultParallelism, 8)]
+    assert store.prices.read().count() == 8 and store.parked.read().count() == 8 and ingest.absents(store).count() == 8
