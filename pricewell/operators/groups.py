@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.session import work_dir
 
@@ -48,18 +49,53 @@ def bounded_arrays(
     `element`; read in (`bucket`, `part`) order the arrays of a group give all of it in
     order. Item n of a bucket, from 0, is in part n div `size`, however many rows there are.
 
+    Groups are told apart by their size, counted before the shuffle. One of at most `POINTS_PER_CHUNK` items (or `size`) is no
+    longer than an array may be: it is collected and sorted whole and then cut. Larger ones, few, go by slices.
+    """
+    group, longest = [*keys, "bucket"], max(size, POINTS_PER_CHUNK)
+    items = rows.select(*keys, bucket.alias("bucket"), element.alias("_element"))
+    items = items.withColumn("_element", _one_zero(F.col("_element"), items.schema["_element"].dataType))
+    folder = work_dir(rows.sparkSession, "arrays")
+    counts = items.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > longest)
+    counts.select(*[F.col(c).alias(f"_long_{c}") for c in group]).write.parquet(f"{folder}/long")
+    long = rows.sparkSession.read.schema(T.StructType([T.StructField(f"_long_{c}", items.schema[c].dataType) for c in group])).parquet(f"{folder}/long")
+    if long.isEmpty():
+        return _whole_groups(items, group, out, size)
+    # null-safe on every key, as grouping is; there is one long group in `longest` rows at most
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_long_{c}")) for c in group])
+    whole, sliced = (items.join(F.broadcast(long), same, how) for how in ("left_anti", "left_semi"))
+    return _whole_groups(whole, group, out, size).unionByName(_sliced_groups(sliced, group, out, size, f"{folder}/slices"))
+
+
+def _one_zero(element: Column, kind: T.StructType) -> Column:
+    """The struct with 0.0 for -0.0, as grouping makes of the two."""
+    def field(c: Column, kind: T.DataType) -> Column:
+        return F.when(c == 0, F.lit(0).cast(kind)).otherwise(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+
+    return F.struct(*[field(element[f.name], f.dataType).alias(f.name) for f in kind.fields])
+
+
+def _whole_groups(items: DataFrame, group: list[str], out: str, size: int) -> DataFrame:
+    """Parts of groups that fit an array. Rows are shuffled first: a map task holds too few of a group for collecting there to pay."""
+    collected = items.repartition(*group).groupBy(*group).agg(F.sort_array(F.collect_list("_element")).alias("_all"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / size).cast("int"))
+    parts = F.transform(numbers, lambda n: F.slice("_all", n * size + 1, size))
+    return collected.select(*group, F.posexplode(parts).alias("part", out)).withColumn("part", F.col("part").cast("bigint"))
+
+
+def _sliced_groups(items: DataFrame, group: list[str], out: str, size: int, folder: str) -> DataFrame:
+    """The same for groups of any size.
+
     Equal items are counted first, combined before the shuffle. What is left is cut into
     slices by range over (keys, bucket, element) and staged, so a group of any size is spread over
     tasks, one whose items share an instant included. Items are numbered inside their
     slice, plus what earlier slices hold of the bucket. That list is broadcast: a slice has at most
     one bucket that an earlier one began, so it is no longer than the number of slices.
     """
-    group = [*keys, "bucket"]
-    counted = rows.select(*keys, bucket.alias("bucket"), element.alias("_element")).groupBy(*group, "_element").agg(F.count("*").alias("_copies"))
+    counted = items.groupBy(*group, "_element").agg(F.count("*").alias("_copies"))
     sliced = counted.repartitionByRange(*group, "_element").withColumn("_slice", F.spark_partition_id())
-    folder = work_dir(rows.sparkSession, "arrays")
     sliced.write.parquet(folder)
-    staged = rows.sparkSession.read.schema(sliced.schema).parquet(folder)
+    staged = items.sparkSession.read.schema(sliced.schema).parquet(folder)
 
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     held = staged.groupBy(*group, "_slice").agg(F.sum("_copies").alias("_held"))
@@ -74,8 +110,8 @@ def bounded_arrays(
     parts = F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size))
     dealt = numbered.select(*group, "_element", "_start", "_end", F.explode(parts).alias("part"))
     times = F.least("_end", (F.col("part") + 1) * size) - F.greatest("_start", F.col("part") * size)
-    items = F.array_sort(F.collect_list(F.struct("_element", times.cast("int").alias("times"))))
-    repeated = F.flatten(F.transform(items, lambda i: F.array_repeat(i["_element"], i["times"])))
+    once = F.sort_array(F.collect_list(F.struct("_element", times.cast("int").alias("times"))))
+    repeated = F.flatten(F.transform(once, lambda i: F.array_repeat(i["_element"], i["times"])))
     return dealt.groupBy(*group, "part").agg(repeated.alias(out))
 
 

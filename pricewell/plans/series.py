@@ -41,32 +41,35 @@ def append(
     """Add points (node_id, fuel_type_id, x in epoch ms, y) to their series, wherever in time they fall.
 
     Equal points stay side by side. The first part that changes is the first whose greatest point comes after the least new
-    one, else the last one if it has room. Only folders of part numbers from there on are read. `bucket` and `size` must be those
-    of all appends to a table. A `batch_id` that was applied before is skipped.
+    `x` with the least new `y`, else the last one if it has room. Only folders of part numbers from there on are read. `bucket`
+    and `size` must be those of all appends to a table. A `batch_id` that was applied before is skipped.
     """
     spark, folder = table.spark, work_dir(table.spark, "append")
     new = points.select(
         F.col("node_id"), F.col("fuel_type_id").cast("smallint").alias("fuel_type_id"), F.date_trunc(bucket, F.timestamp_millis("x")).alias("bucket"),
         F.struct(F.col("x").cast("bigint").alias("x"), F.col("y").cast("double").alias("y")).alias("point"),
     )
-    seen = Observation()
-    day = F.date_format("bucket", "yyyy-MM-dd")
-    new.observe(seen, F.min(day).alias("low"), F.max(day).alias("high")).write.parquet(f"{folder}/new")
+    new.write.parquet(f"{folder}/new")
     try:
+        new = spark.read.schema(new.schema).parquet(f"{folder}/new")
+        # minima of plain columns are taken by hash, a minimum of structs by sorting all points; days are named once a group
+        x, y, known = F.min("point.x"), F.min("point.y"), F.count("point.y") == F.count("*")
+        least = new.groupBy(*GROUP).agg(F.struct(x.alias("x"), F.when(known, y).alias("y")).alias("_least"))
+        seen, day = Observation(), F.date_format("bucket", "yyyy-MM-dd")
+        least.observe(seen, F.min(day).alias("low"), F.max(day).alias("high")).write.parquet(f"{folder}/least")
         low, high = seen.get["low"], seen.get["high"]
         if low is None:
             return Change()
-        new = spark.read.schema(new.schema).parquet(f"{folder}/new")
+        least = spark.read.schema(least.schema).parquet(f"{folder}/least")
         # names are the day and the part number, so ":" comes after all of a day
         heads = table.read(low=low, high=f"{high}:").select(*GROUP, "nth", "n", "last")
-        least = new.groupBy(*GROUP).agg(F.min("point").alias("_least"))
         changes = (F.col("last") > F.col("_least")) | (F.col("n") < size)
         after = F.coalesce(F.min(F.when(changes, F.col("nth"))), F.max("nth") + 1, F.lit(0)).cast("bigint")
         least.join(heads, list(GROUP), "left").groupBy(*GROUP).agg(after.alias("_from"), F.max("nth").alias("_to")).write.parquet(f"{folder}/from")
         begin = spark.read.schema(least.drop("_least").schema.add("_from", "long").add("_to", "long")).parquet(f"{folder}/from")
 
         numbers = F.explode(F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")))
-        names = begin.select("bucket", numbers.alias("nth")).select(part_name(F.col("bucket"), F.col("nth")).alias("name")).distinct()
+        names = begin.select("bucket", numbers.alias("nth")).distinct().select(part_name(F.col("bucket"), F.col("nth")).alias("name"))
         stored = table.read(parts={r["name"] for r in names.collect()})
         behind = stored.join(begin, list(GROUP)).where(F.col("nth") >= F.col("_from")).select(*GROUP, F.explode("data").alias("point"))
         # bounded_arrays counts from 0, here from the first part that changes; all before it are full

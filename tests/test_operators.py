@@ -145,6 +145,29 @@ def test_bounded_arrays_split_one_instant(uncoalesced):
     assert groups.bounded_arrays(df.limit(0), ["k"], F.lit(0), F.struct("x"), "xs").count() == 0
 
 
+def test_bounded_arrays_of_long_and_short_groups(uncoalesced, monkeypatch):
+    monkeypatch.setattr(groups, "POINTS_PER_CHUNK", 200)
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice([None, float("nan"), 0.0, -0.0, *range(30)]), rnd.randrange(3)) for k, n in (("long", 700), (None, 500), ("short", 200), ("one", 1)) for _ in range(n)]
+    rows += [("long", 4.0, 1)] * 150
+    df = uncoalesced.createDataFrame([(k, None if y is None else float(y), x) for k, y, x in rows], "k string, y double, x int")
+    arrays = groups.bounded_arrays(df, ["k"], F.lit(0), F.struct("y", "x"), "ys", size=40)
+    got = {(r["k"], r["part"]): [(str(p["y"]), p["x"]) for p in r["ys"]] for r in arrays.collect()}
+    held = defaultdict(list)
+    for k, y, x in rows:
+        held[k].append(((y is not None, y != y, 0.0 if y is None or y != y else y, x), (str(None if y is None else float(y) + 0.0), x)))
+    want = {(k, i // 40): [p for _, p in sorted(ps, key=lambda p: p[0])[i:i + 40]] for k, ps in held.items() for i in range(0, len(ps), 40)}
+    assert got == want
+
+
+def test_short_groups_are_shuffled_once(uncoalesced):
+    df = uncoalesced.range(1000).selectExpr("id % 50 k", "id x")
+    arrays = groups.bounded_arrays(df, ["k"], F.floor(F.col("x") / 500), F.struct("x"), "xs", size=8)
+    plan = arrays._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    assert sorted(len(r["xs"]) for r in arrays.collect()) == [2] * 100 + [8] * 100
+
+
 def test_last_writer_is_sequential_application(spark):
     rnd = random.Random(3)
     rows = [(rnd.randrange(50), b, i, rnd.random()) for b in range(5) for i in range(100)]

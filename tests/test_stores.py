@@ -255,6 +255,17 @@ def test_appending_in_time_order_leaves_full_parts_alone(spark, tmp_path):
     assert sum(r["n"] for r in table.read().collect()) == 42
 
 
+def test_appends_among_ties_and_points_without_price(spark, tmp_path):
+    points = [("a", 1, 1_700_000_000_000 + x, y) for x, y in [(1, 2.0), (1, 3.0), (2, None), (2, 1.0), (2, 5.0), (3, 1.0), (2, None), (1, 2.0), (2, 0.5), (3, None), (3, 9.0)]]
+    schema = "node_id string, fuel_type_id int, x long, y double"
+    table = series.series_table(spark, str(tmp_path / "s")).create()
+    for s, e in ((0, 4), (4, 6), (6, 7), (7, 11)):
+        series.append(table, spark.createDataFrame(points[s:e], schema), T0, "MONTH", 2)
+    got = [tuple(p) for r in table.read().orderBy("nth").collect() for p in r["data"]]
+    assert got == sorted(((x, y) for _, _, x, y in points), key=lambda p: (p[0], p[1] is not None, p[1] or 0.0))
+    assert sorted(r["n"] for r in table.read().collect()) == [1, 2, 2, 2, 2, 2]
+
+
 # -- liveness as a stream ------------------------------------------------------------------------------
 
 
