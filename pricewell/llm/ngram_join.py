@@ -13,10 +13,14 @@ difference, so nothing is lost, and those lists are short. Lists that are still
 hubs again, until none is: a list loses its hub each time, so this ends, and no list is ever compared pair by pair.
 
 Pairs pass a bound from parity sketches (never too strict), and an exact comparison follows.
+
+The n-grams of the sets that are compared lie in a table bucketed by vertex, so a comparison moves its pairs to them and never
+the table. Each step unlinks its shuffles when it ends and is itself unlinked when nothing reads it any more.
 """
 
 from __future__ import annotations
 
+import uuid
 from math import comb
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pricewell.llm import packed as P
 from pricewell.llm import textops as T
 from pricewell.llm.components import components
-from pricewell.session import work_dir
+from pricewell.session import drop_dir, tidy_shuffles, work_dir
 
 SMALL = 40
 HOT_IN_TASK = 3
@@ -37,6 +41,9 @@ SCAN_AT_MOST = 64
 SCAN_AT_MOST_DIFFERENT = 1024
 PAIRS_AT_ONCE = 2_000_000
 VERIFY_COST = 4.0
+# Of documents whose n-grams are asked for, and of the hubs' n-grams: beyond it, texts or members are shuffled.
+BROADCAST_ROWS = 1 << 20
+BROADCAST_BYTES = 32 << 20
 
 SETS = "doc_id long, vertex long, check long, n long, sketch binary, small array<long>"
 LIST_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4")
@@ -387,7 +394,11 @@ def _gram_batches(batches, words: int):
         for piece in T.pieces(batch.column("text")):
             grams, bounds = _sets(piece, words)
             blobs = [grams[s:e].astype("<u8").tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("vertex").slice(piece.first, len(piece)), pa.array(blobs, pa.binary())], names=["vertex", "grams"])
+            sketches = [_sketch(grams[s:e]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vertex").slice(piece.first, len(piece)), pa.array(np.diff(bounds), pa.int64()), pa.array(sketches, pa.binary()), pa.array(blobs, pa.binary())],
+                names=["vertex", "n", "sketch", "grams"],
+            )
 
 
 class Join:
@@ -418,27 +429,56 @@ class Join:
         top = self.common.groupBy("vertex").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "vertex").limit(HOT_GRAMS).toArrow()
         return Order(top.column("vertex").to_numpy().view(T.U) if len(top) else np.zeros(0, T.U), top.column("n").to_numpy(), self.scan)
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_dir(self.spark, f"{self.folder}/{name}")
+
+    def keep_grams(self, texts: DataFrame) -> DataFrame:
+        """The sets of the texts in a table bucketed by vertex, known to the session by a temporary name until `forget`."""
+        words, self.gram_buckets, self.name = self.words, max(12, self.buckets // 4), f"ngram_sets_{uuid.uuid4().hex}"
+        rows = texts.mapInArrow(lambda b: _gram_batches(b, words), "vertex long, n long, sketch binary, grams binary").repartition(self.gram_buckets, "vertex")
+        rows.write.bucketBy(self.gram_buckets, "vertex").sortBy("vertex").option("path", f"{self.folder}/grams").saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def forget(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.drop("grams")
+
+    def with_sets(self, rows: DataFrame, key: str, sets: DataFrame, **columns: str) -> DataFrame:
+        """`columns` of the set that `key` names. The rows go to the buckets of the table."""
+        side = sets.select(F.col("vertex").alias(key), *[F.col(c).alias(name) for c, name in columns.items()])
+        return rows.repartition(self.gram_buckets, key).join(side, key)
+
+    def near(self, sides: DataFrame) -> DataFrame:
+        """Pairs that their sketches do not rule out."""
+        limit = self.limit
+        return sides.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(lambda b: _sketch_batches(b, limit), "u long, v long")
+
     def verify(self, pairs: DataFrame, grams: DataFrame) -> DataFrame:
         limit = self.limit
-        sides = pairs.join(grams.select(F.col("vertex").alias("u"), F.col("grams").alias("g_u")), "u")
-        sides = sides.join(grams.select(F.col("vertex").alias("v"), F.col("grams").alias("g_v")), "v")
+        sides = self.with_sets(self.with_sets(pairs, "u", grams, grams="g_u"), "v", grams, grams="g_v")
         return sides.select("u", "v", "g_u", "g_v").mapInArrow(lambda b: _verify_batches(b, limit), "u long, v long")
 
     def heavy(self, vertices: DataFrame, order: Order, least: int) -> None:
         words, limit, buckets, scan = self.words, self.limit, self.buckets, self.scan
         listed = self.docs.select("text").mapInArrow(lambda b: _list_batches(b, words, least, limit, order, buckets), P.SCHEMA)
         found = self.stage(listed.groupBy("bucket").applyInArrow(lambda t: _scan_lists(t, limit, scan), FOUND), "found")
-        wide = found.where("wide").select("key", "v", "n", "rare").distinct()
+        wide = self.stage(found.where("wide").select("key", "v", "n", "rare").distinct(), "wide-0")
         ends = vertices.select("vertex", "n", "sketch")
         pairs = found.where("not wide").select("u", "v").distinct()
-        pairs = pairs.join(ends.toDF("u", "n_u", "s_u"), "u").join(ends.toDF("v", "n_v", "s_v"), "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-        pairs = self.stage(pairs.mapInArrow(lambda b: _sketch_batches(b, limit), "u long, v long"), "pairs")
-        needed = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).union(found.where("wide").select("v")).distinct()
-        needed = vertices.join(needed, "vertex", "left_semi").select("vertex", F.col("least_doc").alias("of_doc"))
-        texts = self.docs.join(needed, F.col("doc_id") == F.col("of_doc")).select("vertex", "text")
-        grams = self.stage(texts.mapInArrow(lambda b: _gram_batches(b, words), "vertex long, grams binary"), "grams")
-        self.add_links(self.verify(pairs, grams))
-        self.hubs(self.stage(wide, "wide-0"), grams, order)
+        pairs = self.stage(self.near(pairs.join(ends.toDF("u", "n_u", "s_u"), "u").join(ends.toDF("v", "n_v", "s_v"), "v")), "pairs")
+        self.drop("found")
+        needed = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).union(wide.select("v")).distinct()
+        needed = self.stage(vertices.join(needed, "vertex", "left_semi").select("vertex", F.col("least_doc").alias("of_doc")), "needed")
+        few = needed.count() <= BROADCAST_ROWS
+        texts = self.docs.join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("of_doc")).select("vertex", "text")
+        try:
+            grams = self.keep_grams(texts)
+            self.add_links(self.verify(pairs, grams))
+            self.drop("pairs", "needed")
+            self.hubs(wide, grams, order)
+        finally:
+            self.forget()
 
     def hubs(self, wide: DataFrame, grams: DataFrame, order: Order) -> None:
         limit, buckets, scan = self.limit, self.buckets, self.scan_different
@@ -446,15 +486,22 @@ class Join:
         while not wide.isEmpty():
             n, self.rounds = self.rounds, self.rounds + 1
             hubs = wide.groupBy("key").agg(F.min(F.struct("rare", "v"))["v"].alias("hub"), F.count("*").alias("k")).where("k > 1")
-            members = wide.join(hubs, "key").where("v != hub").select("hub", "v").distinct()
-            sides = members.join(grams.select(F.col("vertex").alias("v"), "grams"), "v")
-            sides = sides.join(grams.select(F.col("vertex").alias("hub"), F.col("grams").alias("hub_grams")), "hub").select("hub", "hub_grams", "v", "grams")
+            members = self.stage(wide.join(hubs, "key").where("v != hub").select("hub", "v").distinct(), f"members-{n}")
+            chosen = self.stage(self.with_sets(members.select("hub").distinct(), "hub", grams, grams="hub_grams"), f"hubs-{n}")
+            few = (chosen.agg(F.sum(F.octet_length("hub_grams"))).first()[0] or 0) <= BROADCAST_BYTES
+            sides = self.with_sets(members, "v", grams, grams="grams").join(F.broadcast(chosen) if few else chosen, "hub").select("hub", "hub_grams", "v", "grams")
             packed = self.stage(sides.mapInArrow(lambda b: _difference_batches(b, limit, order, buckets), P.SCHEMA), f"differences-{n}")
             self.add_links(packed.where("bucket = -1").mapInArrow(_link_batches, "u long, v long"))
             found = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _scan_differences(t, limit, scan), FOUND)
             found = self.stage(found, f"found-{n}")
-            self.add_links(self.verify(found.where("not wide").select("u", "v").distinct(), grams))
+            self.drop(f"members-{n}", f"hubs-{n}", f"differences-{n}")
+            ends = [self.stage(found.where("not wide").select("u", "v").distinct(), f"met-{n}")]
+            for key, size, sketch in (("u", "n_u", "s_u"), ("v", "n_v", "s_v")):
+                ends.append(self.with_sets(ends[-1], key, grams, n=size, sketch=sketch))
+            pairs = self.stage(self.near(ends[-1]), f"pairs-{n}")
+            self.add_links(self.verify(pairs, grams))
             wide = self.stage(found.where("wide").select("key", "v", "n", "rare").distinct(), f"wide-{n + 1}")
+            self.drop(f"found-{n}", f"met-{n}", f"pairs-{n}")
 
 
 def _link_batches(batches):
@@ -479,7 +526,15 @@ def group_ngrams(
     """
     limit = Threshold(part, whole)
     join = Join(docs, words, limit, folder or work_dir(docs.sparkSession, "ngram-join"), scan, scan_different)
-    rows = join.sets()
+    with tidy_shuffles(join.spark):
+        rows, named = _grouped(join)
+    some = rows.where("n > 0").select("doc_id", "vertex", "n").join(named, "vertex").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def _grouped(join: Join) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents, and the smallest document of each vertex's group."""
+    limit, rows = join.limit, join.sets()
     vertices = join.stage(
         rows.where("n > 0").groupBy("vertex", "n").agg(F.min("doc_id").alias("least_doc"), F.min("sketch").alias("sketch"), F.min("small").alias("small")), "vertices"
     )
@@ -493,5 +548,5 @@ def group_ngrams(
     least = of.join(vertices.select(F.col("vertex").alias("u"), "least_doc"), "u").groupBy("component").agg(F.min("least_doc").alias("component_id"))
     named = of.join(least, "component").select(F.col("u").alias("vertex"), "component_id")
     named = join.stage(vertices.join(named, "vertex", "left").select("vertex", F.coalesce("component_id", "least_doc").alias("component_id")), "named")
-    some = rows.where("n > 0").select("doc_id", "vertex", "n").join(named, "vertex").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    join.drop("vertices", "links", "components")
+    return rows, named

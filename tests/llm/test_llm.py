@@ -3,8 +3,10 @@
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +207,35 @@ def test_ngram_groups_with_hubs(spark, docs, scan, scan_different):
     assert wide[0] > wide[1] > 0
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {file.name for folder in folders for file in Path(folder.getPath()).rglob("shuffle_*")}
+
+
+def left_by(spark, step):
+    """Shuffle files that a step leaves behind; they are unlinked in the background."""
+    before = shuffle_files(spark)
+    result = step()
+    for _ in range(100):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    return result, left
+
+
+def test_ngram_groups_unlink_their_steps(spark, docs, monkeypatch):
+    """Of all steps only the sets, the groups and the long lists stay on disk, and the groups are the same beyond the broadcast bounds."""
+    want = sorted(map(tuple, ngram_join.group_ngrams(docs, 4, 85, 100).collect()))
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    folder = work_dir(spark, "tidy")
+    found, left = left_by(spark, lambda: ngram_join.group_ngrams(docs, 4, 85, 100, folder=folder, scan=2, scan_different=3))
+    assert not left
+    assert {f.name for f in Path(folder).iterdir() if not f.name.startswith("wide-")} == {"sets", "named"}
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (3, 9), (7, 7), (1, 2)], "u long, v long")
     assert {r["u"]: r["component"] for r in components.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
