@@ -1,8 +1,11 @@
 import pytest
 from feed import land, node, price, prices, station
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
+from pricewell.session import prepare
 from pricewell.sources import pages as pg
+from pricewell.streaming import ingest
 
 
 def decode(spark, folder, decoder, **kw):
@@ -156,3 +159,23 @@ def test_location_round_trip(spark, tmp_path):
     good = pg.good_items(decode(spark, tmp_path, pg.decode_stations))
     nested = pg.nest_location(pg.station_rows(good))
     assert nested.first()["location"] == good.first()["location"]
+
+
+def test_scans_take_few_pages_at_once(spark, tmp_path):
+    """Pages may be of a few hundred kilobytes, so a task holds a few of a file and not thousands; in a stream too."""
+    prepare(spark)
+    path = str(tmp_path / "pages")
+    spark.range(1000).select(F.col("id").alias("batch_number"), F.repeat(F.lit("x"), 100).alias("value")).coalesce(1).write.parquet(path)
+    pages = spark.read.parquet(path)
+    assert len(pages.collect()) == 1000
+
+    def batches(plan):
+        metric = plan.metrics().get("numInputBatches")
+        own = [metric.get().value()] if metric.isDefined() else []
+        return own + [n for i in range(plan.children().size()) for n in batches(plan.children().apply(i))]
+
+    assert sum(batches(pages._jdf.queryExecution().executedPlan())) >= 1000 / 64
+    sizes = []
+    stream = spark.readStream.schema(pages.schema).parquet(path)
+    ingest._start(stream, lambda batch, _: sizes.append(int(batch.sparkSession.conf.get("spark.sql.parquet.columnarReaderBatchSize"))), str(tmp_path / "checkpoint"), "few", None).awaitTermination()
+    assert sizes and max(sizes) <= 64
