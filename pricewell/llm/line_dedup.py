@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricewell.llm import textops as T
 from pricewell.llm.names import free_name
-from pricewell.session import work_dir
+from pricewell.session import drop_dir, tidy_shuffles, work_dir
 
 # Batches at least, which is enough for a second level, and bytes of text that a batch may have beyond that.
 BATCHES = 4
@@ -128,6 +128,26 @@ def _batch_of(docs: DataFrame, batches: int) -> Column:
     return reduce(lambda n, cut: n + (F.col("doc_id") > cut).cast("int"), sorted(set(cuts)), F.lit(0))
 
 
+def _find_gone(known: DataFrame, folder: str, batches: int | None, fanout: int) -> None:
+    """Write the keys that each document loses to the folder's `gone`; keys and runs are unlinked again."""
+    spark = known.sparkSession
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches = batches or max(BATCHES, -(-size // BATCH_BYTES))
+    number = _batch_of(known.select("doc_id"), batches)
+    known.select("doc_id", "text").mapInArrow(_keys_of_batches, "doc_id long, key binary").withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/keys")
+    keys = spark.read.schema("doc_id long, key binary, batch int").parquet(f"{folder}/keys")
+    runs = Runs(spark, folder, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), fanout)
+    try:
+        for n in range(batches):
+            runs.add(keys.where(F.col("batch") == n).select("doc_id", "key"))
+        owned = keys.join(runs.rows(), "key").where(F.col("doc_id") > F.col("owner"))
+        owned.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).write.parquet(f"{folder}/gone")
+    finally:
+        runs.forget()
+    for name in ("keys", *(f"run-{n}" for n in range(len(runs.names)))):
+        drop_dir(spark, f"{folder}/{name}")
+
+
 def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """Drop every line whose key also stands in a document of smaller doc_id.
 
@@ -142,19 +162,8 @@ def dedup_lines(docs: DataFrame, folder: str | None = None, batches: int | None
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     gone_doc, gone_keys = free_name(docs.columns, "gone_doc"), free_name(docs.columns, "gone_keys")
     known = docs.where(F.col("doc_id").isNotNull())
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = batches or max(BATCHES, -(-size // BATCH_BYTES))
-    number = _batch_of(known.select("doc_id"), batches)
-    known.select("doc_id", "text").mapInArrow(_keys_of_batches, "doc_id long, key binary").withColumn("batch", number).write.partitionBy("batch").parquet(f"{folder}/keys")
-    keys = spark.read.schema("doc_id long, key binary, batch int").parquet(f"{folder}/keys")
-    runs = Runs(spark, folder, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), fanout)
-    try:
-        for n in range(batches):
-            runs.add(keys.where(F.col("batch") == n).select("doc_id", "key"))
-        owned = keys.join(runs.rows(), "key").where(F.col("doc_id") > F.col("owner"))
-        owned.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).write.parquet(f"{folder}/gone")
-    finally:
-        runs.forget()
+    with tidy_shuffles(spark):
+        _find_gone(known, folder, batches, fanout)
     gone = spark.read.schema("doc_id long, keys array<binary>").parquet(f"{folder}/gone").toDF(gone_doc, gone_keys)
     marked = docs.join(gone, F.col("doc_id") == F.col(gone_doc), "left").drop(gone_doc)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -242,6 +242,13 @@ def test_components(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_line_dedup_unlinks_its_steps(spark, docs):
+    folder = work_dir(spark, "tidy")
+    _, left = left_by(spark, lambda: line_dedup.dedup_lines(docs, folder))
+    assert not left
+    assert [f.name for f in Path(folder).iterdir()] == ["gone"]
+
+
 def test_lines(docs, rows, empty):
     found = got(line_dedup.dedup_lines(docs))
 
